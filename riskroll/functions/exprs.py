@@ -36,7 +36,7 @@ def safe_div(num: Column, den: Column) -> Column:
 def days_between(col: Column, ref: Column, is_timestamp: bool) -> Column:
     """Whole days from ``col`` to ``ref`` (``ref - col``), truncated toward zero."""
     if is_timestamp:
-        return F.timestampdiff("DAY", col, ref).cast("bigint")
+        return F.timestamp_diff("DAY", col, ref).cast("bigint")
     return F.datediff(ref, col).cast("bigint")
 
 
@@ -76,10 +76,10 @@ def snap(c: Column) -> Column:
 
 
 def round_doubles(df):
-    """Snap every float/double column (used at the edge of oracle-checked queries)."""
+    """Snap every double column (used at the edge of oracle-checked queries)."""
     cols = []
     for f in df.schema.fields:
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+        if isinstance(f.dataType, T.DoubleType):
             cols.append(snap(F.col(f.name)).alias(f.name))
         else:
             cols.append(F.col(f.name))
