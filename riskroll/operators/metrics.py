@@ -91,26 +91,31 @@ def class_report(df: DataFrame, label: str = "actual_label", pred: str = "predic
 # curves over distinct scores
 # --------------------------------------------------------------------------
 
-def score_counts(df: DataFrame, score: str = "score", label: str = "actual_label") -> DataFrame:
-    """One row per distinct non-null score: ``score, pos, neg``."""
+def score_counts(df: DataFrame, score: str = "score", label: str = "actual_label",
+                 group_cols: Sequence[str] = ()) -> DataFrame:
+    """One row per (group, distinct non-null score): ``score, pos, neg``."""
     y = F.col(label).cast("bigint")
     return (df.where(F.col(score).isNotNull())
-            .groupBy(F.col(score).cast("double").alias("score"))
+            .groupBy(*group_cols, F.col(score).cast("double").alias("score"))
             .agg(F.sum(y).alias("pos"), F.sum(F.lit(1) - y).alias("neg")))
 
 
-def cumulative(df: DataFrame, score: str = "score", label: str = "actual_label") -> DataFrame:
+def cumulative(df: DataFrame, score: str = "score", label: str = "actual_label",
+               group_cols: Sequence[str] = ()) -> DataFrame:
     """Distinct scores in descending order with running class counts and class totals.
 
-    Columns: ``score, pos, neg, cum_pos, cum_neg, total_pos, total_neg`` where
-    ``cum_*`` counts rows with a score >= this one.
+    Columns: ``*group_cols, score, pos, neg, cum_pos, cum_neg, total_pos,
+    total_neg`` where ``cum_*`` counts rows with a score >= this one (per group).
     """
-    counts = score_counts(df, score, label)
-    totals = counts.agg(F.sum("pos").alias("total_pos"), F.sum("neg").alias("total_neg")).first()
-    run = running_sums(counts, "score", ["pos", "neg"], descending=True)
-    return run.select("score", "pos", "neg", "cum_pos", "cum_neg",
-                      F.lit(int(totals["total_pos"] or 0)).alias("total_pos"),
-                      F.lit(int(totals["total_neg"] or 0)).alias("total_neg"))
+    counts = score_counts(df, score, label, group_cols)
+    return running_sums(counts, "score", ["pos", "neg"], group_cols=group_cols, descending=True, totals=True)
+
+
+def stack_scores(df: DataFrame, score_cols: Mapping[str, str], label: str = "actual_label",
+                 model_col: str = "model") -> DataFrame:
+    """Wide score columns of several models -> long ``model, score, label`` (one scan for all)."""
+    pairs = ", ".join(f"'{m}', CAST(`{c}` AS DOUBLE)" for m, c in score_cols.items())
+    return df.selectExpr(f"`{label}`", f"stack({len(score_cols)}, {pairs}) AS (`{model_col}`, score)")
 
 
 def roc_curve(df: DataFrame, score: str = "score", label: str = "actual_label") -> DataFrame:
@@ -130,18 +135,20 @@ def pr_curve(df: DataFrame, score: str = "score", label: str = "actual_label") -
                     (2 * prec * rec / (prec + rec + F.lit(F1_EPS))).alias("f1"))
 
 
-def curve_summary(df: DataFrame, score: str = "score", label: str = "actual_label") -> DataFrame:
-    """M3, M5, M6, M12 in one aggregate: ``roc_auc, gini, average_precision, ks``."""
-    c = cumulative(df, score, label)
+def curve_summary(df: DataFrame, score: str = "score", label: str = "actual_label",
+                  group_cols: Sequence[str] = ()) -> DataFrame:
+    """M3, M5, M6, M12 in one aggregate per group: ``roc_auc, gini, average_precision, ks``."""
+    c = cumulative(df, score, label, group_cols)
     p, n = F.col("total_pos").cast("double"), F.col("total_neg").cast("double")
     # positives above this score plus half of the tied ones, for every negative at this score
     auc_term = F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2.0)
     ap_term = F.col("pos") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
     ks_term = _ratio(F.col("cum_pos"), F.col("total_pos")) - _ratio(F.col("cum_neg"), F.col("total_neg"))
-    agg = c.agg(F.try_divide(F.sum(auc_term), F.first(p) * F.first(n)).alias("roc_auc"),
-                F.try_divide(F.sum(ap_term), F.first(p)).alias("average_precision"),
-                F.greatest(F.max(ks_term), F.lit(0.0)).alias("ks"))
-    return agg.select("roc_auc", (2 * F.col("roc_auc") - 1).alias("gini"), "average_precision", "ks")
+    aggs = [F.try_divide(F.sum(auc_term), F.max(p) * F.max(n)).alias("roc_auc"),
+            F.try_divide(F.sum(ap_term), F.max(p)).alias("average_precision"),
+            F.greatest(F.max(ks_term), F.lit(0.0)).alias("ks")]
+    agg = c.groupBy(*group_cols).agg(*aggs) if group_cols else c.agg(*aggs)
+    return agg.select(*group_cols, "roc_auc", (2 * F.col("roc_auc") - 1).alias("gini"), "average_precision", "ks")
 
 
 def ks_cumulative(df: DataFrame, score: str = "score", label: str = "actual_label") -> DataFrame:
@@ -200,17 +207,21 @@ def grid_counts(df: DataFrame, grid: Sequence[float], score: str = "score",
                        (F.lit(total_pos) - F.col("tp")).cast("bigint").alias("fn"), F.col("tp").cast("bigint").alias("tp"))
 
 
-def grid_threshold(df: DataFrame, metric: str = "f1", score: str = "score", label: str = "actual_label",
-                   grid: Sequence[float] = GRID) -> DataFrame:
-    """M9: the grid threshold (0.10 … 0.85) that maximises ``metric`` (first maximum)."""
-    if metric not in GRID_METRICS:
-        metric = "f1"
+def grid_threshold(df: DataFrame, metric: str | Sequence[str] = "f1", score: str = "score",
+                   label: str = "actual_label", grid: Sequence[float] = GRID) -> DataFrame:
+    """M9: the grid threshold (0.10 … 0.85) that maximises each metric (first maximum).
+
+    One row per metric: ``metric, threshold, value``; all metrics come from a
+    single pass of grid counts.
+    """
+    wanted = [metric] if isinstance(metric, str) else list(metric)
+    wanted = [m if m in GRID_METRICS else "f1" for m in wanted]
     g = grid_counts(df, grid, score, label)
-    m = g.select("k", "threshold", "tn", "fp", "fn", "tp",
-                 *metric_columns(F.col("tn"), F.col("fp"), F.col("fn"), F.col("tp")))
-    best = m.agg(F.max_by(F.struct("threshold", F.col(metric).alias("value")),
-                          F.struct(F.col(metric), -F.col("k"))).alias("b"))
-    return best.select("b.threshold", F.col("b.value").alias(metric))
+    m = g.select("k", "threshold", *metric_columns(F.col("tn"), F.col("fp"), F.col("fn"), F.col("tp")))
+    best = m.agg(*[F.max_by(F.struct("threshold", F.col(x).alias("value")),
+                            F.struct(F.col(x), -F.col("k"))).alias(f"b{i}") for i, x in enumerate(wanted)])
+    stack = ", ".join(f"'{x}', b{i}.threshold, b{i}.value" for i, x in enumerate(wanted))
+    return best.selectExpr(f"stack({len(wanted)}, {stack}) AS (metric, threshold, value)")
 
 
 def cost_threshold(df: DataFrame, benefit_good: float, loss_bad: float, score: str = "score",
@@ -228,28 +239,37 @@ def cost_threshold(df: DataFrame, benefit_good: float, loss_bad: float, score: s
 # model comparison, histogram, focal loss
 # --------------------------------------------------------------------------
 
-def model_metrics(df: DataFrame, model: str, threshold: float = 0.5, score: str = "score",
-                  label: str = "actual_label") -> DataFrame:
-    """One long-form row of metrics for one model's score table."""
-    hard = df.select(F.col(label), (F.col(score) >= F.lit(threshold)).cast("int").alias("predicted_label"))
-    lm = label_metrics(hard, label, "predicted_label").select("accuracy", "precision", "recall", "f1")
-    cs = curve_summary(df, score, label).select("roc_auc", F.col("average_precision").alias("pr_auc"), "ks")
-    # two one-row aggregates side by side: equi-join on a constant key
-    one = F.lit(0).alias("_one")
-    return (lm.select(one, "*").join(cs.select(one, "*"), "_one")
-            .select(F.lit(model).alias("model"), "accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc", "ks"))
-
-
-def compare_models(tables: Mapping[str, DataFrame], threshold: float = 0.5, primary: str = "pr_auc",
-                   score: str = "score", label: str = "actual_label") -> DataFrame:
-    """One row per model plus ``is_best`` (max of the primary metric, first model wins ties)."""
-    rows = None
-    for i, (name, t) in enumerate(tables.items()):
-        r = model_metrics(t, name, threshold, score, label).withColumn("_i", F.lit(i))
-        rows = r if rows is None else rows.unionByName(r)
+def compare_models(tables: Mapping[str, DataFrame] | DataFrame, threshold: float = 0.5, primary: str = "pr_auc",
+                   score: str = "score", label: str = "actual_label", model_col: str = "model") -> DataFrame:
+    """One row per model (accuracy, precision, recall, F1 at ``threshold``, ROC AUC,
+    PR AUC, KS) plus ``is_best`` (max of the primary metric, first model wins ties).
+
+    ``tables`` is either ``{model: score table}`` or one long table with a
+    ``model`` column; all models go through one pipeline grouped by model.
+    """
+    if isinstance(tables, DataFrame):
+        long = tables
+        order = [r[0] for r in long.select(model_col).distinct().orderBy(model_col).collect()]
+    else:
+        order = list(tables)
+        long = None
+        for name, t in tables.items():
+            part = t.select(F.lit(name).alias(model_col), F.col(score).alias("score"), F.col(label).alias(label))
+            long = part if long is None else long.unionByName(part)
+        score = "score"
+    y, hit = F.col(label).cast("int"), (F.col(score) >= F.lit(threshold))
+    cm = long.groupBy(model_col).agg(
+        F.count_if((y == 0) & ~hit).cast("bigint").alias("tn"), F.count_if((y == 0) & hit).cast("bigint").alias("fp"),
+        F.count_if((y == 1) & ~hit).cast("bigint").alias("fn"), F.count_if((y == 1) & hit).cast("bigint").alias("tp"))
+    lm = cm.select(model_col, *metric_columns(F.col("tn"), F.col("fp"), F.col("fn"), F.col("tp")))
+    cs = curve_summary(long, score, label, [model_col])
+    rank = F.create_map(*[x for i, m in enumerate(order) for x in (F.lit(m), F.lit(i))])
+    rows = (lm.join(cs, model_col)
+            .select(model_col, "accuracy", "precision", "recall", "f1", "roc_auc",
+                    F.col("average_precision").alias("pr_auc"), "ks", rank[F.col(model_col)].alias("_i")))
     w = Window.partitionBy(F.lit(0))
-    best = F.max_by("model", F.struct(F.col(primary), -F.col("_i"))).over(w)
-    return rows.withColumn("is_best", (F.col("model") == best).cast("int")).drop("_i")
+    best = F.max_by(model_col, F.struct(F.col(primary), -F.col("_i"))).over(w)
+    return rows.withColumn("is_best", (F.col(model_col) == best).cast("int")).drop("_i")
 
 
 def score_histogram(df: DataFrame, score: str = "score", bins: int = 50) -> DataFrame:

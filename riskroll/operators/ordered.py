@@ -46,37 +46,43 @@ def with_ranges(df: DataFrame, order_col: str, n_buckets: int | None = None,
 
 def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str], tiebreak: Sequence[str] = (),
                  group_cols: Sequence[str] = (), descending: bool = False, n_buckets: int | None = None,
-                 prefix: str = "cum_") -> DataFrame:
+                 prefix: str = "cum_", totals: bool = False) -> DataFrame:
     """Inclusive running sums of ``sum_cols`` in ``(order_col, *tiebreak)`` order within ``group_cols``.
 
     ``order_col`` must be numeric and non-null.  Adds ``{prefix}{c}`` for
-    every summed column.
+    every summed column, and ``total_{c}`` (the group total) when ``totals``;
+    the totals come from the same small job that sizes the ranges.
     """
     ranged = with_ranges(df, order_col, n_buckets, descending)
     keys = [*group_cols, _BUCKET]
-    totals = ranged.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sum_cols]).collect()
+    range_totals = ranged.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sum_cols]).collect()
     # exclusive prefix of the per-range totals, per group, on the driver (bounded by groups × ranges)
     rows = []
     by_group: dict[tuple, list] = {}
-    for r in totals:
+    for r in range_totals:
         by_group.setdefault(tuple(r[g] for g in group_cols), []).append(r)
     for g, rs in by_group.items():
         acc = [0] * len(sum_cols)
+        group_rows = []
         for r in sorted(rs, key=lambda r: r[_BUCKET]):
-            rows.append((*g, r[_BUCKET], *acc))
+            group_rows.append([*g, r[_BUCKET], *acc])
             acc = [a + (r[c] or 0) for a, c in zip(acc, sum_cols)]
+        rows += [tuple(gr + acc) for gr in group_rows]
     spark = df.sparkSession
     off_schema = [f for f in ranged.schema.fields if f.name in group_cols]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in off_schema]
                        + [f"`{_BUCKET}` double"]
-                       + [f"`_off_{c}` {ranged.schema[c].dataType.simpleString()}" for c in sum_cols])
+                       + [f"`_off_{c}` {ranged.schema[c].dataType.simpleString()}" for c in sum_cols]
+                       + [f"`_tot_{c}` {ranged.schema[c].dataType.simpleString()}" for c in sum_cols])
     offsets = spark.createDataFrame(rows, schema)
     joined = ranged.join(F.broadcast(offsets), keys, "left")
     order = [F.col("_okey")] + [F.col(t) for t in tiebreak]
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = joined.select("*", *[(F.coalesce(F.col(f"_off_{c}"), F.lit(0)) + F.sum(c).over(w)).alias(f"{prefix}{c}")
                                for c in sum_cols])
-    return out.drop("_okey", _BUCKET, *[f"_off_{c}" for c in sum_cols])
+    if totals:
+        out = out.select("*", *[F.col(f"_tot_{c}").alias(f"total_{c}") for c in sum_cols])
+    return out.drop("_okey", _BUCKET, *[f"_off_{c}" for c in sum_cols], *[f"_tot_{c}" for c in sum_cols])
 
 
 def global_rank(df: DataFrame, order_col: str, tiebreak: Sequence[str] = (), group_cols: Sequence[str] = (),

@@ -61,10 +61,10 @@ def fx_depth1(spark: SparkSession, sf_dir: str, keep_orderkey: bool = False) ->
     return o.select(*cols)
 
 
-def fx_depth2(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fx_depth2(spark: SparkSession, sf_dir: str, depth1: DataFrame | None = None) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    d1 = fx_depth1(spark, sf_dir, keep_orderkey=True).select(
-        F.col("o_orderkey").alias("l_orderkey"), "case_id", "num_group1")
+    d1 = depth1 if depth1 is not None else fx_depth1(spark, sf_dir, keep_orderkey=True)
+    d1 = d1.select(F.col("o_orderkey").alias("l_orderkey"), "case_id", "num_group1")
     w = Window.partitionBy("l_orderkey").orderBy(
         "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
     return li.join(d1, "l_orderkey").select(
@@ -137,9 +137,11 @@ ECON_RENAMES = {
 
 
 def build_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merged case table (base ⟕ roll-ups of both depths); one depth-1 plan feeds both families."""
     from riskroll.operators.joins import build_case_table
-    return build_case_table(fx_base(spark, sf_dir), {"d1": fx_depth1(spark, sf_dir),
-                                                     "d2": fx_depth2(spark, sf_dir)})
+    d1 = fx_depth1(spark, sf_dir, keep_orderkey=True)
+    return build_case_table(fx_base(spark, sf_dir), {"d1": d1.drop("o_orderkey"),
+                                                     "d2": fx_depth2(spark, sf_dir, depth1=d1)})
 
 
 def _renamed(df: DataFrame, renames: dict, keep: list[str]) -> DataFrame:
