@@ -30,30 +30,39 @@ def _default_buckets(df: DataFrame) -> int:
 
 
 def with_ranges(df: DataFrame, order_col: str, n_buckets: int | None = None,
-                descending: bool = False) -> DataFrame:
-    """Add ``_range``: the value range of ``order_col`` (ascending or descending), 0-based."""
+                descending: bool = False, range_key: Column | None = None) -> DataFrame:
+    """Add ``_okey`` (the order key) and ``_range`` (its value range, 0-based).
+
+    ``range_key`` (optional) is the numeric key the ranges are cut on; it
+    must not decrease when the order key increases within a group (used to
+    give groups on different scales their own ranges).
+    """
     b = n_buckets or _default_buckets(df)
-    key = "_okey"
     x = F.col(order_col).cast("double")
-    staged = df.withColumn(key, -x if descending else x)
+    staged = df.withColumn("_okey", -x if descending else x)
+    rk = "_okey"
+    if range_key is not None:
+        staged = staged.withColumn("_rkey", -range_key if descending else range_key)
+        rk = "_rkey"
     if b <= 1:
-        return staged.withColumn(_BUCKET, F.lit(0.0))
+        return staged.withColumn(_BUCKET, F.lit(0.0)).drop("_rkey")
     probs = [i / b for i in range(1, b)]
-    cuts = staged.stat.approxQuantile(key, probs, 1.0 / (4 * b))
+    cuts = staged.stat.approxQuantile(rk, probs, 1.0 / (4 * b))
     splits = [float("-inf")] + sorted(set(c for c in cuts if c is not None)) + [float("inf")]
-    return Bucketizer(splits=splits, inputCol=key, outputCol=_BUCKET, handleInvalid="keep").transform(staged)
+    return (Bucketizer(splits=splits, inputCol=rk, outputCol=_BUCKET, handleInvalid="keep")
+            .transform(staged).drop("_rkey"))
 
 
 def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str], tiebreak: Sequence[str] = (),
                  group_cols: Sequence[str] = (), descending: bool = False, n_buckets: int | None = None,
-                 prefix: str = "cum_", totals: bool = False) -> DataFrame:
+                 prefix: str = "cum_", totals: bool = False, range_key: Column | None = None) -> DataFrame:
     """Inclusive running sums of ``sum_cols`` in ``(order_col, *tiebreak)`` order within ``group_cols``.
 
     ``order_col`` must be numeric and non-null.  Adds ``{prefix}{c}`` for
     every summed column, and ``total_{c}`` (the group total) when ``totals``;
     the totals come from the same small job that sizes the ranges.
     """
-    ranged = with_ranges(df, order_col, n_buckets, descending)
+    ranged = with_ranges(df, order_col, n_buckets, descending, range_key)
     keys = [*group_cols, _BUCKET]
     range_totals = ranged.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sum_cols]).collect()
     # exclusive prefix of the per-range totals, per group, on the driver (bounded by groups × ranges)

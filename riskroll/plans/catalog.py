@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from riskroll import sources
 from riskroll.functions import features as fe
 from riskroll.functions.exprs import round_doubles
-from riskroll.operators import classes, clean, encode, joins, metrics as me, rollup as ru, sampling as sa
+from riskroll.operators import classes, clean, encode, joins, metrics as me, models as mo, rollup as ru
+from riskroll.operators import sampling as sa, selection as se
 from riskroll.plans import fixtures as fx
 from riskroll.session import ensure_checkpoint_dir
 
@@ -598,3 +599,145 @@ def q_two_stage_bands(spark, sf_dir):
     s = fx.fx_scores(spark, sf_dir)
     return me.two_stage_bands(s, "score_a", "score_b", stage1_threshold=0.4, approve_below=0.5,
                               reject_from=0.8)
+
+
+# --------------------------------------------------------------------------
+# selection (L1-L4, W3) and models (T1-T10, S8); model keys are rows-only checks
+# --------------------------------------------------------------------------
+
+def model_frame(spark, sf_dir) -> tuple[DataFrame, list[str]]:
+    """Cleaned merged table with its feature list, split 80 / 20 per class (``is_valid``)."""
+    cb = clean_base(spark, sf_dir)
+    feats = clean.numeric_features(cb)
+    return sa.stratified_split(cb.select("case_id", "target", "WEEK_NUM", *feats)), feats
+
+
+@query("adversarial_auc")
+def q_adversarial_auc(spark, sf_dir):
+    """L2: per-feature AUC of a binned one-feature model for WEEK_NUM >= 65; keep < 0.65."""
+    cb = clean_base(spark, sf_dir)
+    return se.adversarial_auc(cb, clean.numeric_features(cb))
+
+
+@query("topk_features")
+def q_topk_features(spark, sf_dir):
+    """The 20 features that separate the late period best (adversarial AUC)."""
+    cb = clean_base(spark, sf_dir)
+    return se.top_features(se.adversarial_auc(cb, clean.numeric_features(cb)), "auc", 20)
+
+
+@query("null_importance")
+def q_null_importance(spark, sf_dir):
+    """L1: real vs permuted-label importance (3 seeded permutations); keep ratio > 1.5."""
+    df, feats = model_frame(spark, sf_dir)
+    return se.null_importance(df, feats, params=mo.GBTParams(max_iter=5, max_depth=3))
+
+
+@query("importance_topk")
+def q_importance_topk(spark, sf_dir):
+    """L3: top 10 features by boosted-tree importance."""
+    df, feats = model_frame(spark, sf_dir)
+    return se.importance_topk(df, feats, k=10, params=mo.GBTParams(max_iter=10, max_depth=4, step_size=0.1))
+
+
+@query("lasso_select")
+def q_lasso_select(spark, sf_dir):
+    """L4: lasso (alpha 0.005) coefficients on standardised features and the kept set."""
+    df, feats = model_frame(spark, sf_dir)
+    return mo.lasso_table(mo.fit_lasso(df.where(F.col("is_valid") == 0), feats), spark)
+
+
+@query("lasso_score")
+def q_lasso_score(spark, sf_dir):
+    """The lasso as a scorer on the validation rows (score = prediction)."""
+    df, feats = model_frame(spark, sf_dir)
+    train, valid = df.where(F.col("is_valid") == 0), df.where(F.col("is_valid") == 1)
+    res = mo.fit_lasso(train, feats)
+    st = classes.fit_standardizer(train, feats)
+    pred = res.model.transform(mo.assemble(st.apply(valid), feats))
+    return mo.score_table(pred, F.col("prediction"), 0.5)
+
+
+@query("svm_score")
+def q_svm_score(spark, sf_dir):
+    """Undersample -> scale -> lasso selection -> class-balanced linear SVM; margin scores."""
+    df, feats = model_frame(spark, sf_dir)
+    scores, _ = mo.svm_pipeline(df.where(F.col("is_valid") == 0), df.where(F.col("is_valid") == 1), feats,
+                                max_iter=50)
+    return scores
+
+
+def _gbt_scores(spark, sf_dir, params: mo.GBTParams) -> DataFrame:
+    df, feats = model_frame(spark, sf_dir)
+    train, valid = df.where(F.col("is_valid") == 0), df.where(F.col("is_valid") == 1)
+    model = mo.fit_gbt(train, feats, params)
+    val = model.transform(valid).select("case_id", "target", mo.positive_probability().alias("score"))
+    best = me.best_f1_threshold(val.withColumnRenamed("target", "actual_label")).first()["threshold"]
+    return mo.score_table(val, F.col("score"), best if best is not None else 0.5)
+
+
+@query("gbt_score")
+def q_gbt_score(spark, sf_dir):
+    """Class-weighted (n0/n1) boosted trees, F1-optimal threshold on validation."""
+    return _gbt_scores(spark, sf_dir, mo.GBTParams(max_iter=20, max_depth=6, step_size=0.05,
+                                                   weighting="weight_ratio"))
+
+
+@query("gbt_score_b")
+def q_gbt_score_b(spark, sf_dir):
+    """Second boosted-tree setting ((1-p)/p weights, learning rate 0.03)."""
+    return _gbt_scores(spark, sf_dir, mo.GBTParams(max_iter=20, max_depth=6, step_size=0.03,
+                                                   weighting="weight_odds"))
+
+
+@query("importance_table")
+def q_importance_table(spark, sf_dir):
+    """Boosted-tree feature importances, descending."""
+    df, feats = model_frame(spark, sf_dir)
+    model = mo.fit_gbt(df.where(F.col("is_valid") == 0), feats, mo.GBTParams(max_iter=10, max_depth=4))
+    return mo.gbt_importances(model, feats, spark)
+
+
+@query("mlp_score")
+def q_mlp_score(spark, sf_dir):
+    """T4: undersample (0.2) -> scale -> MLP [n, 64, 32, 2]; label = p > 0.518."""
+    df, feats = model_frame(spark, sf_dir)
+    return mo.mlp_pipeline(df.where(F.col("is_valid") == 0), df.where(F.col("is_valid") == 1), feats, max_iter=30)
+
+
+STACK_BASES = {"gbt_a": mo.GBTParams(max_iter=5, max_depth=4, step_size=0.1, weighting="weight_ratio"),
+               "gbt_b": mo.GBTParams(max_iter=5, max_depth=3, step_size=0.1, weighting="weight_odds")}
+
+
+@query("stack_oof")
+def q_stack_oof(spark, sf_dir):
+    """3-fold out-of-fold probabilities of two boosted-tree bases."""
+    df, feats = model_frame(spark, sf_dir)
+    return mo.stack_oof(df.where(F.col("is_valid") == 0), feats, STACK_BASES, k=3)
+
+
+@query("stack_score")
+def q_stack_score(spark, sf_dir):
+    """Meta logistic regression over the bases' probabilities scores the validation rows."""
+    df, feats = model_frame(spark, sf_dir)
+    return mo.stack_score(df.where(F.col("is_valid") == 0), df.where(F.col("is_valid") == 1), feats,
+                          STACK_BASES, k=3)
+
+
+@query("random_search")
+def q_random_search(spark, sf_dir):
+    """Seeded random draws of tree settings scored by mean PR AUC over stratified folds."""
+    df, feats = model_frame(spark, sf_dir)
+    return mo.random_search(df.where(F.col("is_valid") == 0), feats, n_draws=2, k=2)
+
+
+@query("batch_score")
+def q_batch_score(spark, sf_dir):
+    """S8 + T8: fit, save the pipeline to the shared checkpoint folder, load it back, score."""
+    import uuid
+
+    df, feats = model_frame(spark, sf_dir)
+    model = mo.fit_gbt(df.where(F.col("is_valid") == 0), feats, mo.GBTParams(max_iter=5, max_depth=3))
+    path = f"{ensure_checkpoint_dir(spark)}/models/gbt-{uuid.uuid4().hex}"
+    mo.save_model(model, path)
+    return mo.batch_score(mo.load_model(path), df.where(F.col("is_valid") == 1), 0.5)

@@ -840,3 +840,28 @@ FROM (SELECT actual_label,
              CASE WHEN NOT score_a >= 0.4 THEN 'approve_stage1' WHEN score_b < 0.5 THEN 'approve'
                   WHEN score_b < 0.8 THEN 'limit' ELSE 'reject' END AS band FROM fx_scores)
 GROUP BY band""", ["bad_rate"]), "fx_scores")
+
+# ------------------------------------------------------------------ selection
+_ADV = [
+    CB_CTE,
+    ("av", "  SELECT CAST(WEEK_NUM >= 65 AS INTEGER) AS y, " + ", ".join(WINSOR_COLS) + " FROM cb"),
+    ("lg", _union([f"  SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS value, y FROM av" for c in WINSOR_COLS])),
+    ("vals", "  SELECT feature, value, count(*) AS n, sum(y) AS pos FROM lg GROUP BY feature, value"),
+    ("known", """  SELECT *, sum(n) OVER (PARTITION BY feature ORDER BY value ROWS UNBOUNDED PRECEDING) AS cum_n,
+         sum(n) OVER (PARTITION BY feature) AS total_n FROM vals WHERE value IS NOT NULL"""),
+    ("binned", """  SELECT feature, pos, n, CAST(floor((cum_n - n) * 255 / total_n) AS INTEGER) AS bin FROM known
+  UNION ALL
+  SELECT feature, pos, n, -1 AS bin FROM vals WHERE value IS NULL"""),
+    ("pb", "  SELECT feature, bin, sum(pos) AS pos, sum(n) AS n FROM binned GROUP BY feature, bin"),
+    ("bs", """  SELECT feature, CAST(pos AS DOUBLE) / n AS score, sum(pos) AS pos, sum(n - pos) AS neg
+  FROM pb GROUP BY feature, CAST(pos AS DOUBLE) / n"""),
+    ("acu", """  SELECT *, sum(pos) OVER (PARTITION BY feature ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cum_pos,
+         sum(pos) OVER (PARTITION BY feature) AS tp, sum(neg) OVER (PARTITION BY feature) AS tn FROM bs"""),
+    ("adv", """  SELECT feature, sum(neg * (cum_pos - pos / 2.0)) / nullif(CAST(max(tp) AS DOUBLE) * max(tn), 0) AS auc
+  FROM acu GROUP BY feature"""),
+]
+ORACLE["adversarial_auc"] = bb_sql(snapped(
+    "SELECT feature, auc, CAST(coalesce(auc, 0.5) < 0.65 AS INTEGER) AS keep FROM adv", ["auc"]), extra=_ADV)
+ORACLE["topk_features"] = bb_sql(snapped(
+    "SELECT feature, auc, CAST(coalesce(auc, 0.5) < 0.65 AS INTEGER) AS keep FROM adv "
+    "ORDER BY auc DESC NULLS LAST, feature LIMIT 20", ["auc"]), extra=_ADV)
