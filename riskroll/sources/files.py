@@ -112,7 +112,7 @@ def allowlist_names(names_df: DataFrame, column: str = "Feature_Name") -> list[s
     return [r[0] for r in names_df.select(column).where(F.col(column).isNotNull()).collect()]
 
 
-def select_allowlist(df: DataFrame, names: Sequence[str], keep: Sequence[str] = ID_COLUMNS) -> DataFrame:
+def select_allowlist(df: DataFrame, names: Sequence[str], keep: Sequence[str] = ("case_id", "target")) -> DataFrame:
     """``keep`` columns plus the listed features that exist, in list order.
 
     Ids in the list are ignored; unknown names are skipped with a warning; an
