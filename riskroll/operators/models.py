@@ -153,11 +153,38 @@ def mlp_pipeline(train: DataFrame, valid: DataFrame, features: Sequence[str], la
     return score_table(pred, positive_probability(), MLP_THRESHOLD, strict=True, label=label)
 
 
+@dataclass
+class MLPParams:
+    hidden: tuple = (32, 16)
+    max_iter: int = 50
+    seed: int = 42
+
+
+def fit_mlp(train: DataFrame, features: Sequence[str], params: MLPParams, label: str = "target") -> PipelineModel:
+    """T5: the stack's MLP base as a PipelineModel (assembler -> scaler -> MLP).
+
+    Spark's MLP takes no class weights; the stack's meta learner is the
+    class-weighted part."""
+    va = VectorAssembler(inputCols=list(features), outputCol="raw_features", handleInvalid="keep")
+    sc = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)
+    mlp = MultilayerPerceptronClassifier(featuresCol="features", labelCol=label,
+                                         layers=[len(features), *params.hidden, 2], maxIter=params.max_iter,
+                                         seed=params.seed)
+    return Pipeline(stages=[va, sc, mlp]).fit(train.withColumn(label, F.col(label).cast("double")))
+
+
+def fit_base(train: DataFrame, features: Sequence[str], params, label: str = "target") -> PipelineModel:
+    """A stack base learner: boosted trees (``GBTParams``) or an MLP (``MLPParams``)."""
+    if isinstance(params, MLPParams):
+        return fit_mlp(train, features, params, label)
+    return fit_gbt(train, features, params, label)
+
+
 # --------------------------------------------------------------------------
 # Stacking with out-of-fold predictions
 # --------------------------------------------------------------------------
 
-def stack_oof(train: DataFrame, features: Sequence[str], base_params: dict[str, GBTParams], k: int = 5,
+def stack_oof(train: DataFrame, features: Sequence[str], base_params: dict, k: int = 5,
               label: str = "target", key: str = "case_id") -> DataFrame:
     """Out-of-fold probabilities of every base learner: ``case_id, target, fold, p_<name>…``.
 
@@ -168,7 +195,7 @@ def stack_oof(train: DataFrame, features: Sequence[str], base_params: dict[str,
     for name, params in base_params.items():
         parts = None
         for f in range(k):
-            model = fit_gbt(folded.where(F.col("fold") != f), features, params, label)
+            model = fit_base(folded.where(F.col("fold") != f), features, params, label)
             scored = model.transform(folded.where(F.col("fold") == f)).select(
                 key, positive_probability().alias(f"p_{name}"))
             parts = scored if parts is None else parts.unionByName(scored)
@@ -184,14 +211,14 @@ def fit_meta(oof: DataFrame, names: Sequence[str], label: str = "target"):
     return lr.fit(assemble(weighted, cols).withColumn(label, F.col(label).cast("double")))
 
 
-def stack_score(train: DataFrame, test: DataFrame, features: Sequence[str], base_params: dict[str, GBTParams],
+def stack_score(train: DataFrame, test: DataFrame, features: Sequence[str], base_params: dict,
                 k: int = 5, label: str = "target", key: str = "case_id", threshold: float = 0.5) -> DataFrame:
     """Bases refit on all train rows score the test rows; the meta model combines them."""
     oof = stack_oof(train, features, base_params, k, label, key)
     meta = fit_meta(oof, list(base_params), label)
     scored = test.select(key, label, *features)
     for name, params in base_params.items():
-        model = fit_gbt(train, features, params, label)
+        model = fit_base(train, features, params, label)
         p = model.transform(scored).select(key, positive_probability().alias(f"p_{name}"))
         scored = scored.join(p, key)
     pred = meta.transform(assemble(scored, [f"p_{n}" for n in base_params]))

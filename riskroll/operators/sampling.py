@@ -106,3 +106,9 @@ def permute_labels(df: DataFrame, label: str = "target", key: str = "case_id", s
     by_u = global_rank(_with_u(df.select(key, label), key, seed), U, [key], name="_p")
     donor = by_u.select("_p", F.col(label).alias(name))
     return by_key.join(donor, "_p").drop("_p")
+
+
+def shuffle_rows(df: DataFrame, key: str = "case_id", seed=SEED) -> DataFrame:
+    """A seeded row order for a sink (``orderBy(u, key)``); a DataFrame has no order
+    otherwise, so this only matters where rows are written out."""
+    return _with_u(df, key, seed).orderBy(U, key).drop(U)

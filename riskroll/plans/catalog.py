@@ -705,13 +705,13 @@ def q_mlp_score(spark, sf_dir):
     return mo.mlp_pipeline(df.where(F.col("is_valid") == 0), df.where(F.col("is_valid") == 1), feats, max_iter=30)
 
 
-STACK_BASES = {"gbt_a": mo.GBTParams(max_iter=5, max_depth=4, step_size=0.1, weighting="weight_ratio"),
-               "gbt_b": mo.GBTParams(max_iter=5, max_depth=3, step_size=0.1, weighting="weight_odds")}
+STACK_BASES = {"gbt": mo.GBTParams(max_iter=5, max_depth=4, step_size=0.1, weighting="weight_ratio"),
+               "mlp": mo.MLPParams(hidden=(16, 8), max_iter=30)}
 
 
 @query("stack_oof")
 def q_stack_oof(spark, sf_dir):
-    """3-fold out-of-fold probabilities of two boosted-tree bases."""
+    """T5 + T6: 3-fold out-of-fold probabilities of a boosted-tree base and an MLP base."""
     df, feats = model_frame(spark, sf_dir)
     return mo.stack_oof(df.where(F.col("is_valid") == 0), feats, STACK_BASES, k=3)
 
@@ -741,3 +741,20 @@ def q_batch_score(spark, sf_dir):
     path = f"{ensure_checkpoint_dir(spark)}/models/gbt-{uuid.uuid4().hex}"
     mo.save_model(model, path)
     return mo.batch_score(mo.load_model(path), df.where(F.col("is_valid") == 1), 0.5)
+
+
+@query("incremental_f1")
+def q_incremental_f1(spark, sf_dir):
+    """Tp / fp / fn / tn and ε-F1 accumulated over micro-batches of score files
+    (Structured Streaming, state in the shared checkpoint folder); prediction = score > 0.5."""
+    import uuid
+
+    from riskroll.streaming import run_incremental_f1
+
+    work = f"{ensure_checkpoint_dir(spark)}/stream-f1-{uuid.uuid4().hex}"
+    scores = fx.score_table(spark, sf_dir, "a")
+    # the score table lands as several files: each becomes one micro-batch
+    scores.repartition(4, "case_id").write.parquet(f"{work}/source")
+    final, _ = run_incremental_f1(spark, f"{work}/source", "case_id long, score double, actual_label int",
+                                  threshold=0.5, files_per_batch=1, work_dir=work)
+    return final

@@ -865,3 +865,11 @@ ORACLE["adversarial_auc"] = bb_sql(snapped(
 ORACLE["topk_features"] = bb_sql(snapped(
     "SELECT feature, auc, CAST(coalesce(auc, 0.5) < 0.65 AS INTEGER) AS keep FROM adv "
     "ORDER BY auc DESC NULLS LAST, feature LIMIT 20", ["auc"]), extra=_ADV)
+
+# ------------------------------------------------------------------ streaming
+ORACLE["incremental_f1"] = with_fixtures(snapped("""
+SELECT tp, fp, fn, tn, pe AS precision_eps, re AS recall_eps, 2 * pe * re / (pe + re + 1e-8) AS f1_incremental
+FROM (SELECT *, CAST(tp AS DOUBLE) / (tp + fp + 1e-8) AS pe, CAST(tp AS DOUBLE) / (tp + fn + 1e-8) AS re FROM (
+  SELECT count_if(actual_label = 1 AND score > 0.5) AS tp, count_if(actual_label = 0 AND score > 0.5) AS fp,
+         count_if(actual_label = 1 AND NOT score > 0.5) AS fn, count_if(actual_label = 0 AND NOT score > 0.5) AS tn
+  FROM fx_score_a))""", ["precision_eps", "recall_eps", "f1_incremental"]), "fx_score_a")
