@@ -2,10 +2,11 @@
 
 Dictionaries are fitted once (on the train table) and applied to any table,
 so train and test always share codes.  Label / category codes stay
-DataFrames (distinct values ranked per column) and are joined back, so a
-high-cardinality column never passes through the driver; one-hot needs its
-category list on the driver to name the output columns, which is what
-one-hot is for (low-cardinality columns).
+DataFrames (distinct values ranked by ``ordered.dense_codes``, range by
+range) and are joined back, so a high-cardinality column never passes
+through the driver or one task; one-hot needs its category list on the
+driver to name the output columns, which is what one-hot is for
+(low-cardinality columns).
 """
 
 from __future__ import annotations
@@ -13,9 +14,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskroll.operators.ordered import dense_codes
+
 # Fixed value: the class name that a null takes when it is encoded as a string.
 NULL_CLASS = "None"
 
@@ -46,9 +49,7 @@ def fit_label_encoder(train: DataFrame, columns: Sequence[str], null_as: str | N
     for c in columns:
         v = F.col(c).cast("string")
         vals = train.select((F.coalesce(v, F.lit(null_as)) if null_as is not None else v).alias("value"))
-        distinct = vals.where(F.col("value").isNotNull()).distinct()
-        ranked = distinct.select("value", (F.dense_rank().over(Window.orderBy("value")) - 1).alias("_code"))
-        dicts[c] = ranked
+        dicts[c] = dense_codes(vals, "value")
     return LabelCodes(dicts, null_as)
 
 

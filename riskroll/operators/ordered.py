@@ -108,3 +108,31 @@ def first_rows(df: DataFrame, n: int | Column, order_col: str, tiebreak: Sequenc
     ranked = global_rank(df, order_col, tiebreak, group_cols, name="_pos")
     limit = n if isinstance(n, Column) else F.lit(n)
     return ranked.where(F.col("_pos") <= limit).drop("_pos")
+
+
+def dense_codes(values: DataFrame, col: str, n_parts: int | None = None, name: str = "_code") -> DataFrame:
+    """0-based code of every distinct non-null value of ``col`` in sorted order (any orderable type).
+
+    Distinct values are range-partitioned (Spark samples the bounds) and the
+    partitioned result is cut from its lineage with a reliable checkpoint in
+    the shared checkpoint folder, so the partition a value sits in is fixed
+    for both passes.  Per-partition counts (one row per partition) give the
+    offsets; the code is offset + position inside the partition.  No task
+    ever holds more than one range of values.
+    """
+    from riskroll.session import ensure_checkpoint_dir
+
+    b = n_parts or _default_buckets(values)
+    ensure_checkpoint_dir(values.sparkSession)
+    distinct = values.select(col).where(F.col(col).isNotNull()).distinct()
+    ranged = (distinct.repartitionByRange(b, col).withColumn("_pid", F.spark_partition_id())
+              .checkpoint(eager=True))
+    counts = sorted((r["_pid"], r["n"]) for r in ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect())
+    rows, acc = [], 0
+    for pid, n in counts:
+        rows.append((pid, acc))
+        acc += n
+    offsets = values.sparkSession.createDataFrame(rows, "_pid int, _off long")
+    w = Window.partitionBy("_pid").orderBy(col)
+    return (ranged.join(F.broadcast(offsets), "_pid")
+            .select(col, (F.col("_off") + F.row_number().over(w) - 1).alias(name)))
