@@ -108,7 +108,8 @@ def cumulative(df: DataFrame, score: str = "score", label: str = "actual_label",
     total_neg`` where ``cum_*`` counts rows with a score >= this one (per group).
     """
     counts = score_counts(df, score, label, group_cols)
-    return running_sums(counts, "score", ["pos", "neg"], group_cols=group_cols, descending=True, totals=True)
+    return running_sums(counts, "score", ["pos", "neg"], group_cols=group_cols, descending=True, totals=True,
+                        materialize=True)
 
 
 def stack_scores(df: DataFrame, score_cols: Mapping[str, str], label: str = "actual_label",

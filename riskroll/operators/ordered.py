@@ -55,13 +55,24 @@ def with_ranges(df: DataFrame, order_col: str, n_buckets: int | None = None,
 
 def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str], tiebreak: Sequence[str] = (),
                  group_cols: Sequence[str] = (), descending: bool = False, n_buckets: int | None = None,
-                 prefix: str = "cum_", totals: bool = False, range_key: Column | None = None) -> DataFrame:
+                 prefix: str = "cum_", totals: bool = False, range_key: Column | None = None,
+                 materialize: bool = False) -> DataFrame:
     """Inclusive running sums of ``sum_cols`` in ``(order_col, *tiebreak)`` order within ``group_cols``.
 
     ``order_col`` must be numeric and non-null.  Adds ``{prefix}{c}`` for
     every summed column, and ``total_{c}`` (the group total) when ``totals``;
     the totals come from the same small job that sizes the ranges.
+
+    The input is read three times (cut points, range totals, final pass).
+    ``materialize=True`` first writes it as a reliable checkpoint in the
+    shared checkpoint folder: use it when the input is an expensive
+    aggregate (e.g. the distinct-score table of a large score table), so
+    the aggregate runs once instead of three times.
     """
+    if materialize:
+        from riskroll.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
+        df = df.checkpoint(eager=True)
     ranged = with_ranges(df, order_col, n_buckets, descending, range_key)
     keys = [*group_cols, _BUCKET]
     range_totals = ranged.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sum_cols]).collect()

@@ -76,6 +76,10 @@ def adversarial_auc(df: DataFrame, features: Sequence[str], period_col: str = "W
     long = df.select(y.alias("y"), *[F.col(f) for f in features]).selectExpr(
         "y", f"stack({len(features)}, {pairs}) AS (feature, value)")
     values = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))
+    # the distinct (feature, value) table is read by several passes below: compute it once
+    from riskroll.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    values = values.checkpoint(eager=True)
     known = values.where(F.col("value").isNotNull())
     # features live on different scales: cut value ranges on feature index + normalised value
     mm = {r["feature"]: (r["lo"], r["hi"]) for r in
