@@ -42,6 +42,13 @@ def shards(spark, sf_dir):
     return [d1.where(F.col("shard") == i) for i in range(3)]
 
 
+def materialized(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint (shared ``spark.checkpoint.dir``) of an input that several passes re-read;
+    taken after the projection so only the needed columns are computed and written."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def merged(spark, sf_dir) -> DataFrame:
     """The merged table as the cleaning stage sees it: materialised once (reliable checkpoint in
     the shared ``spark.checkpoint.dir``) so the profile passes re-read it instead of re-running
@@ -255,7 +262,7 @@ IMPUTE_COLUMNS = ["case_id", "target", "maininc_215A", "sparse_2A", "totalprice_
 @query("impute_median_mode")
 def q_impute_median_mode(spark, sf_dir):
     """Median / mode fitted on the train split, applied to every row."""
-    df = clean.sentinel_null(fx.build_base(spark, sf_dir).select(*IMPUTE_COLUMNS))
+    df = materialized(clean.sentinel_null(fx.build_base(spark, sf_dir).select(*IMPUTE_COLUMNS)))
     n_test, n_pos = holdout_params(df)
     split = sa.holdout_split(df, n_test, n_pos)
     imputer = clean.fit_imputer(split.where(F.col("split") == "train").drop("split"))
@@ -404,7 +411,7 @@ STANDARDIZE_COLUMNS = ["maininc_215A", "currdebt_22A", "totalprice_3A_mean"]
 @query("standardize")
 def q_standardize(spark, sf_dir):
     """Z-scores with mean / population std fitted on the train split."""
-    df = clean.fill_zero(fx.build_base(spark, sf_dir).select("case_id", "target", *STANDARDIZE_COLUMNS))
+    df = materialized(clean.fill_zero(fx.build_base(spark, sf_dir).select("case_id", "target", *STANDARDIZE_COLUMNS)))
     split = sa.stratified_split(df)
     st = classes.fit_standardizer(split.where(F.col("is_valid") == 0), STANDARDIZE_COLUMNS)
     return st.apply(df)
