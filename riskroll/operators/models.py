@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier)
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
@@ -112,23 +112,31 @@ class GBTParams:
 
 
 def fit_gbt(train: DataFrame, features: Sequence[str], params: GBTParams, label: str = "target",
-            valid_col: str | None = None) -> PipelineModel:
-    """Class-weighted GBTClassifier in a PipelineModel (assembler + trees).
+            valid_col: str | None = None, categorical: Sequence[str] = ()) -> PipelineModel:
+    """Class-weighted GBTClassifier in a PipelineModel (indexers + assembler + trees).
 
-    ``valid_col`` marks rows used only for early stopping (Spark stops on the
-    validation loss; the originals stopped on AUC)."""
+    ``categorical`` string columns are indexed (``StringIndexer``, sorted
+    order, nulls and unseen values to one extra index) and split on as
+    categories.  ``valid_col`` (boolean) marks rows used only for early
+    stopping: Spark stops on the validation loss, the originals on AUC."""
     weighted = classes.with_class_weight(train, label, params.weighting)
-    va = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
+    stages = []
+    cat_idx = [f"{c}__idx" for c in categorical]
+    if categorical:
+        stages.append(StringIndexer(inputCols=list(categorical), outputCols=cat_idx, handleInvalid="keep",
+                                    stringOrderType="alphabetAsc"))
+    stages.append(VectorAssembler(inputCols=[*features, *cat_idx], outputCol="features", handleInvalid="keep"))
     kw = dict(featuresCol="features", labelCol=label, weightCol="weight", maxIter=params.max_iter,
-              maxDepth=params.max_depth, stepSize=params.step_size, seed=params.seed)
+              maxDepth=params.max_depth, stepSize=params.step_size, seed=params.seed, maxBins=64)
     if valid_col:
         kw["validationIndicatorCol"] = valid_col
-    gbt = GBTClassifier(**kw)
-    return Pipeline(stages=[va, gbt]).fit(weighted.withColumn(label, F.col(label).cast("double")))
+    stages.append(GBTClassifier(**kw))
+    return Pipeline(stages=stages).fit(weighted.withColumn(label, F.col(label).cast("double")))
 
 
 def gbt_importances(model: PipelineModel, features: Sequence[str], spark) -> DataFrame:
-    """``feature, importance`` (normalised total gain) sorted descending."""
+    """``feature, importance`` (normalised total gain) sorted descending; ``features`` lists
+    the numeric features and then the categorical ones, in assembler order."""
     imp = model.stages[-1].featureImportances.toArray()
     rows = sorted(zip(features, [float(x) for x in imp]), key=lambda t: (-t[1], t[0]))
     return spark.createDataFrame(rows, "feature string, importance double")
