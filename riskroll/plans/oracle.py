@@ -170,13 +170,13 @@ FIXTURES["fx_rfm"] = f"""
          {_day("min(CASE WHEN event_type = 'view' THEN ts END)")} AS datefirstoffer_1144D,
          {_day("max(CASE WHEN event_type = 'signup' THEN ts END)")} AS datelastunpaid_3546854D,
          {_day("min(ts)")} AS dateofcredstart_739D,
-         count_if(event_type = 'signup') AS applications30d_658L,
-         count_if(event_type = 'error') AS numrejects9m_859L,
-         count_if(event_type = 'purchase') AS cntpmts24_3658933L,
-         count_if(event_type = 'click') AS numincomingpmts_3546848L,
-         count_if(event_type = 'view') AS numinstpaidearly5d_1087L,
+         CAST(count_if(event_type = 'signup') AS BIGINT) AS applications30d_658L,
+         CAST(count_if(event_type = 'error') AS BIGINT) AS numrejects9m_859L,
+         CAST(count_if(event_type = 'purchase') AS BIGINT) AS cntpmts24_3658933L,
+         CAST(count_if(event_type = 'click') AS BIGINT) AS numincomingpmts_3546848L,
+         CAST(count_if(event_type = 'view') AS BIGINT) AS numinstpaidearly5d_1087L,
          count(*) AS numinstls_657L,
-         count_if(event_type = 'error') AS numinstunpaidmax_3546851L,
+         CAST(count_if(event_type = 'error') AS BIGINT) AS numinstunpaidmax_3546851L,
          count(DISTINCT event_type) AS numactivecreds_622L,
          count(DISTINCT CAST(ts AS DATE)) AS opencred_647L,
          sum(value) AS credamount_770A,
@@ -544,7 +544,8 @@ SELECT n_rows, n_pos, n_neg, coalesce(CAST(n_pos AS DOUBLE) / nullif(n_rows, 0),
        r AS minority_ratio, CAST(r < 0.2 AS INTEGER) AS is_imbalanced,
        CASE WHEN r < 0.2 THEN 'f1' ELSE 'accuracy' END AS secondary_metric
 FROM (SELECT *, coalesce(CAST(least(n_pos, n_neg) AS DOUBLE) / nullif(greatest(n_pos, n_neg), 0), 0.0) AS r
-      FROM (SELECT count(*) AS n_rows, count_if(target = 1) AS n_pos, count_if(target = 0) AS n_neg FROM fx_base))""",
+      FROM (SELECT count(*) AS n_rows, CAST(count_if(target = 1) AS BIGINT) AS n_pos,
+                   CAST(count_if(target = 0) AS BIGINT) AS n_neg FROM fx_base))""",
                                                 ["pos_share", "minority_ratio"]), "fx_base")
 
 ECON_CTES = [
@@ -690,10 +691,10 @@ FROM (SELECT CAST(actual_label AS DOUBLE) AS y, least(greatest(score, 1e-7), 0.9
 
 # ------------------------------------------------------------------ metrics
 _HARD = [("hl", "  SELECT case_id, actual_label, CAST(score >= 0.5 AS INTEGER) AS predicted_label FROM fx_score_a")]
-_CM = ("cm", """  SELECT count_if(actual_label = 0 AND predicted_label = 0) AS tn,
-         count_if(actual_label = 0 AND predicted_label = 1) AS fp,
-         count_if(actual_label = 1 AND predicted_label = 0) AS fn,
-         count_if(actual_label = 1 AND predicted_label = 1) AS tp FROM hl""")
+_CM = ("cm", """  SELECT CAST(count_if(actual_label = 0 AND predicted_label = 0) AS BIGINT) AS tn,
+         CAST(count_if(actual_label = 0 AND predicted_label = 1) AS BIGINT) AS fp,
+         CAST(count_if(actual_label = 1 AND predicted_label = 0) AS BIGINT) AS fn,
+         CAST(count_if(actual_label = 1 AND predicted_label = 1) AS BIGINT) AS tp FROM hl""")
 
 
 def metric_sql(tn="tn", fp="fp", fn="fn", tp="tp") -> str:
@@ -773,10 +774,10 @@ def _grid_values(values: list[float]) -> str:
 
 def _grid_counts(src: str, grid_cte: str) -> str:
     return f"""  SELECT g.k, g.threshold,
-         count_if(s.actual_label = 0 AND NOT s.score >= g.threshold) AS tn,
-         count_if(s.actual_label = 0 AND s.score >= g.threshold) AS fp,
-         count_if(s.actual_label = 1 AND NOT s.score >= g.threshold) AS fn,
-         count_if(s.actual_label = 1 AND s.score >= g.threshold) AS tp
+         CAST(count_if(s.actual_label = 0 AND NOT s.score >= g.threshold) AS BIGINT) AS tn,
+         CAST(count_if(s.actual_label = 0 AND s.score >= g.threshold) AS BIGINT) AS fp,
+         CAST(count_if(s.actual_label = 1 AND NOT s.score >= g.threshold) AS BIGINT) AS fn,
+         CAST(count_if(s.actual_label = 1 AND s.score >= g.threshold) AS BIGINT) AS tp
   FROM {grid_cte} g, {src} s WHERE s.score IS NOT NULL GROUP BY g.k, g.threshold"""
 
 
@@ -870,6 +871,8 @@ ORACLE["topk_features"] = bb_sql(snapped(
 ORACLE["incremental_f1"] = with_fixtures(snapped("""
 SELECT tp, fp, fn, tn, pe AS precision_eps, re AS recall_eps, 2 * pe * re / (pe + re + 1e-8) AS f1_incremental
 FROM (SELECT *, CAST(tp AS DOUBLE) / (tp + fp + 1e-8) AS pe, CAST(tp AS DOUBLE) / (tp + fn + 1e-8) AS re FROM (
-  SELECT count_if(actual_label = 1 AND score > 0.5) AS tp, count_if(actual_label = 0 AND score > 0.5) AS fp,
-         count_if(actual_label = 1 AND NOT score > 0.5) AS fn, count_if(actual_label = 0 AND NOT score > 0.5) AS tn
+  SELECT CAST(count_if(actual_label = 1 AND score > 0.5) AS BIGINT) AS tp,
+         CAST(count_if(actual_label = 0 AND score > 0.5) AS BIGINT) AS fp,
+         CAST(count_if(actual_label = 1 AND NOT score > 0.5) AS BIGINT) AS fn,
+         CAST(count_if(actual_label = 0 AND NOT score > 0.5) AS BIGINT) AS tn
   FROM fx_score_a))""", ["precision_eps", "recall_eps", "f1_incremental"]), "fx_score_a")

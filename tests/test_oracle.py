@@ -24,6 +24,11 @@ def con():
     return c
 
 
+SPARK_TO_DUCK = {"tinyint": "TINYINT", "smallint": "SMALLINT", "int": "INTEGER", "bigint": "BIGINT",
+                 "float": "FLOAT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN",
+                 "timestamp_ntz": "TIMESTAMP"}
+
+
 def canon(v):
     if isinstance(v, float):
         return "nan" if math.isnan(v) else v
@@ -43,6 +48,9 @@ def test_query_matches_oracle(spark, con, name):
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()
     assert sorted(c.lower() for c in sdf.columns) == sorted(c.lower() for c in dcols)
+    stypes = {f.name.lower(): SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+              for f in sdf.schema.fields}
+    assert stypes == {d[0].lower(): str(d[1]) for d in res.description}
     assert len(srows) == len(drows)
     assert bag(sdf.columns, srows) == bag(dcols, drows)
 
