@@ -265,15 +265,25 @@ class Imputer:
     fills: dict[str, object] = field(default_factory=dict)
 
     def apply(self, df: DataFrame) -> DataFrame:
+        """Fill nulls with the fitted values; an imputed integer column becomes double (its
+        median may be fractional), as a column with missing values is float in the original."""
         out = []
         for f in df.schema.fields:
-            if f.name in self.fills and self.fills[f.name] is not None:
-                out.append(F.coalesce(F.col(f.name), F.lit(self.fills[f.name]).cast(f.dataType)).alias(f.name))
-            else:
+            fill = self.fills.get(f.name)
+            if fill is None:
                 out.append(F.col(f.name))
+            elif isinstance(f.dataType, T.StringType):
+                out.append(F.coalesce(F.col(f.name), F.lit(fill)).alias(f.name))
+            else:
+                out.append(F.coalesce(F.col(f.name).cast("double"), F.lit(float(fill))).alias(f.name))
         return df.select(*out)
 
 
+def _median(c: Column, exact: bool) -> Column:
+    """Interpolated median (exact) or its sketch estimate for very high-cardinality columns."""
+    return F.percentile(c, F.lit(0.5)) if exact else F.percentile_approx(c, 0.5, 100000).cast("double")
+
+
 def fit_imputer(train: DataFrame, exclude: Sequence[str] = ("case_id", "target"), exact: bool = True) -> Imputer:
     """Median for numeric and mode (most frequent, ties -> smallest) for string
     columns, fitted on ``train`` and only for columns that have nulls there."""
@@ -284,9 +294,7 @@ def fit_imputer(train: DataFrame, exclude: Sequence[str] = ("case_id", "target")
            and nulls[f.name] > 0 and f.name not in exclude]
     fills: dict[str, object] = {}
     for chunk in _chunks(num):
-        med = F.percentile if exact else (lambda c, p: F.percentile_approx(c, p, 100000))
-        row = train.agg(*[med(F.col(c), F.lit(0.5)).alias(f"_m{i}") if exact else med(F.col(c), 0.5).alias(f"_m{i}")
-                          for i, c in enumerate(chunk)]).first()
+        row = train.agg(*[_median(F.col(c), exact).alias(f"_m{i}") for i, c in enumerate(chunk)]).first()
         fills.update({c: row[i] for i, c in enumerate(chunk)})
     if cat:
         fills.update({r["column"]: r["mode"] for r in modes(train, cat).collect()})
