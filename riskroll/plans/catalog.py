@@ -772,3 +772,12 @@ def q_incremental_f1(spark, sf_dir):
     final, _ = run_incremental_f1(spark, f"{work}/source", "case_id long, score double, actual_label int",
                                   threshold=0.5, files_per_batch=1, work_dir=work)
     return final
+
+
+@query("feature_table")
+def q_feature_table(spark, sf_dir):
+    """E2 end to end: clean, derive (days-diff, ratios, RFM), clean again, numeric filter,
+    adversarial selection, projection and hold-out split over the whole merged table."""
+    from riskroll.plans import flows
+
+    return flows.feature_stage(merged(spark, sf_dir)).table
