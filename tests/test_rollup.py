@@ -91,3 +91,12 @@ def test_dedup_first_and_common_columns(spark):
     left = rows(spark, [(1, 1)], "case_id long, a int")
     right = rows(spark, [(1, 2, 3)], "case_id long, a int, b int")
     assert drop_common_columns(left, right).columns == ["case_id", "b"]
+
+
+def test_prefilter_choice_does_not_change_result(spark):
+    base = rows(spark, [(1, 0), (2, 1)], "case_id long, target int")
+    d1 = rows(spark, [(1, 0, 2.0), (1, 1, 4.0), (3, 0, 1.0)], "case_id long, num_group1 int, x_1A double")
+    a = sorted(build_case_table(base, {"d1": d1}).collect())                       # broadcast pre-filter
+    b = sorted(build_case_table(base, {"d1": d1}, broadcast_rows=0).collect())     # no pre-filter
+    c = sorted(build_case_table(base, {"d1": d1}, restrict_to_base=True).collect())
+    assert a == b == c and len(a) == 2
