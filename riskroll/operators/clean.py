@@ -123,20 +123,93 @@ def cast_columns(df: DataFrame, casts: dict[str, str]) -> DataFrame:
 # P6 winsorise, A9 quantile bounds
 # --------------------------------------------------------------------------
 
-def _quantile(c: Column | str, p: float, exact: bool, accuracy: int) -> Column:
-    name = c if isinstance(c, str) else None
-    if exact:
-        return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {_q(name)})")
-    return F.percentile_approx(F.col(name), p, accuracy)
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
+                    interpolate: bool = False) -> DataFrame:
+    """Exact quantiles of many columns at once, without a per-column value map in one task.
+
+    ``interpolate=False`` is ``percentile_disc``: the smallest value whose
+    cumulative share reaches ``p``.  ``interpolate=True`` is the continuous
+    (interpolated) percentile at position ``(n - 1) · p``.  The table is
+    unpivoted to ``(column, value)``, distinct values are counted per column
+    (partial aggregation; one reliable checkpoint because the counts are read
+    by several passes), running counts per column come from
+    ``ordered.running_sums`` with value ranges cut per column, and each
+    quantile is a ``min`` over the rows whose running count reaches its rank.
+    Returns ``column, q0, q1, …`` (double), one row per column.
+    """
+    from riskroll.operators.ordered import running_sums
+    from riskroll.session import ensure_checkpoint_dir
+
+    pairs = ", ".join(f"{_lit_name(c)}, CAST({_q(c)} AS DOUBLE)" for c in columns)
+    long = df.selectExpr(f"stack({len(columns)}, {pairs}) AS (`column`, value)").where(F.col("value").isNotNull())
+    ensure_checkpoint_dir(df.sparkSession)
+    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    idx, low, span = [], [], []
+    for i, r in enumerate(counts.groupBy("column").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+                          .collect()):
+        width = r["hi"] - r["lo"] if r["hi"] > r["lo"] else 1.0
+        idx += [F.lit(r["column"]), F.lit(float(i))]
+        low += [F.lit(r["column"]), F.lit(float(r["lo"]))]
+        span += [F.lit(r["column"]), F.lit(float(width))]
+    if not idx:
+        return df.sparkSession.createDataFrame(
+            [], "`column` string, " + ", ".join(f"q{i} double" for i in range(len(probs))))
+    col = F.col("column")
+    norm = F.create_map(*idx)[col] + (F.col("value") - F.create_map(*low)[col]) / F.create_map(*span)[col] * 0.5
+    cum = running_sums(counts, "value", ["n"], group_cols=["column"], totals=True, range_key=norm)
+    share = F.col("cum_n").cast("double") / F.col("total_n").cast("double")
+    aggs = []
+    for i, p in enumerate(probs):
+        if not interpolate:
+            aggs.append(F.min(F.when(share >= F.lit(float(p)), F.col("value"))).alias(f"q{i}"))
+        else:
+            pos = (F.col("total_n") - 1).cast("double") * F.lit(float(p))
+            aggs += [F.min(F.when(F.col("cum_n") >= F.floor(pos) + 1, F.col("value"))).alias(f"_lo{i}"),
+                     F.min(F.when(F.col("cum_n") >= F.ceil(pos) + 1, F.col("value"))).alias(f"_hi{i}"),
+                     F.max(pos).alias(f"_pos{i}")]
+    out = cum.groupBy("column").agg(*aggs)
+    if interpolate:
+        sel = []
+        for i in range(len(probs)):
+            pos, lo, hi = F.col(f"_pos{i}"), F.col(f"_lo{i}"), F.col(f"_hi{i}")
+            frac = F.when(F.floor(pos) == F.ceil(pos), lo).otherwise(
+                (F.ceil(pos) - pos) * lo + (pos - F.floor(pos)) * hi)
+            sel.append(frac.alias(f"q{i}"))
+        out = out.select("column", *sel)
+    return out
+
+
+# Fixed value: most (rows × columns) that the single-aggregate exact quantile may hold in value maps.
+MAX_MAP_CELLS = 10_000_000
+
+
+def fits_value_maps(df: DataFrame, n_columns: int, max_cells: int | None = None) -> bool:
+    """Proven bound for the single-aggregate path: ``rows × columns <= max_cells`` (one count)."""
+    limit = MAX_MAP_CELLS if max_cells is None else max_cells
+    return n_columns == 0 or df.count() * n_columns <= limit
 
 
 def quantile_bounds(df: DataFrame, columns: Sequence[str], lower: float = 0.01, upper: float = 0.99,
-                    exact: bool = True, accuracy: int = 100000) -> DataFrame:
-    """Long form ``column, q_low, q_high`` from one aggregate (``percentile_disc`` when exact)."""
+                    exact: bool = True, accuracy: int = 100000, distributed: bool | None = None) -> DataFrame:
+    """Long form ``column, q_low, q_high`` with ``percentile_disc`` semantics.
+
+    Exact: when ``rows × columns`` is proven small (one count, at most 10M
+    cells) a single ``percentile_disc`` aggregate holds the value maps;
+    anything larger uses the distributed ``exact_quantiles``, so no task ever
+    holds a whole column's value map.  ``exact=False`` uses
+    ``percentile_approx`` sketches.  ``distributed`` overrides the check
+    when the caller has already made it.
+    """
+    if distributed is None:
+        distributed = exact and not fits_value_maps(df, len(columns))
+    if exact and distributed:
+        q = exact_quantiles(df, columns, [lower, upper])
+        return q.select("column", F.col("q0").alias("q_low"), F.col("q1").alias("q_high"))
     aggs = []
     for i, c in enumerate(columns):
-        aggs += [_quantile(c, lower, exact, accuracy).cast("double").alias(f"_l{i}"),
-                 _quantile(c, upper, exact, accuracy).cast("double").alias(f"_h{i}")]
+        q = ((lambda p, c=c: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {_q(c)})")) if exact
+             else (lambda p, c=c: F.percentile_approx(F.col(c), p, accuracy)))
+        aggs += [q(lower).cast("double").alias(f"_l{i}"), q(upper).cast("double").alias(f"_h{i}")]
     one = df.agg(*aggs)
     stack = "stack({}, {}) as (`column`, q_low, q_high)".format(
         len(columns), ", ".join(f"{_lit_name(c)}, _l{i}, _h{i}" for i, c in enumerate(columns)))
@@ -171,9 +244,12 @@ def fit_winsor(df: DataFrame, columns: Sequence[str] | None = None, exclude: Seq
     """Fit q_low / q_high per numeric column (keys, label and periods excluded)."""
     cols = list(columns) if columns is not None else numeric_columns(df, exclude)
     bounds: dict[str, tuple[float | None, float | None]] = {}
-    for chunk in _chunks(cols):
-        for r in quantile_bounds(df, chunk, lower, upper, exact).collect():
-            bounds[r["column"]] = (r["q_low"], r["q_high"])
+    distributed = exact and not fits_value_maps(df, len(cols))
+    chunks = [cols] if distributed else list(_chunks(cols))
+    for chunk in chunks:
+        if chunk:
+            for r in quantile_bounds(df, chunk, lower, upper, exact, distributed=distributed).collect():
+                bounds[r["column"]] = (r["q_low"], r["q_high"])
     return WinsorBounds(bounds)
 
 
@@ -280,7 +356,7 @@ class Imputer:
 
 
 def _median(c: Column, exact: bool) -> Column:
-    """Interpolated median (exact) or its sketch estimate for very high-cardinality columns."""
+    """Interpolated median (exact, small inputs) or its sketch estimate."""
     return F.percentile(c, F.lit(0.5)) if exact else F.percentile_approx(c, 0.5, 100000).cast("double")
 
 
@@ -293,7 +369,10 @@ def fit_imputer(train: DataFrame, exclude: Sequence[str] = ("case_id", "target")
     cat = [f.name for f in train.schema.fields if isinstance(f.dataType, T.StringType)
            and nulls[f.name] > 0 and f.name not in exclude]
     fills: dict[str, object] = {}
-    for chunk in _chunks(num):
+    distributed = exact and not fits_value_maps(train, len(num))
+    if distributed and num:
+        fills.update({r["column"]: r["q0"] for r in exact_quantiles(train, num, [0.5], interpolate=True).collect()})
+    for chunk in ([] if distributed else list(_chunks(num))):
         row = train.agg(*[_median(F.col(c), exact).alias(f"_m{i}") for i, c in enumerate(chunk)]).first()
         fills.update({c: row[i] for i, c in enumerate(chunk)})
     if cat:

@@ -131,3 +131,40 @@ def test_class_tables(spark):
     assert w[1]["weight_ratio"] == 4.0 and w[1]["weight_odds"] == 4.0 and w[1]["weight_balanced"] == 2.5
     p = classes.class_profile(df).first()
     assert p["minority_ratio"] == 0.25 and p["is_imbalanced"] == 0 and p["secondary_metric"] == "accuracy"
+
+
+def test_exact_quantiles_match_spark_aggregates(spark):
+    import random
+
+    random.seed(9)
+    rows = [(float(random.randint(0, 50)), random.random() * 1000 if random.random() > 0.1 else None,
+             random.randint(-5, 5)) for _ in range(700)]
+    df = spark.createDataFrame(rows, "a double, b double, c int")
+    cols = ["a", "b", "c"]
+    ps = [0.01, 0.25, 0.5, 0.55, 0.99]
+    got = {r["column"]: [r[f"q{i}"] for i in range(len(ps))] for r in clean.exact_quantiles(df, cols, ps).collect()}
+    cont = {r["column"]: r["q0"] for r in clean.exact_quantiles(df, cols, [0.5], interpolate=True).collect()}
+    df.createOrReplaceTempView("qt")
+    for c in cols:
+        want = spark.sql("SELECT " + ", ".join(f"CAST(percentile_disc({p}) WITHIN GROUP (ORDER BY {c}) AS DOUBLE)"
+                                               for p in ps) + " FROM qt").first()
+        assert got[c] == [float(x) for x in want]
+        med = spark.sql(f"SELECT percentile({c}, 0.5) FROM qt").first()[0]
+        assert cont[c] == pytest.approx(med, rel=1e-12)
+
+
+def test_quantile_paths_agree(spark):
+    import random
+
+    random.seed(4)
+    df = spark.createDataFrame([(float(random.randint(0, 300)), random.randint(0, 9)) for _ in range(500)],
+                               "a double, b int")
+    small = {r["column"]: (r["q_low"], r["q_high"]) for r in clean.quantile_bounds(df, ["a", "b"]).collect()}
+    old = clean.MAX_MAP_CELLS
+    clean.MAX_MAP_CELLS = 0
+    try:
+        big = {r["column"]: (r["q_low"], r["q_high"])
+               for r in clean.quantile_bounds(df, ["a", "b"]).collect()}
+    finally:
+        clean.MAX_MAP_CELLS = old
+    assert small == big
