@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskroll.operators.ordered import bounded_collect
+
 # Fixed values
 IMBALANCE_RATIO = 0.2
 MINMAX_EPS = 1e-6
@@ -44,7 +46,7 @@ def class_weights(df: DataFrame, label: str = "target") -> DataFrame:
 def with_class_weight(df: DataFrame, label: str = "target", kind: str = "weight_balanced",
                       name: str = "weight") -> DataFrame:
     """Attach a per-row weight column from ``class_weights`` (the class table is tiny: one row per class)."""
-    w = {r["class"]: r[kind] for r in class_weights(df, label).collect()}
+    w = {r["class"]: r[kind] for r in bounded_collect(class_weights(df, label), 1000, f"classes of {label}")}
     expr = None
     for c, v in w.items():
         cond = F.col(label) == F.lit(c)

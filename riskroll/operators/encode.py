@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskroll.operators.ordered import dense_codes
+from riskroll.operators.ordered import bounded_collect, dense_codes
 
 # Fixed value: the class name that a null takes when it is encoded as a string.
 NULL_CLASS = "None"
@@ -66,12 +66,17 @@ class OneHot:
         return df.select(*keep, *new)
 
 
-def fit_one_hot(train: DataFrame, columns: Sequence[str]) -> OneHot:
+# Fixed value: most categories one column may turn into 0/1 columns.
+MAX_ONE_HOT_CATEGORIES = 1000
+
+
+def fit_one_hot(train: DataFrame, columns: Sequence[str], max_categories: int = MAX_ONE_HOT_CATEGORIES) -> OneHot:
     """every category seen in ``train`` (null included) becomes a 0/1 column
-    ``{column}_{category}``; values not seen in train give all zeros."""
+    ``{column}_{category}``; values not seen in train give all zeros.  A column with more than
+    ``max_categories`` values is refused (its category list would be unbounded on the driver)."""
     cats = {}
     for c in columns:
-        rows = (train.select(F.coalesce(F.col(c).cast("string"), F.lit(NULL_CLASS)).alias("v"))
-                .distinct().orderBy("v").collect())
-        cats[c] = [r["v"] for r in rows]
+        distinct = (train.select(F.coalesce(F.col(c).cast("string"), F.lit(NULL_CLASS)).alias("v"))
+                    .distinct().orderBy("v"))
+        cats[c] = [r["v"] for r in bounded_collect(distinct, max_categories, f"one-hot categories of {c}")]
     return OneHot(cats)

@@ -23,6 +23,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _BUCKET = "_range"
+# Fixed value: most (group, range) rows the offset table may hold (it is collected and broadcast).
+MAX_OFFSET_ROWS = 1_000_000
+
+
+def bounded_collect(df: DataFrame, limit: int, what: str) -> list:
+    """Collect at most ``limit`` rows; more is an error, never a silent truncation."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"{what}: more than {limit} rows would reach the driver; "
+                         f"use fewer groups / categories for this operator")
+    return rows
 
 
 def _default_buckets(df: DataFrame) -> int:
@@ -75,7 +86,8 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str], tiebrea
         df = df.checkpoint(eager=True)
     ranged = with_ranges(df, order_col, n_buckets, descending, range_key)
     keys = [*group_cols, _BUCKET]
-    range_totals = ranged.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sum_cols]).collect()
+    range_totals = bounded_collect(ranged.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sum_cols]),
+                                   MAX_OFFSET_ROWS, "per-range totals (groups × ranges)")
     # exclusive prefix of the per-range totals, per group, on the driver (bounded by groups × ranges)
     rows = []
     by_group: dict[tuple, list] = {}

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskroll.functions.exprs import hash_uniform
-from riskroll.operators.ordered import first_rows, global_rank
+from riskroll.operators.ordered import bounded_collect, first_rows, global_rank
 
 # Fixed values
 SEED = 42
@@ -25,9 +25,14 @@ def _with_u(df: DataFrame, key: str, seed) -> DataFrame:
     return df.withColumn(U, hash_uniform(key, seed))
 
 
+# Fixed value: most classes a label may have for the per-class operators.
+MAX_CLASSES = 1000
+
+
 def class_counts(df: DataFrame, label: str = "target") -> dict:
-    """Rows per class (one small aggregate, one row per class)."""
-    return {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    """Rows per class (one small aggregate, one row per class, at most ``MAX_CLASSES``)."""
+    rows = bounded_collect(df.groupBy(label).agg(F.count(F.lit(1)).alias("n")), MAX_CLASSES, f"classes of {label}")
+    return {r[label]: r["n"] for r in rows}
 
 
 def sample_n(df: DataFrame, n: int, key: str = "case_id", seed=SEED) -> DataFrame:

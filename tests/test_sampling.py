@@ -53,3 +53,13 @@ def test_permutation_keeps_label_counts(spark):
     assert p.count() == 500
     assert p.agg(F.sum("permuted_target")).first()[0] == df.agg(F.sum("target")).first()[0]
     assert p.where(F.col("permuted_target") != F.col("target")).count() > 0
+
+
+def test_bounded_collect_refuses_large_results(spark):
+    import pytest
+
+    from riskroll.operators.ordered import bounded_collect
+    df = spark.range(10)
+    assert len(bounded_collect(df, 10, "ids")) == 10
+    with pytest.raises(ValueError):
+        bounded_collect(df, 9, "ids")
