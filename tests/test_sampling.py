@@ -63,3 +63,15 @@ def test_bounded_collect_refuses_large_results(spark):
     assert len(bounded_collect(df, 10, "ids")) == 10
     with pytest.raises(ValueError):
         bounded_collect(df, 9, "ids")
+
+
+def test_dense_codes_match_sorted_order(spark):
+    import random
+
+    from riskroll.operators.ordered import dense_codes
+    random.seed(2)
+    words = ["w%05d" % random.randint(0, 5000) for _ in range(3000)] + [None] * 5
+    df = spark.createDataFrame([(w,) for w in words], "v string")
+    got = {r["v"]: r["_code"] for r in dense_codes(df, "v", n_parts=7).collect()}
+    want = {w: i for i, w in enumerate(sorted({w for w in words if w is not None}))}
+    assert got == want
