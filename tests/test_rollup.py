@@ -100,3 +100,13 @@ def test_prefilter_choice_does_not_change_result(spark):
     b = sorted(build_case_table(base, {"d1": d1}, broadcast_rows=0).collect())     # no pre-filter
     c = sorted(build_case_table(base, {"d1": d1}, restrict_to_base=True).collect())
     assert a == b == c and len(a) == 2
+
+
+def test_approx_nunique_close_and_without_expand(spark):
+    df = rows(spark, [(i % 4, i, float(i), None, str(i % 37), i, None, 0) for i in range(4000)], SCHEMA)
+    exact = {r["case_id"]: r["cat_3M_nunique"] for r in ru.rollup(df).collect()}
+    approx_df = ru.rollup(df, approx_nunique=True)
+    approx = {r["case_id"]: r["cat_3M_nunique"] for r in approx_df.collect()}
+    for k in exact:
+        assert abs(approx[k] - exact[k]) <= max(1, 0.05 * exact[k])
+    assert "Expand" not in approx_df._jdf.queryExecution().executedPlan().toString()
