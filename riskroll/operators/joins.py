@@ -65,7 +65,7 @@ PREFILTER_BROADCAST_ROWS = 2_000_000
 
 def build_case_table(base: DataFrame, families: Mapping[str, DataFrame], key: str = "case_id",
                      restrict_to_base: bool | str = "auto",
-                     broadcast_rows: int = PREFILTER_BROADCAST_ROWS) -> DataFrame:
+                     broadcast_rows: int = PREFILTER_BROADCAST_ROWS, approx_nunique: bool = False) -> DataFrame:
     """J1 + J2 + A1 (+ J4): base ⟕ roll-up(family) for every child family.
 
     Histories of cases outside the base never reach the result (the final
@@ -79,6 +79,8 @@ def build_case_table(base: DataFrame, families: Mapping[str, DataFrame], key: st
     ``True`` / ``False`` force the choice (``True`` lets the planner pick
     the join).
 
+    ``approx_nunique`` switches the roll-ups' distinct counts to HyperLogLog++.
+
     Output names that more than one family (or the base) produce, e.g.
     ``record_count`` or ``num_group1_max``, get the family name as a
     prefix instead of an engine-chosen suffix.
@@ -94,7 +96,7 @@ def build_case_table(base: DataFrame, families: Mapping[str, DataFrame], key: st
             child = child.join(F.broadcast(keys), key, "left_semi")
         elif prefilter == "planner":
             child = semi_join_keys(child, keys, key)
-        rolled[name] = rollup(child, key)
+        rolled[name] = rollup(child, key, approx_nunique=approx_nunique)
     counts: dict[str, int] = {}
     for df in [base, *rolled.values()]:
         for c in df.columns:

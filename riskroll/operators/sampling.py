@@ -66,7 +66,10 @@ def stratified_split(df: DataFrame, test_size: float = 0.2, label: str = "target
                      seed=SEED) -> DataFrame:
     """Per class, the ``ceil(test_size * n_class)`` smallest ``u`` go to validation.
 
-    Adds ``is_valid`` (0/1).  Class sizes come from one small aggregate.
+    Adds ``is_valid`` (0/1).  Class sizes come from one small aggregate.  The
+    ceiling puts at least one row of every non-empty class in validation, so
+    the original's "re-split with the next seed when validation has no
+    positive" never triggers.
     """
     counts = class_counts(df, label)
     staged = _with_u(df, key, seed)
