@@ -42,12 +42,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     Only when it is unset (local runs, tests) a fresh scratch folder is made.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - sessions without a local SparkContext manage checkpoints server-side
+        return spark.conf.get("spark.checkpoint.dir", "")
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        # only when the cluster names no shared folder (local runs, tests)
         configured = tempfile.mkdtemp(prefix="riskroll-ckpt-", dir="/tmp")
     sc.setCheckpointDir(configured)
     return configured
