@@ -59,7 +59,7 @@ def importance_topk(df: DataFrame, features: Sequence[str], k: int = 60, label:
 
 
 def adversarial_auc(df: DataFrame, features: Sequence[str], period_col: str = "WEEK_NUM",
-                    cut: int = ADVERSARIAL_CUT, bins: int = ADVERSARIAL_BINS) -> DataFrame:
+                    cut: int = ADVERSARIAL_CUT, bins: int = ADVERSARIAL_BINS, exact_bins: bool = True) -> DataFrame:
     """L2: per feature, the in-sample AUC of a one-feature equal-frequency-bin model that
     predicts ``period >= cut``; ``keep = auc < 0.65``.
 
@@ -70,11 +70,18 @@ def adversarial_auc(df: DataFrame, features: Sequence[str], period_col: str = "W
     the score, and the AUC of that score is taken per feature with the same
     distinct-score prefix sums as ``metrics.curve_summary``.  Null values
     form a bin of their own.
+
+    ``exact_bins=False`` cuts the bins at per-feature ``percentile_approx``
+    points instead (one sketch aggregate per feature, ``bins - 1`` cut points
+    each, as histogram-based boosting bins its inputs); it needs no distinct
+    (feature, value) table, which matters for continuous features at scale.
     """
     y = (F.col(period_col) >= F.lit(cut)).cast("int")
     pairs = ", ".join(f"'{f}', CAST(`{f}` AS DOUBLE)" for f in features)
     long = df.select(y.alias("y"), *[F.col(f) for f in features]).selectExpr(
         "y", f"stack({len(features)}, {pairs}) AS (feature, value)")
+    if not exact_bins:
+        return _auc_from_bins(_sketch_bins(long, bins))
     values = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))
     # the distinct (feature, value) table is read by several passes below: compute it once
     from riskroll.session import ensure_checkpoint_dir
@@ -100,6 +107,24 @@ def adversarial_auc(df: DataFrame, features: Sequence[str], period_col: str = "W
                            F.floor((F.col("cum_n") - F.col("n")) * bins / F.col("total_n")).cast("int").alias("bin"))
     binned = binned.unionByName(values.where(F.col("value").isNull())
                                 .select("feature", "value", "pos", "n", F.lit(-1).alias("bin")))
+    return _auc_from_bins(binned)
+
+
+def _sketch_bins(long: DataFrame, bins: int) -> DataFrame:
+    """``feature, bin, pos, n`` with bins cut at approximate per-feature quantiles (nulls: bin -1)."""
+    probs = [i / bins for i in range(1, bins)]
+    cuts = long.where(F.col("value").isNotNull()).groupBy("feature").agg(
+        F.array_distinct(F.percentile_approx("value", probs, 10000)).alias("cuts"))
+    # one row of cut points per feature: bounded by the number of features
+    joined = long.join(F.broadcast(cuts), "feature", "left")
+    bin_ = F.when(F.col("value").isNull(), F.lit(-1)).otherwise(
+        F.size(F.filter(F.col("cuts"), lambda c: c <= F.col("value"))))
+    return joined.groupBy("feature", bin_.alias("bin")).agg(F.sum("y").alias("pos"),
+                                                           F.count(F.lit(1)).alias("n"))
+
+
+def _auc_from_bins(binned: DataFrame) -> DataFrame:
+    """Per feature: the bin's positive share is the score; AUC of that score against y."""
     per_bin = binned.groupBy("feature", "bin").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
     scored = per_bin.select("feature", (F.col("pos") / F.col("n")).alias("score"), "pos",
                             (F.col("n") - F.col("pos")).alias("neg"))

@@ -72,3 +72,17 @@ def test_noise_model_is_near_chance(spark):
     model = mo.fit_gbt(df.where(~F.col("v")), ["z"], mo.GBTParams(max_iter=5, max_depth=2))
     auc = me.curve_summary(mo.batch_score(model, df.where(F.col("v")), 0.5)).first()["roc_auc"]
     assert 0.35 < auc < 0.65
+
+
+def test_adversarial_auc_exact_and_sketch(spark):
+    from riskroll.operators import selection
+
+    rng = np.random.default_rng(5)
+    rows = [(int(w), float(w + rng.normal() * 20), float(rng.normal())) for w in rng.integers(0, 92, 2000)]
+    df = spark.createDataFrame(rows, "WEEK_NUM int, drift double, noise double")
+    exact = {r["feature"]: r["auc"] for r in selection.adversarial_auc(df, ["drift", "noise"], bins=32).collect()}
+    sketch = {r["feature"]: r["auc"]
+              for r in selection.adversarial_auc(df, ["drift", "noise"], bins=32, exact_bins=False).collect()}
+    assert exact["drift"] > 0.9 and sketch["drift"] > 0.9
+    assert exact["noise"] < exact["drift"] and sketch["noise"] < sketch["drift"]
+    assert abs(exact["drift"] - sketch["drift"]) < 0.05
