@@ -96,6 +96,7 @@ def read_with_lineage(spark: SparkSession, paths: str | Sequence[str], fmt: str
     if fmt == "csv":
         options.setdefault("header", "true")
         options.setdefault("inferSchema", "true")
+        options.setdefault("pathGlobFilter", "*.csv")      # only the directory's .csv files
     if fmt == "parquet":
         options.setdefault("mergeSchema", "true")
     df = spark.read.format(fmt).options(**options).load(paths)

@@ -9,7 +9,8 @@ from riskroll import sources
 
 def test_csv_lineage_ranks_files(spark):
     d = tempfile.mkdtemp(prefix="riskroll-csv-", dir="/tmp")
-    for name, rows in {"b.csv": "x,y\n1,2\n3,4\n", "a.csv": "x,y\n5,6\n", "c.csv": "x,y\n7,8\n"}.items():
+    files = {"b.csv": "x,y\n1,2\n3,4\n", "a.csv": "x,y\n5,6\n", "c.csv": "x,y\n7,8\n", "notes.txt": "x,y\n9,9\n"}
+    for name, rows in files.items():
         with open(f"{d}/{name}", "w") as fh:
             fh.write(rows)
     df = sources.read_with_lineage(spark, d, fmt="csv")
