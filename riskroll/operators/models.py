@@ -18,8 +18,10 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier)
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -237,34 +239,53 @@ def stack_score(train: DataFrame, test: DataFrame, features: Sequence[str], base
 # Random search with cross-validation on average precision
 # --------------------------------------------------------------------------
 
+class AveragePrecision(Evaluator):
+    """Spark ML evaluator: exact average precision (PR AUC) of ``probability[1]`` via the
+    distributed prefix sums of ``operators.metrics`` (no score binning)."""
+
+    def __init__(self, labelCol: str = "target"):
+        super().__init__()
+        self.labelCol = labelCol
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        from riskroll.operators import metrics
+
+        scored = dataset.select(positive_probability().alias("score"),
+                                F.col(self.labelCol).cast("int").alias("actual_label"))
+        return float(metrics.curve_summary(scored).first()["average_precision"] or 0.0)
+
+    def isLargerBetter(self) -> bool:
+        return True
+
+
 def random_search(train: DataFrame, features: Sequence[str], n_draws: int = 3, k: int = 3,
-                  label: str = "target", key: str = "case_id", seed: int = 42) -> DataFrame:
-    """Seeded parameter draws for the boosted trees, each scored by the mean PR AUC over
-    stratified folds (computed with the exact metric of ``operators.metrics``).
+                  label: str = "target", key: str = "case_id", seed: int = 42, parallelism: int = 2) -> DataFrame:
+    """Seeded random draws of boosted-tree settings, scored by ``CrossValidator`` on the
+    stratified folds (``foldCol``) with the exact average-precision evaluator.
 
     Returns ``draw, max_depth, step_size, max_iter, mean_pr_auc, is_best``."""
     import random
 
-    from riskroll.operators import metrics
-
     rng = random.Random(seed)
-    draws = [GBTParams(max_iter=rng.choice([5, 10, 15]), max_depth=rng.choice([3, 4, 5, 6]),
-                       step_size=rng.choice([0.03, 0.05, 0.1]), seed=seed) for _ in range(n_draws)]
+    draws = [(rng.choice([5, 10, 15]), rng.choice([3, 4, 5, 6]), rng.choice([0.03, 0.05, 0.1]))
+             for _ in range(n_draws)]
     folded = sampling.stratified_kfold(train, k, label, key)
-    rows = []
-    for i, p in enumerate(draws):
-        aps = []
-        for f in range(k):
-            model = fit_gbt(folded.where(F.col("fold") != f), features, p, label)
-            scored = model.transform(folded.where(F.col("fold") == f)).select(
-                positive_probability().alias("score"), F.col(label).alias("actual_label"))
-            aps.append(metrics.curve_summary(scored).first()["average_precision"] or 0.0)
-        rows.append((i, p.max_depth, p.step_size, p.max_iter, sum(aps) / len(aps)))
-    best = max(rows, key=lambda r: (r[4], -r[0]))[0]
-    spark = train.sparkSession
-    return spark.createDataFrame([(*r, int(r[0] == best)) for r in rows],
-                                 "draw int, max_depth int, step_size double, max_iter int, mean_pr_auc double, "
-                                 "is_best int")
+    weighted = classes.with_class_weight(folded, label, "weight_ratio").withColumn(label, F.col(label).cast("double"))
+    # every fold and draw re-reads the training table: cut its lineage once (shared checkpoint folder)
+    from riskroll.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(train.sparkSession)
+    weighted = weighted.select(key, label, "fold", "weight", *features).checkpoint(eager=True)
+    va = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
+    gbt = GBTClassifier(featuresCol="features", labelCol=label, weightCol="weight", seed=seed)
+    maps = [{gbt.maxIter: it, gbt.maxDepth: depth, gbt.stepSize: step} for it, depth, step in draws]
+    cv = CrossValidator(estimator=Pipeline(stages=[va, gbt]), estimatorParamMaps=maps,
+                        evaluator=AveragePrecision(label), numFolds=k, foldCol="fold", parallelism=parallelism,
+                        seed=seed)
+    scores = cv.fit(weighted).avgMetrics
+    best = max(range(len(draws)), key=lambda i: (scores[i], -i))
+    rows = [(i, depth, step, it, float(scores[i]), int(i == best)) for i, (it, depth, step) in enumerate(draws)]
+    return train.sparkSession.createDataFrame(
+        rows, "draw int, max_depth int, step_size double, max_iter int, mean_pr_auc double, is_best int")
 
 
 # --------------------------------------------------------------------------
