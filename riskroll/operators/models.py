@@ -201,6 +201,10 @@ def stack_oof(train: DataFrame, features: Sequence[str], base_params: dict, k: i
     Folds come from the stratified k-fold (R4); fold ``f`` is scored by a
     model fitted on the other folds, and the k score sets are unioned."""
     folded = sampling.stratified_kfold(train, k, label, key)
+    # k fits per base re-read the folded table: cut its lineage once (shared checkpoint folder)
+    from riskroll.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(train.sparkSession)
+    folded = folded.checkpoint(eager=True)
     out = folded.select(key, label, "fold")
     for name, params in base_params.items():
         parts = None
