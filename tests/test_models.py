@@ -86,3 +86,11 @@ def test_adversarial_auc_exact_and_sketch(spark):
     assert exact["drift"] > 0.9 and sketch["drift"] > 0.9
     assert exact["noise"] < exact["drift"] and sketch["noise"] < sketch["drift"]
     assert abs(exact["drift"] - sketch["drift"]) < 0.05
+
+
+def test_random_search_cross_validator(planted):
+    df, feats = planted
+    out = mo.random_search(df, feats, n_draws=2, k=2).collect()
+    assert len(out) == 2 and sum(r["is_best"] for r in out) == 1
+    best = max(out, key=lambda r: (r["mean_pr_auc"], -r["draw"]))
+    assert best["is_best"] == 1 and best["mean_pr_auc"] > 0.5     # planted signal: well above the base rate
