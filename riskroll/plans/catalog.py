@@ -777,7 +777,9 @@ def q_incremental_f1(spark, sf_dir):
 @query("feature_table")
 def q_feature_table(spark, sf_dir):
     """E2 end to end: clean, derive (days-diff, ratios, RFM), clean again, numeric filter,
-    adversarial selection, projection and hold-out split over the whole merged table."""
+    adversarial selection, top-k by boosted-tree importance, projection and hold-out split over
+    the whole merged table."""
     from riskroll.plans import flows
 
-    return flows.feature_stage(merged(spark, sf_dir)).table
+    return flows.feature_stage(merged(spark, sf_dir), top_k=60, use_importance_topk=True,
+                               model_params=mo.GBTParams(max_iter=10, max_depth=4, step_size=0.1)).table

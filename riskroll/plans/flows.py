@@ -59,8 +59,9 @@ def feature_stage(merged: DataFrame, top_k: int = 60, n_test: int | None = None,
     """The feature table with a ``split`` column (test / train).
 
     The adversarial filter (L2) always runs; the two model-based selectors
-    (L1, L3) run when asked.  Test size defaults to a tenth of the rows with
-    a tenth of those positive.
+    (L1, L3) run when asked.  Without L3 the ``top_k`` most stable features
+    (lowest adversarial AUC) are kept.  Test size defaults to a tenth of the
+    rows with a tenth of those positive.
     """
     first = clean_stage(merged)
     derived = fe.rfm_features(fe.ratio_features(fe.days_diff(first)))
@@ -74,7 +75,8 @@ def feature_stage(merged: DataFrame, top_k: int = 60, n_test: int | None = None,
         keep = [r["feature"] for r in ni.where(F.col("keep") == 1).collect()] or keep
     adv = selection.adversarial_auc(second, keep)
     reports["adversarial_auc"] = adv
-    keep = [r["feature"] for r in adv.where(F.col("keep") == 1).orderBy("feature").collect()]
+    # most stable first (lowest separation of the late period), ties by name
+    keep = [r["feature"] for r in adv.where(F.col("keep") == 1).orderBy("auc", "feature").collect()]
     if use_importance_topk and keep:
         top = selection.importance_topk(second, keep, k=top_k, params=model_params)
         reports["importance_topk"] = top
