@@ -268,9 +268,9 @@ def compare_models(tables: Mapping[str, DataFrame] | DataFrame, threshold: float
     rows = (lm.join(cs, model_col)
             .select(model_col, "accuracy", "precision", "recall", "f1", "roc_auc",
                     F.col("average_precision").alias("pr_auc"), "ks", rank[F.col(model_col)].alias("_i")))
-    w = Window.partitionBy(F.lit(0))
-    best = F.max_by(model_col, F.struct(F.col(primary), -F.col("_i"))).over(w)
-    return rows.withColumn("is_best", (F.col(model_col) == best).cast("int")).drop("_i")
+    # one row per model: the best name comes back as a literal from a 1-row aggregate
+    best = rows.agg(F.max_by(model_col, F.struct(F.col(primary), -F.col("_i")))).first()[0]
+    return rows.withColumn("is_best", (F.col(model_col) == F.lit(best)).cast("int")).drop("_i")
 
 
 def score_histogram(df: DataFrame, score: str = "score", bins: int = 50) -> DataFrame:

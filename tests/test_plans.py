@@ -28,3 +28,19 @@ def test_rollup_one_exchange_on_key(spark):
     text = plan_text(ru.rollup(child))
     assert text.count("Exchange hashpartitioning(case_id") <= 2   # distinct-count expansion adds one on the same key
     assert "SinglePartition" not in text
+
+
+def test_ranking_and_metric_queries_only_partitioned_windows(spark):
+    import __spark_entry__ as entry
+
+    qs = entry.queries()
+    for name in ("roc_auc", "pr_curve", "compare_models", "sample_n", "holdout_split", "permute_labels",
+                 "stratified_kfold", "grid_threshold"):
+        text = plan_text(qs[name](spark, SMALL))
+        for line in text.splitlines():
+            if "Window [" not in line:
+                continue
+            spec = re.search(r"Window \[.*\], \[([^\]]*)\], \[", line)
+            partition = spec.group(1) if spec else ""
+            # the only unpartitioned window runs over the threshold grid (at most 1,001 rows)
+            assert partition.strip() or "k#" in line, (name, line[:200])
