@@ -38,20 +38,19 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
+    """The shared checkpoint folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only when it is unset (local runs, tests) a fresh scratch folder is made.
+    Where it is unset, a local session (tests, scripts) gets a scratch folder; any other master is refused, since a
+    machine-local folder is lost to the other executors.
     """
-    try:
-        sc = spark.sparkContext
-    except Exception:  # noqa: BLE001 - sessions without a local SparkContext manage checkpoints server-side
-        return spark.conf.get("spark.checkpoint.dir", "")
+    sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        # only when the cluster names no shared folder (local runs, tests)
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="riskroll-ckpt-", dir="/tmp")
     sc.setCheckpointDir(configured)
-    return configured
+    return sc._jsc.sc().getCheckpointDir().get()
