@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, rans
+from . import decontaminate, packing, pii, quality, rans, sharding, toxicity
 from .common import ship
 
 
@@ -18,7 +18,11 @@ def _shipped(query):
 QUERIES = {name: _shipped(query) for name, query in {
     "op2_best_fit_packing": packing.query,
     "op3_rans_output": rans.query,
+    "op4_pii": pii.query,
+    "op5_compression_quality": quality.query,
+    "op7_toxicity": toxicity.query,
     "op9_decontamination": decontaminate.query,
+    "op10_sharding": sharding.query,
 }.items()}
 
 ORACLE = {"op9_decontamination": decontaminate.SQL}

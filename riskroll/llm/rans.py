@@ -29,9 +29,9 @@ from .common import bounded_collect, pieces, shared_path, table
 from .tokens import Encoder, default_path
 
 SCALE = 20
-LANES = 512
+LANES = 2048
 CHECKPOINT_STEPS = 256
-BLOCK_IDS = 1 << 18
+BLOCK_IDS = 1 << 20
 MAX_SYMBOLS = 1 << (SCALE - 1)
 _LOW = np.uint64(1 << 31)
 _MASK = np.uint64((1 << SCALE) - 1)
@@ -152,14 +152,14 @@ def symbol_counts(ids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and their counts over all ids, ascending."""
 
     def run(batches):
-        total: dict[int, int] = {}
+        total = np.zeros(0, dtype=np.int64)
         for batch in pieces(batches):
-            found = np.unique(np.concatenate([_from_planes(x) for x in batch.column("ids").to_pylist()]),
-                              return_counts=True)
-            for k, n in zip(*(x.tolist() for x in found)):
-                total[k] = total.get(k, 0) + n
-        yield pa.RecordBatch.from_pydict({"id": pa.array(total.keys(), pa.int64()),
-                                          "n": pa.array(total.values(), pa.int64())})
+            found = np.bincount(np.concatenate([_from_planes(x) for x in batch.column("ids").to_pylist()]))
+            if len(found) > len(total):
+                total = np.concatenate([total, np.zeros(len(found) - len(total), dtype=np.int64)])
+            total[:len(found)] += found
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"id": pa.array(seen, pa.int64()), "n": pa.array(total[seen], pa.int64())})
 
     summed = ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     rows = sorted(bounded_collect(summed, MAX_SYMBOLS, "symbols"))

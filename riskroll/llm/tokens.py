@@ -16,7 +16,7 @@ import numpy as np
 
 #: White space other than space and line feed, and the cut mark itself.
 _OTHER_SPACE = re.compile("[\x00\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-CACHE_CHUNKS = 800_000
+CACHE_CHUNKS = 500_000
 
 
 def _plain(text: str) -> bool:
@@ -51,6 +51,9 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.cache: dict[str, bytes] = {}
         self.newline = self._whole(["\n"])[0]
+        vocabulary = self.tokenizer.get_vocab()
+        self.token_bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        self.token_bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]  # a character stands for a byte
         self.marks = {c: self._whole([c])[0] for c in ".,;:!?"}
         self.mark = int(np.frombuffer(self.newline, "<u4")[0])
 
@@ -59,21 +62,36 @@ class Encoder:
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, chunks: set[str]) -> None:
-        """Cache unseen chunks.  A mark after a letter is a pre-token of its own, so such chunks share their stem."""
+        """Cache unseen chunks.  A mark after a letter is a pre-token of its own, so such chunks share their stem.
+
+        Chunks are tokenized together: words behind a space one after the other, others with line feeds between them.
+        The bytes of the tokens, or the line feed's id, part the result again.
+        """
         known, marks = self.cache, self.marks
         ended = [c for c in chunks if c[-1] in marks and c[-2:-1].isalpha()]
-        rest = [*({c[:-1] for c in ended}.union(chunks.difference(ended)).difference(known))]
-        for i in range(0, len(rest), 2000):  # tokenized together, line feeds between them; their one id parts the result
-            part = rest[i:i + 2000]
+        rest = {c[:-1] for c in ended}.union(chunks.difference(ended)).difference(known)
+        spaced = [c for c in rest if c[0] == " " and c[1:].isalpha()]
+        for part in (spaced[i:i + 4000] for i in range(0, len(spaced), 4000)):
+            ids = self._whole(["".join(part)])[0]
+            reach = np.cumsum(self.token_bytes[np.frombuffer(ids, dtype="<u4")])
+            goal = np.cumsum(np.fromiter(map(len, map(str.encode, part)), dtype=np.int64, count=len(part)))
+            ends = np.searchsorted(reach, goal) + 1
+            self._keep(part, ids, np.concatenate([[0], ends[:-1]]), ends, (reach[ends - 1] == goal).all())
+        other = [*rest.difference(spaced)]
+        for part in (other[i:i + 2000] for i in range(0, len(other), 2000)):
             ids = self._whole(["\n".join(part)])[0]
             cuts = np.flatnonzero(np.frombuffer(ids, dtype="<u4") == self.mark)
-            if len(cuts) == len(part) - 1:
-                ends = (4 * cuts).tolist()
-                known.update(zip(part, map(ids.__getitem__, map(slice, [0, *(e + 4 for e in ends)], [*ends, len(ids)]))))
-            else:
-                known.update(zip(part, self._whole(part)))
+            self._keep(part, ids, np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(ids) // 4]]),
+                       len(cuts) == len(part) - 1)
         known.update((c, known[c[:-1]] + marks[c[-1]]) for c in ended)
 
+    def _keep(self, part: list[str], ids: bytes, starts: np.ndarray, ends: np.ndarray, parted: bool) -> None:
+        if parted:
+            own = map(ids.__getitem__, map(slice, (4 * starts).tolist(), (4 * ends).tolist()))
+            self.cache.update(zip(part, own))
+        else:
+            self.cache.update(zip(part, self._whole(part)))
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, as bytes of unsigned 32-bit integers."""
         cut = [t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if _plain(t) else None for t in texts]
