@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, pii, quality, rans, sharding, toxicity
+from . import decontaminate, hnsw, line_dedup, near_dup, packing, pii, quality, rans, sharding, toxicity
 from .common import ship
 
 
@@ -16,13 +16,16 @@ def _shipped(query):
 
 
 QUERIES = {name: _shipped(query) for name, query in {
+    "op1_line_dedup": line_dedup.query,
     "op2_best_fit_packing": packing.query,
     "op3_rans_output": rans.query,
     "op4_pii": pii.query,
     "op5_compression_quality": quality.query,
+    "op6_hnsw": hnsw.query,
     "op7_toxicity": toxicity.query,
+    "op8_min_max_near_dup": near_dup.query,
     "op9_decontamination": decontaminate.query,
     "op10_sharding": sharding.query,
 }.items()}
 
-ORACLE = {"op9_decontamination": decontaminate.SQL}
+ORACLE = {"op8_min_max_near_dup": near_dup.SQL, "op9_decontamination": decontaminate.SQL}

@@ -141,7 +141,7 @@ class LabelModel:
         self.belief = dict(zip(masks.tolist(), belief.tolist()))
 
     def _correlations(self, mass: np.ndarray, total: np.ndarray) -> np.ndarray:
-        """Per voter, the sum of its positive correlations with the others, averaged over the classes."""
+        """Per voter, the sum of its positive correlations with the others, in the class where it is larger."""
         summed = np.zeros(VOTERS)
         for c in (0, 1):
             mean = self.rate[c]
@@ -149,7 +149,7 @@ class LabelModel:
             sd = np.sqrt(np.maximum(mean * (1 - mean), 1e-12))
             r = np.clip((both - np.outer(mean, mean)) / np.outer(sd, sd), 0, 1)
             np.fill_diagonal(r, 0)
-            summed += r.sum(axis=1) * (total[c] / max(total.sum(), 1))
+            summed = np.maximum(summed, r.sum(axis=1))
         return summed
 
     def _posterior(self, fires: np.ndarray) -> np.ndarray:

@@ -1,0 +1,103 @@
+"""Personal data against Python's re; the shuffle's sizes, slots and uniformity."""
+
+import hashlib
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from riskroll.llm import pii, sharding
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+            "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+",
+            "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+TEXTS = [None, "", "no data", "mail a.b+c@d-e.co.uk, x@y@z.com a@b.c_d@e.f.", "..a@b..c@d.e@f", "1.2.3.4.5.6.7.8 300.1.1.1 01.002.3.255",
+         "card 4111 1111 1111 1111 and 4111-1111-1111-1112, 4111111111111111 5", "+1 (555) 010-9999, +33 1 23 45 67 89 +1", "+12345",
+         "12345678901234567890 " * 3, "9" * 30_000, "a" * 50_000 + "@", "1 " * 20_000, "+" + "(" * 20_000 + "1", "é1.1.1.1ü a@b.de ß+49 30 1234567",
+         "\U0001F600 x@y.org \U0001F600 10.0.0.1", "write to joe (at) example (dot) com, phone 020 7946 0958 please", "version 1.2.3.4",
+         "a@b.c\n" * 300]
+
+
+def luhn(digits):
+    doubled = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
+    return sum(d - 9 if d > 9 else d for d in doubled) % 10 == 0
+
+
+def brute(text):
+    def valid(kind, value):
+        digits = re.sub("[^0-9]", "", value)
+        return {"email": lambda: True, "ip": lambda: all(int(p) <= 255 for p in value.split(".")),
+                "card": lambda: 14 <= len(digits) <= 19 and luhn(digits), "phone": lambda: 10 <= len(digits) <= 15}[kind]()
+
+    return sorted((m.start(), k, m.end(), kind) for k, (kind, p) in enumerate(PATTERNS.items())
+                  for m in re.finditer(p, text or "") if valid(kind, m.group()))
+
+
+def test_base_spans_equal_the_contract(spark):
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)] + [(3, TEXTS[3], "x"), (None, "a@b.c", "x")],
+                               "doc_id long, text string, spans string")
+    got = pii.detect(df).collect()
+    assert len(got) == len(TEXTS) + 2
+    for r in got:
+        text = "a@b.c" if r.doc_id is None else TEXTS[r.doc_id]
+        assert [(s.start, s.end, s.kind) for s in r.spans if s.base] == [(a, b, k) for a, _, b, k in brute(text)], r.doc_id
+        assert [(s.start, pii.KINDS.index(s.kind)) for s in r.spans] == sorted((s.start, pii.KINDS.index(s.kind)) for s in r.spans)
+    assert pii.detect(df.limit(0)).collect() == []
+
+
+def test_estimate_finds_the_reliable_labeler():
+    # the truth is known: labeler 0 is right in 95 of 100 votes, labeler 1 votes at random
+    patterns = Counter()
+    for i in range(2000):
+        truth = i % 2
+        first = truth if i % 40 else 1 - truth
+        patterns[(1 if first else -1, 1 if i // 2 % 2 else -1, 1 if truth else -1)] += 1
+    _, tables = pii.estimate(sorted(patterns.items()))
+    assert tables[0][1][0] > 0.9 > 0.1 > tables[0][1][1]
+    assert abs(tables[1][1][0] - 0.5) < 0.05
+
+
+def test_query_columns(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a@b.c and +1 555 010 9999")], "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    row = pii.query(spark, str(tmp_path)).first()
+    assert (row.n_email, row.n_ip, row.n_card, row.n_phone) == (1, 0, 0, 1)
+    assert row.base_sha256 == hashlib.sha256(row.spans.encode()).hexdigest() == hashlib.sha256(b"email:0:5,phone:10:25").hexdigest()
+
+
+@pytest.mark.parametrize(("n", "shards", "block_rows"), [(0, 5, 10), (1, 5, 10), (7, 24, 10), (1000, 24, 10), (5000, 3, 400)])
+def test_exact_sizes_and_slots(spark, n, shards, block_rows):
+    df = spark.range(0, n, 1, 6).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.lit("clash").alias("shard"))
+    rows = sharding.shuffle_into_shards(df, shards, block_rows=block_rows).collect()
+    assert sorted(str(r.row.doc_id) for r in rows) == sorted(str(r.doc_id) for r in df.collect())
+    sizes = Counter(r.shard for r in rows)
+    assert all(sizes[s] == n // shards + (s < n % shards) for s in range(shards))
+    for s, size in sizes.items():
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(size))
+
+
+def test_shuffle_is_uniform(spark):
+    """Every source partition spreads over the shards, and places over the slots, as chance would have it."""
+    df = spark.range(0, 24_000, 1, 8).withColumn("part", F.spark_partition_id())
+    rows = sharding.shuffle_into_shards(df, 12, block_rows=500).select("row.id", "row.part", "shard", "slot").collect()
+    cells = Counter((r.part, r.shard) for r in rows)
+    chi = sum((cells[p, s] - 250) ** 2 / 250 for p in range(8) for s in range(12))
+    assert 35 < chi < 130  # 77 degrees of freedom
+    tenths = Counter((r.id // 2400, r.slot // 200) for r in rows)
+    chi = sum((tenths[a, b] - 240) ** 2 / 240 for a in range(10) for b in range(10))
+    assert 40 < chi < 140  # 81 degrees of freedom
+
+
+def test_hypergeometric_inversion(spark):
+    """Against the distribution function computed from binomial coefficients."""
+    from math import comb
+    total, marked, drawn = 60, 25, 18
+    mass = [comb(marked, k) * comb(total - marked, drawn - k) / comb(total, drawn) for k in range(drawn + 1)]
+    got = spark.range(1, 200).select((F.col("id") / 200).alias("u")).select("u", sharding.hypergeometric(
+        F.lit(total).cast("long"), F.lit(marked).cast("long"), F.lit(drawn).cast("long"), F.col("u")).alias("k")).collect()
+    for r in got:
+        assert sum(mass[:r.k]) <= r.u + 1e-9 and r.u - 1e-9 <= sum(mass[:r.k + 1])
+    edge = spark.range(1).select(*[sharding.hypergeometric(*(F.lit(x).cast("long") for x in t), F.lit(0.5)).alias(f"c{i}")
+                                   for i, t in enumerate([(0, 0, 0), (5, 0, 3), (5, 5, 3), (5, 2, 0), (5, 2, 5)])]).first()
+    assert list(edge) == [0, 0, 3, 0, 2]
