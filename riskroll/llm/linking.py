@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 2_000_000
 
 
 def small_side(df: DataFrame, rows: int) -> DataFrame:
@@ -105,13 +105,15 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict
 def links_within(members: DataFrame, compare: Compare, block_weight: int) -> DataFrame:
     """Links (a, b) that join the linked members of each cluster.
 
-    ``members``: a written table of distinct ``node`` with ``cluster``, ``weight`` (memory it takes), ``degree`` (the hub
+    ``members``: a written table of ``node`` (repeats do no harm) with ``cluster``, ``weight`` (memory it takes), ``degree`` (the hub
     has the highest) and payload columns.
     """
     totals = members.groupBy("cluster").agg(
         F.ceil(F.sum("weight") / block_weight).cast("int").alias("blocks"),
         F.max(F.struct("degree", "node"))["node"].alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    placed = members.join(totals, "cluster").withColumn(
+    totals = written(totals, "clusters")
+    n_clusters = totals.count()
+    placed = members.join(small_side(totals, n_clusters), "cluster").withColumn(
         "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     hubs = placed.filter(F.col("node") == F.col("hub")).withColumn("own", F.col("block")).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("block != own").drop("own")
@@ -145,11 +147,12 @@ def links_within(members: DataFrame, compare: Compare, block_weight: int) -> Dat
     if outside.isEmpty():
         return links
     # the members outside against every other block of their cluster
-    left = (placed.join(outside.select("cluster", "node"), ["cluster", "node"], "left_semi")
+    n_outside = outside.count()
+    left = (placed.join(small_side(outside.select("cluster", "node"), n_outside), ["cluster", "node"], "left_semi")
             .withColumn("i", F.col("block"))
             .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("i != j").withColumn("side", F.lit(0)))
     blocks_left = outside.select("cluster", F.col("block").alias("i")).distinct()
-    right = (placed.join(blocks_left, "cluster").withColumn("j", F.col("block")).filter("i != j")
+    right = (placed.join(small_side(blocks_left, n_outside), "cluster").withColumn("j", F.col("block")).filter("i != j")
              .withColumn("side", F.lit(1)))
 
     def two_blocks(batches):

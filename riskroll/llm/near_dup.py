@@ -125,8 +125,9 @@ def signatures(docs: DataFrame) -> DataFrame:
 def candidate_clusters(classes: DataFrame) -> DataFrame:
     """key, cluster, degree of the classes (key, bands) that share a bucket with another one."""
     buckets = classes.select("key", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("key").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    met = written(buckets.join(shared, "bucket").groupBy("key", "first").agg(F.sum("n").alias("n")), "met")
+    shared = written(buckets.groupBy("bucket").agg(F.min("key").alias("first"), F.count("*").alias("n")).filter("n > 1"),
+                     "buckets")
+    met = written(buckets.join(small_side(shared, shared.count()), "bucket").groupBy("key", "first").agg(F.sum("n").alias("n")), "met")
     cluster = components(met.select(F.col("key").alias("a"), F.col("first").alias("b")))
     degree = met.groupBy("key").agg(F.sum("n").alias("degree"))
     return cluster.select(F.col("node").alias("key"), F.col("component").alias("cluster")).join(degree, "key")
@@ -189,7 +190,7 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _with_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """The members with the shingles of their whole texts, one row per node."""
+    """The members with the shingles of their whole texts (a row for each repeat of the document)."""
     n = members.count()
     wanted = members.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "node", "cluster", "degree")
     texts = docs.select(F.col("doc_id").cast("long").alias("id2"), F.xxhash64("text").alias("hash"), "text").join(
@@ -208,7 +209,7 @@ def _with_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
 
     found = texts.select("node", "cluster", "degree", "text").mapInArrow(
         run, "node binary, cluster long, degree long, weight long, shingles array<bigint>")
-    return written(found, "member-sets").dropDuplicates(["node"])
+    return written(found, "member-sets")
 
 
 def report(docs: DataFrame) -> DataFrame:
