@@ -34,7 +34,8 @@ from .quality import held_out, labelled_sample, sampled_texts
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
 SAMPLE_ROWS = 10_000
 MAX_TERMS = 5000
-MIN_EVIDENCE = 30.0  # log-likelihood ratio of a term against chance; about one in 10**7 by chance
+MIN_CONTEXTS = 5  # toxic documents that first use a term between different neighbours: copies of one count once
+MAX_CLEAN_RATE = 0.002  # of a term's rate among toxic documents, its rate among clean ones
 LEXICON_VOTERS = 12
 PATTERN_VOTERS = ("dense", "several", "addressed", "clean")
 VOTERS = LEXICON_VOTERS + len(PATTERN_VOTERS)
@@ -66,6 +67,24 @@ def _term_counts(sample: DataFrame) -> DataFrame:
     return counted.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
+def _first_contexts(sample: DataFrame, wanted) -> DataFrame:
+    """term, context: the neighbours of each wanted term where a document first uses it."""
+    def run(batches):
+        for batch in pieces(batches):
+            out = set()
+            for text in batch.column("text").to_pylist():
+                words, seen = ["", *_WORD.findall(text.lower()), ""], set()
+                for before, word, after in zip(words, words[1:], words[2:]):
+                    for t in terms(word):
+                        if t in wanted.value and t not in seen:
+                            seen.add(t)
+                            out.add((t, f"{before} {after}"))
+            yield pa.RecordBatch.from_pydict({"term": pa.array([t for t, _ in out], pa.string()),
+                                              "context": pa.array([c for _, c in out], pa.string())})
+
+    return sample.select("text").mapInArrow(run, "term string, context string")
+
+
 @dataclass
 class Lexicon:
     """Term to voter; a document's votes and features."""
@@ -75,14 +94,12 @@ class Lexicon:
     @classmethod
     def learn(cls, sample: DataFrame) -> Lexicon:
         n = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
-        toxic, clean = max(n.get(1, 0), 1), max(n.get(0, 0), 1)
-        rate = F.col("toxic") / toxic / (F.col("toxic") / toxic + (F.col("clean") + 1) / clean)
-        seen = F.col("toxic") + F.col("clean")
-        evidence = 2 * (F.col("toxic") * F.log(F.col("toxic") * (toxic + clean) / (seen * toxic))
-                        + F.when(F.col("clean") > 0, F.col("clean") * F.log(
-                            F.col("clean") * (toxic + clean) / (seen * clean))).otherwise(0.0))
-        marks = (_term_counts(sample).filter("toxic > 0").filter((rate >= 0.9) & (evidence >= MIN_EVIDENCE))
-                 .orderBy(F.desc(evidence), "term").limit(MAX_TERMS).collect())
+        rare = F.col("clean") * n.get(1, 0) <= F.col("toxic") * MAX_CLEAN_RATE * n.get(0, 0)
+        likely = (_term_counts(sample).filter(rare & (F.col("toxic") >= MIN_CONTEXTS))
+                  .orderBy(F.desc("toxic"), "term").limit(8 * MAX_TERMS).collect())
+        shared = sample.sparkSession.sparkContext.broadcast(frozenset(r.term for r in likely))
+        contexts = _first_contexts(sample.filter("label = 1"), shared).distinct().groupBy("term").count()
+        marks = (contexts.filter(F.col("count") >= MIN_CONTEXTS).orderBy(F.desc("count"), "term").limit(MAX_TERMS).collect())
         own = cls()
         families: dict[str, int] = {}
         for t in [*(r.term for r in marks), *SEED]:
