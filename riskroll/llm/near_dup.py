@@ -237,7 +237,7 @@ WITH d AS (
          'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (
   SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN []
-         ELSE list_transform(range(1, greatest(len(w) - 3, 2)), i -> array_to_string(w[i:i + 4], ' ')) END) AS grams FROM d),
+         ELSE list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS grams FROM d),
 n AS (SELECT doc_id, len(grams) AS n FROM s),
 g AS (SELECT doc_id, hash(gram) AS gram FROM (SELECT doc_id, unnest(grams) AS gram FROM s)),
 c AS (SELECT list_sort(list(gram)) AS k, doc_id FROM g GROUP BY doc_id),
