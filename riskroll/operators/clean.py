@@ -9,7 +9,8 @@ dataclass of literals whose ``apply`` is a single ``select`` (no chain of
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -123,97 +124,127 @@ def cast_columns(df: DataFrame, casts: dict[str, str]) -> DataFrame:
 # P6 winsorise, A9 quantile bounds
 # --------------------------------------------------------------------------
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                    interpolate: bool = False) -> DataFrame:
-    """Exact quantiles of many columns at once, without a per-column value map in one task.
-
-    ``interpolate=False`` is ``percentile_disc``: the smallest value whose
-    cumulative share reaches ``p``.  ``interpolate=True`` is the continuous
-    (interpolated) percentile at position ``(n - 1) · p``.  The table is
-    unpivoted to ``(column, value)``, distinct values are counted per column
-    (partial aggregation; one reliable checkpoint because the counts are read
-    by several passes), running counts per column come from
-    ``ordered.running_sums`` with value ranges cut per column, and each
-    quantile is a ``min`` over the rows whose running count reaches its rank.
-    Returns ``column, q0, q1, …`` (double), one row per column.
-    """
-    from riskroll.operators.ordered import running_sums
-    from riskroll.session import ensure_checkpoint_dir
-
-    pairs = ", ".join(f"{_lit_name(c)}, CAST({_q(c)} AS DOUBLE)" for c in columns)
-    long = df.selectExpr(f"stack({len(columns)}, {pairs}) AS (`column`, value)").where(F.col("value").isNotNull())
-    ensure_checkpoint_dir(df.sparkSession)
-    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
-    idx, low, span = [], [], []
-    for i, r in enumerate(counts.groupBy("column").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-                          .collect()):
-        width = r["hi"] - r["lo"] if r["hi"] > r["lo"] else 1.0
-        idx += [F.lit(r["column"]), F.lit(float(i))]
-        low += [F.lit(r["column"]), F.lit(float(r["lo"]))]
-        span += [F.lit(r["column"]), F.lit(float(width))]
-    if not idx:
-        return df.sparkSession.createDataFrame(
-            [], "`column` string, " + ", ".join(f"q{i} double" for i in range(len(probs))))
-    col = F.col("column")
-    norm = F.create_map(*idx)[col] + (F.col("value") - F.create_map(*low)[col]) / F.create_map(*span)[col] * 0.5
-    cum = running_sums(counts, "value", ["n"], group_cols=["column"], totals=True, range_key=norm)
-    share = F.col("cum_n").cast("double") / F.col("total_n").cast("double")
-    aggs = []
-    for i, p in enumerate(probs):
-        if not interpolate:
-            aggs.append(F.min(F.when(share >= F.lit(float(p)), F.col("value"))).alias(f"q{i}"))
-        else:
-            pos = (F.col("total_n") - 1).cast("double") * F.lit(float(p))
-            aggs += [F.min(F.when(F.col("cum_n") >= F.floor(pos) + 1, F.col("value"))).alias(f"_lo{i}"),
-                     F.min(F.when(F.col("cum_n") >= F.ceil(pos) + 1, F.col("value"))).alias(f"_hi{i}"),
-                     F.max(pos).alias(f"_pos{i}")]
-    out = cum.groupBy("column").agg(*aggs)
-    if interpolate:
-        sel = []
-        for i in range(len(probs)):
-            pos, lo, hi = F.col(f"_pos{i}"), F.col(f"_lo{i}"), F.col(f"_hi{i}")
-            frac = F.when(F.floor(pos) == F.ceil(pos), lo).otherwise(
-                (F.ceil(pos) - pos) * lo + (pos - F.floor(pos)) * hi)
-            sel.append(frac.alias(f"q{i}"))
-        out = out.select("column", *sel)
-    return out
+# Sketch accuracy (a bracket holds about 4 / ACCURACY of the rows around a rank) and the most values of
+# one bracket that are gathered.
+ACCURACY = 2000
+BRACKET_VALUES = 10_000
 
 
-# Fixed value: most (rows × columns) that the single-aggregate exact quantile may hold in value maps.
-MAX_MAP_CELLS = 10_000_000
+@dataclass
+class _Rank:
+    """The value of one rank of one column: what lies strictly between ``low`` and ``high`` is still open."""
+
+    column: str
+    rank: int = 0
+    low: object = None
+    high: object = None
+    below: int = 0
+    inside: int = 0
+    value: object = None
+    done: bool = False
+
+
+def exact_ranks(df: DataFrame, wanted: Sequence[tuple[str, float, Callable[[int], int]]]) -> list:
+    """The exact value at a rank for each ``(column, share, rank of n)``; null for a column without values.
+
+    One sketch pass per column gives a bracket around each rank (``percentile_approx`` returns values of the column);
+    a counting pass says where the rank lies between them; what is left strictly inside (about 4 / ``ACCURACY`` of the
+    rows, ties excluded) is gathered if it is at most ``BRACKET_VALUES`` values and bracketed again if not.  The same
+    steps run at every size: three or four jobs over the columns, no shuffle of values, no table written.  Values keep
+    the column's own type; null and NaN are no values, infinities are ordinary ones.
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+
+    def value(name: str) -> Column:
+        c = F.col(f"`{name}`")
+        return F.when(~F.isnan(c), c) if isinstance(types[name], (T.FloatType, T.DoubleType)) else c
 
+    def inside(r: _Rank) -> Column:
+        v, cond = value(r.column), F.lit(True)
+        if r.low is not None:
+            cond = cond & (v > F.lit(r.low).cast(types[r.column]))
+        if r.high is not None:
+            cond = cond & (v < F.lit(r.high).cast(types[r.column]))
+        return F.when(cond, v)
 
-def fits_value_maps(df: DataFrame, n_columns: int, max_cells: int | None = None) -> bool:
-    """Proven bound for the single-aggregate path: ``rows × columns <= max_cells`` (one count)."""
-    limit = MAX_MAP_CELLS if max_cells is None else max_cells
-    return n_columns == 0 or df.count() * n_columns <= limit
+    def run(jobs: list[tuple[_Rank, list[Column]]]) -> list[tuple[_Rank, list]]:
+        out = []
+        for part in _chunks(jobs):
+            row = df.agg(*[c.alias(f"_{i}_{k}") for i, (_, cs) in enumerate(part) for k, c in enumerate(cs)]).first()
+            out += [(r, [row[f"_{i}_{k}"] for k in range(len(cs))]) for i, (r, cs) in enumerate(part)]
+        return out
+
+    def sketch(r: _Rank, share: float) -> Column:
+        probs = [min(1.0, max(0.0, share + d)) for d in (-2 / ACCURACY, 0.0, 2 / ACCURACY)]
+        return F.percentile_approx(inside(r), probs, ACCURACY)
+
+    ranks = [_Rank(c) for c, _, _ in wanted]
+    started = run([(r, [F.count(value(r.column)), sketch(r, share)]) for r, (_, share, _) in zip(ranks, wanted)])
+    probes = {}
+    for (r, (n, points)), (_, _, rank_of) in zip(started, wanted):
+        r.inside, r.done = n, not n
+        r.rank = rank_of(n) if n else 0
+        probes[id(r)] = points
+    while left := [r for r in ranks if not r.done]:
+        if tight := [r for r in left if id(r) not in probes]:
+            gathered = [r for r in tight if r.inside <= BRACKET_VALUES]
+            for r, (values,) in run([(r, [F.sort_array(F.collect_list(inside(r)))]) for r in gathered]):
+                r.value, r.done = values[r.rank - r.below - 1], True
+            wide = [r for r in tight if r.inside > BRACKET_VALUES]
+            for r, (points,) in run([(r, [sketch(r, (r.rank - r.below) / r.inside)]) for r in wide]):
+                probes[id(r)] = points
+            continue
+        stuck: list[_Rank] = []
+        counted = run([(r, [F.count_if(value(r.column) < F.lit(p).cast(types[r.column])) for p in probes[id(r)]]
+                        + [F.count_if(value(r.column) == F.lit(p).cast(types[r.column])) for p in probes[id(r)]])
+                       for r in left])
+        for r, counts in counted:
+            before = (r.low, r.high)
+            for p, below, equal in zip(probes.pop(id(r)), counts[:3], counts[3:]):
+                if below < r.rank <= below + equal:
+                    r.value, r.done = p, True
+                    break
+                if r.rank > below + equal and (r.low is None or p > r.low):
+                    r.inside -= below + equal - r.below
+                    r.low, r.below = p, below + equal
+                elif r.rank <= below and (r.high is None or p < r.high):
+                    r.inside = below - r.below
+                    r.high = p
+            if not r.done and before == (r.low, r.high):
+                stuck.append(r)  # the sketch works in doubles: integers beyond 2**53 may all look alike to it
+        for r, (least, most) in run([(r, [F.min(inside(r)), F.max(inside(r))]) for r in stuck]):
+            probes[id(r)] = [least, least + (most - least) // 2 if isinstance(least, int) else least, most]
+    return [r.value for r in ranks]
+
+
+def _rank_disc(p: float) -> Callable[[int], int]:
+    """Smallest rank whose cumulative share reaches ``p``."""
+    return lambda n: max(1, math.ceil(p * n))
+
+
+def _rank_nearest(p: float) -> Callable[[int], int]:
+    """Rank nearest to position (n - 1) p, halves up."""
+    return lambda n: min(n, math.floor((n - 1) * p + 0.5) + 1)
+
+
+QUANTILE_RANKS = {"disc": _rank_disc, "nearest": _rank_nearest}
+
+
+def quantile_values(df: DataFrame, columns: Sequence[str], probs: Sequence[float], method: str = "disc") -> dict[str, list]:
+    """Exact quantiles of many columns at once, in the columns' types; see ``exact_ranks``."""
+    rank = QUANTILE_RANKS[method]
+    values = exact_ranks(df, [(c, p, rank(p)) for c in columns for p in probs])
+    return {c: values[i * len(probs):(i + 1) * len(probs)] for i, c in enumerate(columns)}
 
 
 def quantile_bounds(df: DataFrame, columns: Sequence[str], lower: float = 0.01, upper: float = 0.99,
-                    exact: bool = True, accuracy: int = 100000, distributed: bool | None = None) -> DataFrame:
-    """Long form ``column, q_low, q_high`` with ``percentile_disc`` semantics.
-
-    Exact: when ``rows × columns`` is proven small (one count, at most 10M
-    cells) a single ``percentile_disc`` aggregate holds the value maps;
-    anything larger uses the distributed ``exact_quantiles``, so no task ever
-    holds a whole column's value map.  ``exact=False`` uses
-    ``percentile_approx`` sketches.  ``distributed`` overrides the check
-    when the caller has already made it.
-    """
-    if distributed is None:
-        distributed = exact and not fits_value_maps(df, len(columns))
-    if exact and distributed:
-        q = exact_quantiles(df, columns, [lower, upper])
-        return q.select("column", F.col("q0").alias("q_low"), F.col("q1").alias("q_high"))
-    aggs = []
-    for i, c in enumerate(columns):
-        q = ((lambda p, c=c: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {_q(c)})")) if exact
-             else (lambda p, c=c: F.percentile_approx(F.col(c), p, accuracy)))
-        aggs += [q(lower).cast("double").alias(f"_l{i}"), q(upper).cast("double").alias(f"_h{i}")]
-    one = df.agg(*aggs)
-    stack = "stack({}, {}) as (`column`, q_low, q_high)".format(
-        len(columns), ", ".join(f"{_lit_name(c)}, _l{i}, _h{i}" for i, c in enumerate(columns)))
-    return one.selectExpr(stack)
+                    method: str = "disc") -> DataFrame:
+    """Long form ``column, q_low, q_high`` (double).  ``method`` ``disc`` is ``percentile_disc``; ``nearest`` takes
+    the value nearest to position (n - 1) p."""
+    found = quantile_values(df, columns, [lower, upper], method)
+    return df.sparkSession.createDataFrame(
+        [(c, *[None if v is None else float(v) for v in vs]) for c, vs in found.items()],
+        "`column` string, q_low double, q_high double")
 
 
 @dataclass
@@ -227,10 +258,9 @@ class WinsorBounds:
             if lo is None or hi is None:
                 out.append(F.col(f.name))
                 continue
-            c = F.col(f.name)
-            clipped = (F.when(c < F.lit(lo), F.lit(lo)).when(c > F.lit(hi), F.lit(hi))
-                       .otherwise(c.cast("double")))
-            out.append(clipped.cast(f.dataType).alias(f.name))
+            c = F.col(f"`{f.name}`")
+            low, high = F.lit(lo).cast(f.dataType), F.lit(hi).cast(f.dataType)
+            out.append(F.when(c < low, low).when(c > high, high).otherwise(c).alias(f.name))
         return df.select(*out)
 
 
@@ -240,23 +270,16 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
 
 
 def fit_winsor(df: DataFrame, columns: Sequence[str] | None = None, exclude: Sequence[str] = NEVER_FEATURES,
-               lower: float = 0.01, upper: float = 0.99, exact: bool = True) -> WinsorBounds:
-    """Fit q_low / q_high per numeric column (keys, label and periods excluded)."""
+               lower: float = 0.01, upper: float = 0.99, method: str = "disc") -> WinsorBounds:
+    """Fit q_low / q_high per numeric column (keys, label and periods excluded), in the column's own type."""
     cols = list(columns) if columns is not None else numeric_columns(df, exclude)
-    bounds: dict[str, tuple[float | None, float | None]] = {}
-    distributed = exact and not fits_value_maps(df, len(cols))
-    chunks = [cols] if distributed else list(_chunks(cols))
-    for chunk in chunks:
-        if chunk:
-            for r in quantile_bounds(df, chunk, lower, upper, exact, distributed=distributed).collect():
-                bounds[r["column"]] = (r["q_low"], r["q_high"])
-    return WinsorBounds(bounds)
+    return WinsorBounds({c: tuple(v) for c, v in quantile_values(df, cols, [lower, upper], method).items()})
 
 
 def winsorize(df: DataFrame, exclude: Sequence[str] = NEVER_FEATURES, lower: float = 0.01,
-              upper: float = 0.99, exact: bool = True) -> DataFrame:
-    """Clip every numeric column (but ``exclude``) to its own quantile bounds."""
-    return fit_winsor(df, exclude=exclude, lower=lower, upper=upper, exact=exact).apply(df)
+              upper: float = 0.99) -> DataFrame:
+    """Clip every numeric column (but ``exclude``) to its own quantile bounds; NaN stays NaN."""
+    return fit_winsor(df, exclude=exclude, lower=lower, upper=upper).apply(df)
 
 
 # --------------------------------------------------------------------------
@@ -355,12 +378,7 @@ class Imputer:
         return df.select(*out)
 
 
-def _median(c: Column, exact: bool) -> Column:
-    """Interpolated median (exact, small inputs) or its sketch estimate."""
-    return F.percentile(c, F.lit(0.5)) if exact else F.percentile_approx(c, 0.5, 100000).cast("double")
-
-
-def fit_imputer(train: DataFrame, exclude: Sequence[str] = ("case_id", "target"), exact: bool = True) -> Imputer:
+def fit_imputer(train: DataFrame, exclude: Sequence[str] = ("case_id", "target")) -> Imputer:
     """Median for numeric and mode (most frequent, ties -> smallest) for string
     columns, fitted on ``train`` and only for columns that have nulls there."""
     nulls = null_counts(train)
@@ -369,12 +387,11 @@ def fit_imputer(train: DataFrame, exclude: Sequence[str] = ("case_id", "target")
     cat = [f.name for f in train.schema.fields if isinstance(f.dataType, T.StringType)
            and nulls[f.name] > 0 and f.name not in exclude]
     fills: dict[str, object] = {}
-    distributed = exact and not fits_value_maps(train, len(num))
-    if distributed and num:
-        fills.update({r["column"]: r["q0"] for r in exact_quantiles(train, num, [0.5], interpolate=True).collect()})
-    for chunk in ([] if distributed else list(_chunks(num))):
-        row = train.agg(*[_median(F.col(c), exact).alias(f"_m{i}") for i, c in enumerate(chunk)]).first()
-        fills.update({c: row[i] for i, c in enumerate(chunk)})
+    # the interpolated median lies between the two middle ranks
+    middle = exact_ranks(train, [(c, 0.5, f) for c in num for f in (lambda n: (n + 1) // 2, lambda n: n // 2 + 1)])
+    for c, low, high in zip(num, middle[::2], middle[1::2]):
+        if low is not None:
+            fills[c] = (float(low) + float(high)) / 2
     if cat:
         fills.update({r["column"]: r["mode"] for r in modes(train, cat).collect()})
     return Imputer(fills)

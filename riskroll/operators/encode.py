@@ -55,13 +55,15 @@ def fit_label_encoder(train: DataFrame, columns: Sequence[str], null_as: str | N
 
 @dataclass
 class OneHot:
-    categories: dict[str, list[str]] = field(default_factory=dict)
+    categories: dict[str, list[str | None]] = field(default_factory=dict)
 
     def apply(self, df: DataFrame, drop: bool = True) -> DataFrame:
         new = []
         for c, cats in self.categories.items():
-            v = F.coalesce(F.col(c).cast("string"), F.lit(NULL_CLASS))
-            new += [(v == F.lit(cat)).cast("int").alias(f"{c}_{cat}") for cat in cats]
+            v = F.col(c).cast("string")
+            new += [v.eqNullSafe(F.lit(cat)).cast("int").alias(
+                f"{c}_{cat}" if cat is not None else f"{c}_{NULL_CLASS}" if NULL_CLASS not in cats else f"{c}_null")
+                for cat in cats]
         keep = [x for x in df.columns if not (drop and x in self.categories)]
         return df.select(*keep, *new)
 
@@ -72,11 +74,10 @@ MAX_ONE_HOT_CATEGORIES = 1000
 
 def fit_one_hot(train: DataFrame, columns: Sequence[str], max_categories: int = MAX_ONE_HOT_CATEGORIES) -> OneHot:
     """every category seen in ``train`` (null included) becomes a 0/1 column
-    ``{column}_{category}``; values not seen in train give all zeros.  A column with more than
+    ``{column}_{category}`` (null: ``{column}_None``, or ``{column}_null`` beside a text 'None'); values not seen in train give all zeros.  A column with more than
     ``max_categories`` values is refused (its category list would be unbounded on the driver)."""
     cats = {}
     for c in columns:
-        distinct = (train.select(F.coalesce(F.col(c).cast("string"), F.lit(NULL_CLASS)).alias("v"))
-                    .distinct().orderBy("v"))
+        distinct = train.select(F.col(c).cast("string").alias("v")).distinct().orderBy(F.coalesce("v", F.lit(NULL_CLASS)), "v")
         cats[c] = [r["v"] for r in bounded_collect(distinct, max_categories, f"one-hot categories of {c}")]
     return OneHot(cats)

@@ -59,25 +59,13 @@ def anti_join_keys(df: DataFrame, keys: DataFrame, key: str = "case_id") -> Data
     return df.join(keys.select(key), key, "left_anti")
 
 
-# Fixed value: largest base key set that is broadcast for the pre-filter (8-byte keys -> ~16 MB).
-PREFILTER_BROADCAST_ROWS = 2_000_000
-
-
 def build_case_table(base: DataFrame, families: Mapping[str, DataFrame], key: str = "case_id",
-                     restrict_to_base: bool | str = "auto",
-                     broadcast_rows: int = PREFILTER_BROADCAST_ROWS, approx_nunique: bool = False) -> DataFrame:
+                     restrict_to_base: bool = True, approx_nunique: bool = False) -> DataFrame:
     """J1 + J2 + A1 (+ J4): base ⟕ roll-up(family) for every child family.
 
-    Histories of cases outside the base never reach the result (the final
-    left join drops them).  When the base is a sample, filtering the
-    children first saves aggregation work: with ``restrict_to_base="auto"``
-    the base keys are counted (one scan of one column) and, when they fit
-    under ``broadcast_rows``, broadcast into a semi-join ahead of each
-    roll-up.  A larger key set is never broadcast; the pre-filter is then
-    skipped, because a shuffled semi-join would move raw child rows (and a
-    hot case with them) before the roll-up's map-side pre-aggregation.
-    ``True`` / ``False`` force the choice (``True`` lets the planner pick
-    the join).
+    Histories of cases outside the base never reach the result.  ``restrict_to_base`` drops them by a semi-join before
+    the roll-up; the join carries no hint, so the planner broadcasts the keys only while they are small and otherwise
+    joins on the partitioning that the roll-up needs anyway.
 
     ``approx_nunique`` switches the roll-ups' distinct counts to HyperLogLog++.
 
@@ -86,17 +74,8 @@ def build_case_table(base: DataFrame, families: Mapping[str, DataFrame], key: st
     prefix instead of an engine-chosen suffix.
     """
     keys = base.select(key)
-    if restrict_to_base == "auto":
-        prefilter = "broadcast" if keys.count() <= broadcast_rows else None
-    else:
-        prefilter = "planner" if restrict_to_base else None
-    rolled = {}
-    for name, child in families.items():
-        if prefilter == "broadcast":
-            child = child.join(F.broadcast(keys), key, "left_semi")
-        elif prefilter == "planner":
-            child = semi_join_keys(child, keys, key)
-        rolled[name] = rollup(child, key, approx_nunique=approx_nunique)
+    rolled = {name: rollup(semi_join_keys(child, keys, key) if restrict_to_base else child, key,
+                           approx_nunique=approx_nunique) for name, child in families.items()}
     counts: dict[str, int] = {}
     for df in [base, *rolled.values()]:
         for c in df.columns:

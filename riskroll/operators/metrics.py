@@ -19,12 +19,13 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskroll.operators.ordered import running_sums
+from riskroll.operators.ordered import bounded_collect, running_sums
 
 # Fixed values
 F1_EPS = 1e-8
 GRID = [float(x) for x in np.arange(0.1, 0.9, 0.05)]          # 0.10, 0.15, … 0.85
 COST_GRID = [float(x) for x in np.linspace(0.0, 1.0, 1000)]    # 1000 points on [0, 1]
+MAX_MODELS = 1000
 GRID_METRICS = ("f1", "accuracy", "precision", "recall", "balanced_accuracy")
 
 
@@ -73,6 +74,18 @@ def label_metrics(df: DataFrame, label: str = "actual_label", pred: str = "predi
     return cm.select("tn", "fp", "fn", "tp", *metric_columns(*c))
 
 
+def label_curve(df: DataFrame, label: str = "actual_label", pred: str = "predicted_label") -> DataFrame:
+    """M4 + M11 on hard labels, from the four counts alone: ``label_auc`` (the ROC AUC of a 0/1 score, ties one half)
+    and ``ks`` (the larger gap of the cumulative class shares at its two values)."""
+    cm = confusion(df, label, pred)
+    pos, neg = F.col("tp") + F.col("fn"), F.col("fp") + F.col("tn")
+    tpr, tnr = F.try_divide(F.col("tp").cast("double"), pos), F.try_divide(F.col("tn").cast("double"), neg)
+    gap = F.abs(_ratio(F.col("tp"), pos) - _ratio(F.col("fp"), neg))
+    both = F.abs(F.when(pos > 0, 1.0).otherwise(0.0) - F.when(neg > 0, 1.0).otherwise(0.0))
+    return cm.select(((tpr + tnr) / 2).alias("label_auc"),
+                     F.when(pos + neg > 0, F.greatest(gap, both)).alias("ks"))
+
+
 def class_report(df: DataFrame, label: str = "actual_label", pred: str = "predicted_label") -> DataFrame:
     """Precision, recall, F1 and support for each class (both ways round)."""
     cm = confusion(df, label, pred)
@@ -93,9 +106,9 @@ def class_report(df: DataFrame, label: str = "actual_label", pred: str = "predic
 
 def score_counts(df: DataFrame, score: str = "score", label: str = "actual_label",
                  group_cols: Sequence[str] = ()) -> DataFrame:
-    """One row per (group, distinct non-null score): ``score, pos, neg``."""
+    """One row per (group, distinct score): ``score, pos, neg``; rows without a score (null or NaN) are left out."""
     y = F.col(label).cast("bigint")
-    return (df.where(F.col(score).isNotNull())
+    return (df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
             .groupBy(*group_cols, F.col(score).cast("double").alias("score"))
             .agg(F.sum(y).alias("pos"), F.sum(F.lit(1) - y).alias("neg")))
 
@@ -184,21 +197,24 @@ def grid_counts(df: DataFrame, grid: Sequence[float], score: str = "score",
                 label: str = "actual_label") -> DataFrame:
     """Confusion counts at every grid threshold (predicted positive iff score >= t).
 
-    Distinct scores are binned by the grid (``Bucketizer``), the ≤ len(grid)+1
-    bins are aggregated, and suffix sums over that tiny table give the counts.
-    Returns ``k, threshold, tn, fp, fn, tp`` for k = 0 … len(grid) - 1.
+    Raw scores are binned by the grid (``Bucketizer``, a binary search in the JVM) and summed per bin, so at most
+    len(grid) + 1 rows leave a task; suffix sums over that tiny table give the counts.  Rows without a score are left
+    out.  Returns ``k, threshold, tn, fp, fn, tp`` for k = 0 … len(grid) - 1.
     """
-    counts = score_counts(df, score, label)
+    y = F.col(label).cast("bigint")
+    scored = df.select(F.col(score).cast("double").alias("score"), y.alias("y")).where(
+        F.col("score").isNotNull() & ~F.isnan("score"))
     splits = [float("-inf")] + list(grid) + [float("inf")]
-    binned = Bucketizer(splits=splits, inputCol="score", outputCol="bin").transform(counts)
-    per_bin = binned.groupBy(F.col("bin").cast("int").alias("bin")).agg(F.sum("pos").alias("pos"),
-                                                                       F.sum("neg").alias("neg"))
+    binned = Bucketizer(splits=splits, inputCol="score", outputCol="bin").transform(scored)
+    per_bin = binned.groupBy(F.col("bin").cast("int").alias("bin")).agg(
+        F.sum("y").alias("pos"), F.sum(F.lit(1) - F.col("y")).alias("neg"))
+    rows = per_bin.collect()  # at most len(grid) + 1
+    per_bin = df.sparkSession.createDataFrame([tuple(r) for r in rows], "bin int, pos long, neg long")
     spark = df.sparkSession
     grid_df = spark.createDataFrame([(k, float(t)) for k, t in enumerate(grid)], "k int, threshold double")
     # bin b holds scores in [grid[b-1], grid[b]); threshold k predicts positive for bins >= k + 1
     w = Window.orderBy(F.col("k").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tot = per_bin.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
-    total_pos, total_neg = int(tot["P"] or 0), int(tot["N"] or 0)
+    total_pos, total_neg = sum(r["pos"] or 0 for r in rows), sum(r["neg"] or 0 for r in rows)
     joined = (grid_df.join(F.broadcast(per_bin.withColumn("k", F.col("bin") - 1)), "k", "left")
               .select("k", "threshold", F.coalesce("pos", F.lit(0)).alias("pos"),
                       F.coalesce("neg", F.lit(0)).alias("neg")))
@@ -216,7 +232,8 @@ def grid_threshold(df: DataFrame, metric: str | Sequence[str] = "f1", score: str
     single pass of grid counts.
     """
     wanted = [metric] if isinstance(metric, str) else list(metric)
-    wanted = [m if m in GRID_METRICS else "f1" for m in wanted]
+    if unknown := [m for m in wanted if m not in GRID_METRICS]:
+        raise ValueError(f"unknown metrics {unknown}; one of {GRID_METRICS}")
     g = grid_counts(df, grid, score, label)
     m = g.select("k", "threshold", *metric_columns(F.col("tn"), F.col("fp"), F.col("fn"), F.col("tp")))
     best = m.agg(*[F.max_by(F.struct("threshold", F.col(x).alias("value")),
@@ -250,7 +267,8 @@ def compare_models(tables: Mapping[str, DataFrame] | DataFrame, threshold: float
     """
     if isinstance(tables, DataFrame):
         long = tables
-        order = [r[0] for r in long.select(model_col).distinct().orderBy(model_col).collect()]
+        names = long.select(model_col).distinct().orderBy(model_col)
+        order = [r[0] for r in bounded_collect(names, MAX_MODELS, "models")]
     else:
         order = list(tables)
         long = None

@@ -84,7 +84,7 @@ def lasso_table(res: LassoResult, spark) -> DataFrame:
 
 
 def svm_pipeline(train: DataFrame, valid: DataFrame, features: Sequence[str], label: str = "target",
-                 max_iter: int = 100) -> tuple[DataFrame, LassoResult]:
+                 max_iter: int = 1000) -> tuple[DataFrame, LassoResult]:
     """Undersample (0.4) -> standardise -> lasso selection -> class-balanced LinearSVC.
 
     Score = margin (``rawPrediction[1]``), label = margin > 0.  Spark's
@@ -104,9 +104,15 @@ def svm_pipeline(train: DataFrame, valid: DataFrame, features: Sequence[str], la
 # Boosted trees
 # --------------------------------------------------------------------------
 
+# Fixed value: most values of a categorical feature (the indexer keeps them on the driver).
+MAX_CATEGORIES = 100_000
+
+
 @dataclass
 class GBTParams:
-    max_iter: int = 20
+    """Boosted-tree settings; 1000 trees as in the first boosted pipeline (fewer is the caller's choice)."""
+
+    max_iter: int = 1000
     max_depth: int = 6
     step_size: float = 0.05
     weighting: str = "weight_ratio"     # n0 / n1 (first boosted pipeline) or weight_odds (second)
@@ -122,6 +128,13 @@ def fit_gbt(train: DataFrame, features: Sequence[str], params: GBTParams, label:
     categories.  ``valid_col`` (boolean) marks rows used only for early
     stopping: Spark stops on the validation loss, the originals on AUC."""
     weighted = classes.with_class_weight(train, label, params.weighting)
+    max_bins = 64
+    if categorical:  # a categorical split needs a bin per category, and one for unseen values
+        sizes = train.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in categorical]).first()
+        largest = int(max(sizes) * 1.1) + 2
+        if largest > MAX_CATEGORIES:
+            raise ValueError(f"a categorical feature with about {largest} values; at most {MAX_CATEGORIES}")
+        max_bins = max(max_bins, largest)
     stages = []
     cat_idx = [f"{c}__idx" for c in categorical]
     if categorical:
@@ -129,7 +142,7 @@ def fit_gbt(train: DataFrame, features: Sequence[str], params: GBTParams, label:
                                     stringOrderType="alphabetAsc"))
     stages.append(VectorAssembler(inputCols=[*features, *cat_idx], outputCol="features", handleInvalid="keep"))
     kw = dict(featuresCol="features", labelCol=label, weightCol="weight", maxIter=params.max_iter,
-              maxDepth=params.max_depth, stepSize=params.step_size, seed=params.seed, maxBins=64)
+              maxDepth=params.max_depth, stepSize=params.step_size, seed=params.seed, maxBins=max_bins)
     if valid_col:
         kw["validationIndicatorCol"] = valid_col
     stages.append(GBTClassifier(**kw))
@@ -149,7 +162,7 @@ def gbt_importances(model: PipelineModel, features: Sequence[str], spark) -> Dat
 # --------------------------------------------------------------------------
 
 def mlp_pipeline(train: DataFrame, valid: DataFrame, features: Sequence[str], label: str = "target",
-                 hidden: Sequence[int] = (64, 32), max_iter: int = 50, seed: int = 42) -> DataFrame:
+                 hidden: Sequence[int] = (64, 32), max_iter: int = 200, seed: int = 42) -> DataFrame:
     """T4: undersample (0.2) -> standardise -> MLP [n, 64, 32, 2]; label = p > 0.518.
 
     Spark's MLP has sigmoid hidden units, no batch norm / dropout / focal
@@ -166,7 +179,7 @@ def mlp_pipeline(train: DataFrame, valid: DataFrame, features: Sequence[str], la
 @dataclass
 class MLPParams:
     hidden: tuple = (32, 16)
-    max_iter: int = 50
+    max_iter: int = 200
     seed: int = 42
 
 
@@ -262,7 +275,8 @@ class AveragePrecision(Evaluator):
         return True
 
 
-def random_search(train: DataFrame, features: Sequence[str], n_draws: int = 3, k: int = 3,
+def random_search(train: DataFrame, features: Sequence[str], n_draws: int = 15, k: int = 5,
+                  iterations: Sequence[int] = (100, 200, 400, 800),
                   label: str = "target", key: str = "case_id", seed: int = 42, parallelism: int = 2) -> DataFrame:
     """Seeded random draws of boosted-tree settings, scored by ``CrossValidator`` on the
     stratified folds (``foldCol``) with the exact average-precision evaluator.
@@ -271,7 +285,7 @@ def random_search(train: DataFrame, features: Sequence[str], n_draws: int = 3, k
     import random
 
     rng = random.Random(seed)
-    draws = [(rng.choice([5, 10, 15]), rng.choice([3, 4, 5, 6]), rng.choice([0.03, 0.05, 0.1]))
+    draws = [(rng.choice(list(iterations)), rng.choice([3, 4, 5, 6]), rng.choice([0.03, 0.05, 0.1]))
              for _ in range(n_draws)]
     folded = sampling.stratified_kfold(train, k, label, key)
     weighted = classes.with_class_weight(folded, label, "weight_ratio").withColumn(label, F.col(label).cast("double"))

@@ -22,6 +22,7 @@ combined map-side instead of landing in one task.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -51,7 +52,12 @@ def nunique_with_null(c: Column, approx: bool = False) -> Column:
 
 
 def default_order_columns(columns: Sequence[str]) -> list[str]:
-    return sorted(c for c in columns if ORDINAL_MARK in c)
+    """The ordinal columns by their number (``num_group2`` before ``num_group10``)."""
+    def number(name: str) -> tuple[int, str]:
+        digits = re.search(r"\d+", name.partition(ORDINAL_MARK)[2])
+        return int(digits.group()) if digits else -1, name
+
+    return sorted((c for c in columns if ORDINAL_MARK in c), key=number)
 
 
 def classify(name: str) -> str | None:
@@ -74,9 +80,8 @@ def rollup_exprs(schema: T.StructType, key: str = "case_id",
     """The aggregate list for one child table, in column order."""
     names = [f.name for f in schema.fields]
     order = list(order_cols) if order_cols is not None else default_order_columns(names)
-    if not order:
-        # no ordinal column: order by every other column so first/last stay deterministic
-        order = [n for n in names if n != key]
+    # every other column breaks ties, so first / last never depend on the partitioning
+    order += [n for n in names if n != key and n not in order]
     order_key = F.struct(*[F.col(c) for c in order])
     out: list[Column] = []
     for f in schema.fields:
@@ -101,7 +106,8 @@ def rollup_exprs(schema: T.StructType, key: str = "case_id",
                     nunique_with_null(c, approx_nunique).alias(f"{name}_nunique")]
         elif kind == "count":
             if is_numeric_type(dtype):
-                out.append(F.coalesce(F.sum(c), F.lit(0).cast(_sum_type(dtype))).alias(f"{name}_sum"))
+                summed = c.cast("int") if isinstance(dtype, T.BooleanType) else c
+                out.append(F.coalesce(F.sum(summed), F.lit(0).cast(_sum_type(dtype))).alias(f"{name}_sum"))
             out += [F.max(c).alias(f"{name}_max"), F.min(c).alias(f"{name}_min")]
         elif kind == "ordinal":
             out += [F.max(c).alias(f"{name}_max"), nunique_with_null(c, approx_nunique).alias(f"{name}_nunique")]

@@ -12,6 +12,7 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskroll.functions.exprs import hash_uniform
 from riskroll.operators.ordered import bounded_collect, first_rows, global_rank
@@ -30,19 +31,27 @@ MAX_CLASSES = 1000
 
 
 def class_counts(df: DataFrame, label: str = "target") -> dict:
-    """Rows per class (one small aggregate, one row per class, at most ``MAX_CLASSES``)."""
-    rows = bounded_collect(df.groupBy(label).agg(F.count(F.lit(1)).alias("n")), MAX_CLASSES, f"classes of {label}")
+    """Rows per class (one small aggregate, one row per class, at most ``MAX_CLASSES``); null is no class."""
+    rows = bounded_collect(df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n")), MAX_CLASSES, f"classes of {label}")
     return {r[label]: r["n"] for r in rows}
 
 
 def sample_n(df: DataFrame, n: int, key: str = "case_id", seed=SEED) -> DataFrame:
-    """Exactly ``n`` rows without replacement: the ``n`` smallest ``(u, key)``."""
+    """Exactly ``n`` rows without replacement: the ``n`` smallest ``(u, key)``; raises if there are fewer."""
+    have = df.count()
+    if n > have:
+        raise ValueError(f"a sample of {n} rows from {have}")
     return first_rows(_with_u(df, key, seed), n, U, [key]).drop(U)
 
 
 def sample_per_class(df: DataFrame, counts: dict, label: str = "target", key: str = "case_id",
                      seed=SEED) -> DataFrame:
-    """Exactly ``counts[c]`` rows of every class ``c`` (classes absent from ``counts`` keep none)."""
+    """Exactly ``counts[c]`` rows of every class ``c`` (classes absent from ``counts`` keep none); raises if a class
+    has fewer."""
+    have = class_counts(df, label)
+    for c, n in counts.items():
+        if n > have.get(c, 0):
+            raise ValueError(f"a sample of {n} rows from the {have.get(c, 0)} of class {c!r}")
     staged = _with_u(df, key, seed)
     ranked = global_rank(staged, U, [key], group_cols=[label], name="_pos")
     limit = None
@@ -92,28 +101,31 @@ def stratified_kfold(df: DataFrame, k: int = 5, label: str = "target", key: str
 
 def undersample(df: DataFrame, ratio: float, label: str = "target", key: str = "case_id",
                 seed=SEED) -> DataFrame:
-    """Keep every minority row and ``floor(n_min / ratio)`` majority rows."""
+    """Keep every minority row and ``floor(n_min / ratio)`` majority rows; rows without a label stay as they are."""
     counts = class_counts(df, label)
     minority = min(counts, key=lambda c: (counts[c], c))
     majority = max(counts, key=lambda c: (counts[c], -c if isinstance(c, (int, float)) else 0))
     keep = {minority: counts[minority], majority: min(counts[majority], int(counts[minority] / ratio))}
     for c in counts:
         keep.setdefault(c, counts[c])
-    return sample_per_class(df, keep, label, key, seed)
+    return sample_per_class(df, keep, label, key, seed).unionByName(df.where(F.col(label).isNull()))
 
 
 def permute_labels(df: DataFrame, label: str = "target", key: str = "case_id", seed=SEED,
                    name: str = "permuted_target") -> DataFrame:
     """A seeded permutation of the label against the rows.
 
-    Row at position ``p`` in key order receives the label of the row at
-    position ``p`` in ``(u, key)`` order; both positions are global ranks and
-    the two sides meet in one equi-join on the position.
+    Row at position ``p`` in key order receives the label of the row at position ``p`` in ``(u, key)`` order.  Only
+    (key, label) is ranked; other columns come back by the key (unique, of any type).  Key order is numeric for
+    numbers; other keys are ordered by their hash, which is as good for a permutation.
     """
-    by_key = global_rank(df, key, name="_p")
-    by_u = global_rank(_with_u(df.select(key, label), key, seed), U, [key], name="_p")
-    donor = by_u.select("_p", F.col(label).alias(name))
-    return by_key.join(donor, "_p").drop("_p")
+    slim = df.select(key, label)
+    numeric = isinstance(df.schema[key].dataType, (T.NumericType, T.DateType, T.TimestampType))
+    by_key = global_rank(slim, key, [key], name="_p") if numeric else global_rank(
+        slim.withColumn("_h", hash_uniform(key, f"{seed}-order")), "_h", [key], name="_p").drop("_h")
+    by_u = global_rank(_with_u(slim, key, seed), U, [key], name="_p")
+    permuted = by_key.select(key, "_p").join(by_u.select("_p", F.col(label).alias(name)), "_p").drop("_p")
+    return df.join(permuted, key)
 
 
 def shuffle_rows(df: DataFrame, key: str = "case_id", seed=SEED) -> DataFrame:

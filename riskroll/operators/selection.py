@@ -32,7 +32,7 @@ def null_importance(df: DataFrame, features: Sequence[str], label: str = "target
 
     Spark importances are normalised total gain (LightGBM's were split
     counts): the ratio keeps its meaning, the epsilon is relative to 1."""
-    p = params or models.GBTParams(max_iter=10, max_depth=4, step_size=0.05)
+    p = params or models.GBTParams(max_iter=500, max_depth=4, step_size=0.05)
     real = models.fit_gbt(df, features, p, label).stages[-1].featureImportances.toArray()
     nulls = [0.0] * len(features)
     for r in range(rounds):
@@ -52,7 +52,7 @@ def null_importance(df: DataFrame, features: Sequence[str], label: str = "target
 def importance_topk(df: DataFrame, features: Sequence[str], k: int = 60, label: str = "target",
                     params: models.GBTParams | None = None) -> DataFrame:
     """L3: the ``k`` features with the largest model importance (ties by name)."""
-    p = params or models.GBTParams(max_iter=20, max_depth=6, step_size=0.01)
+    p = params or models.GBTParams(max_iter=1000, max_depth=6, step_size=0.01)
     model = models.fit_gbt(df, features, p, label)
     return models.gbt_importances(model, features, df.sparkSession).orderBy(
         F.col("importance").desc(), "feature").limit(k)

@@ -523,8 +523,7 @@ def q_roc_auc(spark, sf_dir):
 @query("label_auc")
 def q_label_auc(spark, sf_dir):
     """M4: ROC AUC of the hard labels (equals balanced accuracy)."""
-    h = hard_labels(spark, sf_dir)
-    return me.curve_summary(h, score="predicted_label").select(F.col("roc_auc").alias("label_auc"))
+    return me.label_curve(hard_labels(spark, sf_dir)).select("label_auc")
 
 
 @query("average_precision")
@@ -561,7 +560,8 @@ def q_grid_threshold(spark, sf_dir):
 @query("cost_threshold")
 def q_cost_threshold(spark, sf_dir):
     """Economic-cost threshold: FP · mean BI of the good + FN · mean ELI of the bad."""
-    summary = {r["target"]: r for r in classes.econ_summary(fe.econ_indices(fx.fx_econ(spark, sf_dir))).collect()}
+    inputs = materialized(fx.fx_econ(spark, sf_dir))
+    summary = {r["target"]: r for r in classes.econ_summary(fe.econ_indices(inputs)).collect()}
     benefit_good = summary[0]["avg_bi"] if 0 in summary else 0.0
     loss_bad = summary[1]["avg_eli"] if 1 in summary else 0.0
     return me.cost_threshold(fx.fx_case_scores(spark, sf_dir), benefit_good, loss_bad)
@@ -570,7 +570,7 @@ def q_cost_threshold(spark, sf_dir):
 @query("ks_cumulative")
 def q_ks_cumulative(spark, sf_dir):
     """KS from cumulative class shares of the hard labels."""
-    return me.ks_cumulative(hard_labels(spark, sf_dir), score="predicted_label")
+    return me.label_curve(hard_labels(spark, sf_dir)).select("ks")
 
 
 @query("ks_roc")
@@ -587,6 +587,18 @@ def q_compare_models(spark, sf_dir):
     return me.compare_models(long)
 
 
+@query("evaluate_common")
+def q_evaluate_common(spark, sf_dir):
+    """The five models, each scoring other cases with repeats, compared on the cases that all of them scored."""
+    from riskroll.plans import flows
+
+    tables = {}
+    for i, s in enumerate(fx.SCORE_SEEDS):
+        t = fx.score_table(spark, sf_dir, s).where(F.col("case_id") % (7 + i) != 0)
+        tables[f"model_{s}"] = t.unionByName(t.where(F.col("case_id") % 5 == 0))
+    return flows.evaluation_stage(tables)
+
+
 @query("cum_gain")
 def q_cum_gain(spark, sf_dir):
     """Cumulative bad / good shares by descending score."""
@@ -635,14 +647,16 @@ def q_topk_features(spark, sf_dir):
 
 @query("null_importance")
 def q_null_importance(spark, sf_dir):
-    """L1: real vs permuted-label importance (3 seeded permutations); keep ratio > 1.5."""
+    """L1: real vs permuted-label importance (3 seeded permutations); keep ratio > 1.5.
+
+    Runs 5 trees of depth 3 for the library's 500 of depth 4, to keep the check short."""
     df, feats = model_frame(spark, sf_dir)
     return se.null_importance(df, feats, params=mo.GBTParams(max_iter=5, max_depth=3))
 
 
 @query("importance_topk")
 def q_importance_topk(spark, sf_dir):
-    """L3: top 10 features by boosted-tree importance."""
+    """L3: top 10 features by boosted-tree importance (10 trees for the library's 1000, to keep the check short)."""
     df, feats = model_frame(spark, sf_dir)
     return se.importance_topk(df, feats, k=10, params=mo.GBTParams(max_iter=10, max_depth=4, step_size=0.1))
 
@@ -667,7 +681,8 @@ def q_lasso_score(spark, sf_dir):
 
 @query("svm_score")
 def q_svm_score(spark, sf_dir):
-    """Undersample -> scale -> lasso selection -> class-balanced linear SVM; margin scores."""
+    """Undersample -> scale -> lasso selection -> class-balanced linear SVM; margin scores (50 iterations for the
+    library's 1000, to keep the check short)."""
     df, feats = model_frame(spark, sf_dir)
     scores, _ = mo.svm_pipeline(df.where(F.col("is_valid") == 0), df.where(F.col("is_valid") == 1), feats,
                                 max_iter=50)
@@ -692,21 +707,21 @@ def _gbt_scores(spark, sf_dir, params: mo.GBTParams) -> DataFrame:
 @query("gbt_score")
 def q_gbt_score(spark, sf_dir):
     """Class-weighted (n0/n1) boosted trees with indexed categoricals and validation-based
-    early stopping; F1-optimal threshold on validation."""
+    early stopping; F1-optimal threshold on validation.  20 trees for the library's 1000, to keep the check short."""
     return _gbt_scores(spark, sf_dir, mo.GBTParams(max_iter=20, max_depth=6, step_size=0.05,
                                                    weighting="weight_ratio"))
 
 
 @query("gbt_score_b")
 def q_gbt_score_b(spark, sf_dir):
-    """Second boosted-tree setting ((1-p)/p weights, learning rate 0.03)."""
+    """Second boosted-tree setting ((1-p)/p weights, learning rate 0.03); 20 trees for the original's 4000."""
     return _gbt_scores(spark, sf_dir, mo.GBTParams(max_iter=20, max_depth=6, step_size=0.03,
                                                    weighting="weight_odds"))
 
 
 @query("importance_table")
 def q_importance_table(spark, sf_dir):
-    """Boosted-tree feature importances, descending."""
+    """Boosted-tree feature importances, descending (10 trees for the library's 1000)."""
     df, feats = model_frame(spark, sf_dir)
     model = mo.fit_gbt(df.where(F.col("is_valid") == 0), feats, mo.GBTParams(max_iter=10, max_depth=4))
     return mo.gbt_importances(model, feats, spark)
@@ -714,11 +729,12 @@ def q_importance_table(spark, sf_dir):
 
 @query("mlp_score")
 def q_mlp_score(spark, sf_dir):
-    """T4: undersample (0.2) -> scale -> MLP [n, 64, 32, 2]; label = p > 0.518."""
+    """T4: undersample (0.2) -> scale -> MLP [n, 64, 32, 2]; label = p > 0.518 (30 iterations for the library's 200)."""
     df, feats = model_frame(spark, sf_dir)
     return mo.mlp_pipeline(df.where(F.col("is_valid") == 0), df.where(F.col("is_valid") == 1), feats, max_iter=30)
 
 
+# smaller bases than the library's defaults (1000 trees; hidden layers and 200 iterations; 5 folds), to keep the checks short
 STACK_BASES = {"gbt": mo.GBTParams(max_iter=5, max_depth=4, step_size=0.1, weighting="weight_ratio"),
                "mlp": mo.MLPParams(hidden=(16, 8), max_iter=30)}
 
@@ -740,9 +756,10 @@ def q_stack_score(spark, sf_dir):
 
 @query("random_search")
 def q_random_search(spark, sf_dir):
-    """Seeded random draws of tree settings scored by mean PR AUC over stratified folds."""
+    """Seeded random draws of tree settings scored by mean PR AUC over stratified folds (2 draws of few trees, 2 folds
+    for the library's 15 draws and 5 folds, to keep the check short)."""
     df, feats = model_frame(spark, sf_dir)
-    return mo.random_search(df.where(F.col("is_valid") == 0), feats, n_draws=2, k=2)
+    return mo.random_search(df.where(F.col("is_valid") == 0), feats, n_draws=2, k=2, iterations=(5, 10, 15))
 
 
 @query("batch_score")
@@ -767,8 +784,8 @@ def q_incremental_f1(spark, sf_dir):
 
     work = f"{ensure_checkpoint_dir(spark)}/stream-f1-{uuid.uuid4().hex}"
     scores = fx.score_table(spark, sf_dir, "a")
-    # the score table lands as several files: each becomes one micro-batch
-    scores.repartition(4, "case_id").write.parquet(f"{work}/source")
+    # the score table lands as Spark partitions it: each file becomes one micro-batch
+    scores.write.parquet(f"{work}/source")
     final, _ = run_incremental_f1(spark, f"{work}/source", "case_id long, score double, actual_label int",
                                   threshold=0.5, files_per_batch=1, work_dir=work)
     return final

@@ -8,7 +8,7 @@ Every fixture has a textual DuckDB twin in ``plans.oracle``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskroll.functions.exprs import hash_uniform
@@ -43,10 +43,9 @@ def fx_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fx_depth1(spark: SparkSession, sf_dir: str, keep_orderkey: bool = False) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     cols = [
         F.col("o_custkey").alias("case_id"),
-        (F.row_number().over(w) - 1).cast("int").alias("num_group1"),
+        F.col("o_orderkey").alias("num_group1"),
         F.when(F.col("o_orderkey") % 5 == 0, F.lit(None).cast("double"))
          .otherwise(F.col("o_totalprice")).alias("totalprice_3A"),
         F.col("o_orderdate").cast("date").alias("orderdate_4D"),
@@ -65,11 +64,9 @@ def fx_depth2(spark: SparkSession, sf_dir: str, depth1: DataFrame | None = None)
     li = table(spark, sf_dir, "lineitem")
     d1 = depth1 if depth1 is not None else fx_depth1(spark, sf_dir, keep_orderkey=True)
     d1 = d1.select(F.col("o_orderkey").alias("l_orderkey"), "case_id", "num_group1")
-    w = Window.partitionBy("l_orderkey").orderBy(
-        "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
     return li.join(d1, "l_orderkey").select(
         "case_id", "num_group1",
-        (F.row_number().over(w) - 1).cast("int").alias("num_group2"),
+        (F.col("l_linenumber") - 1).cast("int").alias("num_group2"),
         F.col("l_extendedprice").alias("amount_7A"),
         F.col("l_quantity").alias("qty_8L"),
         F.col("l_shipdate").cast("date").alias("ship_9D"),

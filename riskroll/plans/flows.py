@@ -92,7 +92,25 @@ def feature_stage(merged: DataFrame, top_k: int = 60, n_test: int | None = None,
     return FeatureResult(table, candidates, keep, reports)
 
 
+def common_scores(score_tables: Mapping[str, DataFrame], key: str = "case_id", score: str = "score",
+                  label: str = "actual_label") -> DataFrame:
+    """Long ``model, case_id, score, actual_label`` over the cases that every model scored.
+
+    Each table is reduced to one row per case (the smallest (score, label) if it has several); the tables are
+    inner-joined on the case; the label is that of the first table.
+    """
+    wide = None
+    for name, t in score_tables.items():
+        one = joins.dedup_first(t.select(key, score, label), key, [score, label]).select(
+            key, F.col(score).alias(f"_s_{name}"), *([F.col(label).alias("_label")] if wide is None else []))
+        wide = one if wide is None else wide.join(one, key)
+    stacked = F.array(*[F.struct(F.lit(name).alias("model"), F.col(f"_s_{name}").cast("double").alias("score"))
+                        for name in score_tables])
+    return wide.select(key, F.col("_label").alias(label), F.explode(stacked).alias("_m")).select(
+        "_m.model", key, "_m.score", label)
+
+
 def evaluation_stage(score_tables: Mapping[str, DataFrame], threshold: float = 0.5) -> DataFrame:
-    """Per-model metric table and the best model by PR AUC; joins on the case id, never on
-    row position."""
-    return metrics.compare_models(dict(score_tables), threshold=threshold)
+    """All models on the cases that each of them scored: per-model metric table, best model by PR AUC."""
+    common = _checkpointed(common_scores(score_tables))
+    return metrics.compare_models(common, threshold=threshold)

@@ -34,7 +34,7 @@ FIXTURES = {
   FROM customer""",
     "fx_depth1": """
   SELECT o_custkey AS case_id,
-         CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS INTEGER) AS num_group1,
+         o_orderkey AS num_group1,
          CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice END AS totalprice_3A,
          CAST(o_orderdate AS DATE) AS orderdate_4D,
          CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderpriority END AS priority_5M,
@@ -44,8 +44,7 @@ FIXTURES = {
   FROM orders""",
     "fx_depth2": """
   SELECT d.case_id, d.num_group1,
-         CAST(row_number() OVER (PARTITION BY l.l_orderkey ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey,
-                                 l.l_quantity, l.l_extendedprice, l.l_shipdate) - 1 AS INTEGER) AS num_group2,
+         CAST(l.l_linenumber - 1 AS INTEGER) AS num_group2,
          l.l_extendedprice AS amount_7A, l.l_quantity AS qty_8L,
          CAST(l.l_shipdate AS DATE) AS ship_9D, l.l_returnflag AS flag_10M
   FROM lineitem l JOIN fx_depth1 d ON l.l_orderkey = d.o_orderkey""",
@@ -142,8 +141,8 @@ ROLLUP_D2 = f"""
          max(qty_8L) AS qty_8L_max,
          min(qty_8L) AS qty_8L_min,
          {date_mean('ship_9D')} AS ship_9D_mean,
-         arg_min_null(flag_10M, (num_group1, num_group2)) AS flag_10M_first,
-         arg_max_null(flag_10M, (num_group1, num_group2)) AS flag_10M_last,
+         arg_min_null(flag_10M, (num_group1, num_group2, amount_7A, qty_8L, ship_9D, flag_10M)) AS flag_10M_first,
+         arg_max_null(flag_10M, (num_group1, num_group2, amount_7A, qty_8L, ship_9D, flag_10M)) AS flag_10M_last,
          {nunique('flag_10M')} AS flag_10M_nunique,
          count(*) AS record_count
   FROM {{src}} GROUP BY case_id"""
@@ -230,12 +229,12 @@ BB_CTES = [
 BB_COLS = [
     ("case_id", "bigint"), ("WEEK_NUM", "int"), ("date_decision", "date"), ("MONTH", "int"), ("target", "int"),
     ("maininc_215A", "double"), ("currdebt_22A", "double"), ("segment_1M", "string"), ("sparse_2A", "double"),
-    ("d1_num_group1_max", "int"), ("d1_num_group1_nunique", "bigint"),
+    ("d1_num_group1_max", "bigint"), ("d1_num_group1_nunique", "bigint"),
     ("totalprice_3A_mean", "double"), ("totalprice_3A_max", "double"), ("totalprice_3A_min", "double"),
     ("totalprice_3A_std", "double"), ("orderdate_4D_mean", "date"), ("priority_5M_first", "string"),
     ("priority_5M_last", "string"), ("priority_5M_nunique", "bigint"), ("items_6L_sum", "bigint"),
     ("items_6L_max", "bigint"), ("items_6L_min", "bigint"), ("d1_record_count", "bigint"),
-    ("d2_num_group1_max", "int"), ("d2_num_group1_nunique", "bigint"), ("num_group2_max", "int"),
+    ("d2_num_group1_max", "bigint"), ("d2_num_group1_nunique", "bigint"), ("num_group2_max", "int"),
     ("num_group2_nunique", "bigint"), ("amount_7A_mean", "double"), ("amount_7A_max", "double"),
     ("amount_7A_min", "double"), ("amount_7A_std", "double"), ("qty_8L_sum", "double"), ("qty_8L_max", "double"),
     ("qty_8L_min", "double"), ("ship_9D_mean", "date"), ("flag_10M_first", "string"), ("flag_10M_last", "string"),
@@ -302,8 +301,8 @@ ORACLE["first_last"] = with_fixtures(f"""
 SELECT case_id,
        max(num_group1) AS num_group1_max, {nunique('num_group1')} AS num_group1_nunique,
        max(num_group2) AS num_group2_max, {nunique('num_group2')} AS num_group2_nunique,
-       arg_min_null(flag_10M, (num_group1, num_group2)) AS flag_10M_first,
-       arg_max_null(flag_10M, (num_group1, num_group2)) AS flag_10M_last,
+       arg_min_null(flag_10M, (num_group1, num_group2, flag_10M)) AS flag_10M_first,
+       arg_max_null(flag_10M, (num_group1, num_group2, flag_10M)) AS flag_10M_last,
        {nunique('flag_10M')} AS flag_10M_nunique,
        count(*) AS record_count
 FROM fx_depth2 GROUP BY case_id""", "fx_depth2")
@@ -820,6 +819,10 @@ SELECT model, accuracy, precision, recall, f1, roc_auc, pr_auc, ks,
                                             ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS INTEGER) AS is_best
 FROM (""" + _union(_CMP_PARTS) + ")", ["accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc", "ks"]),
                                          "fx_scores", extra=_models + _all_curves)
+ORACLE["evaluate_common"] = ORACLE["compare_models"].replace(
+    "fx_scores AS (", "fx_scores AS (SELECT * FROM (", 1).replace(
+    "  FROM fx_label\n)", "  FROM fx_label\n) WHERE case_id % 7 != 0 AND case_id % 8 != 0 AND case_id % 9 != 0 "
+    "AND case_id % 10 != 0 AND case_id % 11 != 0)", 1)
 ORACLE["cum_gain"] = with_fixtures(snapped(f"""
 SELECT score, pos, neg, {_r('cum_pos', 'total_pos')} AS cum_bad, {_r('cum_neg', 'total_neg')} AS cum_good FROM cu""",
                                            ["score", "cum_bad", "cum_good"]), "fx_score_a", extra=curve_ctes("fx_score_a"))

@@ -8,11 +8,10 @@ unions; relaxed unions align columns by name and widen types explicitly.
 from __future__ import annotations
 
 import logging
-import posixpath
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,15 +41,41 @@ def union_strict(frames: Iterable[DataFrame]) -> DataFrame:
 _NUMERIC_RANK = [T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType]
 
 
+def _decimal_of(t: T.DataType) -> T.DecimalType | None:
+    """The decimal that holds every value of an exact numeric type."""
+    digits = {T.BooleanType: 1, T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 20}
+    return t if isinstance(t, T.DecimalType) else T.DecimalType(digits[type(t)], 0) if type(t) in digits else None
+
+
 def common_type(types: Sequence[T.DataType]) -> T.DataType:
-    """Supertype of several column types: widest numeric, else the shared type, else string."""
+    """Supertype of several column types.
+
+    Widest numeric type (booleans count as 0 / 1; decimals widen to the joint precision and scale, with a float to
+    double); dates and timestamps to timestamp; a string with anything else to string (its text form).  Types
+    without a common form (say a date and a number) raise.
+    """
     distinct = []
     for t in types:
         if t not in distinct:
             distinct.append(t)
     if len(distinct) == 1:
         return distinct[0]
-    if all(type(t) in _NUMERIC_RANK for t in distinct):
+    distinct = [t for t in distinct if not isinstance(t, T.NullType)]
+    if len(distinct) == 1:
+        return distinct[0]
+    exact = [_decimal_of(t) for t in distinct]
+    if any(isinstance(t, T.DecimalType) for t in distinct):
+        if all(exact):
+            scale = max(t.scale for t in exact)
+            whole = max(t.precision - t.scale for t in exact)
+            if whole + scale > 38:
+                raise TypeError(f"no decimal holds all of {distinct}")
+            return T.DecimalType(whole + scale, scale)
+        if all(d or isinstance(t, (T.FloatType, T.DoubleType)) for t, d in zip(distinct, exact)):
+            return T.DoubleType()
+    numeric = [T.ByteType() if isinstance(t, T.BooleanType) else t for t in distinct]
+    if all(type(t) in _NUMERIC_RANK for t in numeric):
+        distinct = numeric
         ranks = [_NUMERIC_RANK.index(type(t)) for t in distinct]
         best = _NUMERIC_RANK[max(ranks)]
         # long + float cannot hold every long exactly in a float: use double
@@ -59,7 +84,10 @@ def common_type(types: Sequence[T.DataType]) -> T.DataType:
         return best()
     if all(isinstance(t, (T.DateType, T.TimestampType, T.TimestampNTZType)) for t in distinct):
         return T.TimestampNTZType() if any(isinstance(t, T.TimestampNTZType) for t in distinct) else T.TimestampType()
-    return T.StringType()
+    if any(isinstance(t, T.StringType) for t in distinct) and not any(
+            isinstance(t, (T.ArrayType, T.MapType, T.StructType, T.BinaryType)) for t in distinct):
+        return T.StringType()
+    raise TypeError(f"no common type of {[t.simpleString() for t in distinct]}")
 
 
 def union_relaxed(frames: Iterable[DataFrame]) -> DataFrame:
@@ -84,33 +112,41 @@ def union_relaxed(frames: Iterable[DataFrame]) -> DataFrame:
 
 
 def read_with_lineage(spark: SparkSession, paths: str | Sequence[str], fmt: str = "csv",
-                      ext: str | None = None, **options) -> DataFrame:
+                      ext: str | None = None, schema: T.StructType | str | None = None, **options) -> DataFrame:
     """Read a set of files and add ``file_name = file_{i}{ext}``.
 
-    ``i`` is the 1-based alphabetical rank of the file's base name among the
-    files read.  The name list comes from Spark's own file index (driver
-    metadata, one entry per file), and the rank map joins back as a broadcast
-    of that list; row data never passes through the driver.
+    ``i`` is the 1-based alphabetical rank of the file's full path among the files that hold rows (so equal base names
+    in two folders stay apart).  The rank table has one row per file and is joined, not hinted: the planner broadcasts
+    it while it is small.  CSV needs a ``schema`` (a header row is skipped): without one the data would be read twice.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if fmt == "csv":
+        if schema is None:
+            raise ValueError("CSV files need a schema")
         options.setdefault("header", "true")
-        options.setdefault("inferSchema", "true")
         options.setdefault("pathGlobFilter", "*.csv")      # only the directory's .csv files
-    if fmt == "parquet":
+    if fmt == "parquet" and schema is None:
         options.setdefault("mergeSchema", "true")
-    df = spark.read.format(fmt).options(**options).load(paths)
-    names = sorted({posixpath.basename(p) for p in df.inputFiles()})
+    reader = spark.read.format(fmt).options(**options)
+    df = (reader.schema(schema) if schema is not None else reader).load(paths)
     suffix = ext if ext is not None else (f".{fmt}" if fmt != "text" else ".txt")
-    ranks = spark.createDataFrame([(n, f"file_{i}{suffix}") for i, n in enumerate(names, start=1)],
-                                  "_src string, file_name string")
-    with_src = df.withColumn("_src", F.col("_metadata.file_name"))
-    return with_src.join(F.broadcast(ranks), "_src", "left").drop("_src")
+    with_src = df.withColumn("_src", F.col("_metadata.file_path"))
+    files = with_src.select("_src").distinct()
+    ranks = files.select("_src", F.concat(F.lit("file_"), F.row_number().over(Window.orderBy("_src")).cast("string"),
+                                          F.lit(suffix)).alias("file_name"))
+    return with_src.join(ranks, "_src", "left").drop("_src")
+
+
+# Fixed value: most names an allow-list sheet may hold.
+MAX_NAMES = 100_000
 
 
 def allowlist_names(names_df: DataFrame, column: str = "Feature_Name") -> list[str]:
-    """The feature names of an allow-list sheet (a small table of names)."""
-    return [r[0] for r in names_df.select(column).where(F.col(column).isNotNull()).collect()]
+    """The feature names of an allow-list sheet, at most ``MAX_NAMES``, in row order of the sheet."""
+    rows = names_df.select(column).where(F.col(column).isNotNull()).limit(MAX_NAMES + 1).collect()
+    if len(rows) > MAX_NAMES:
+        raise ValueError(f"an allow-list of more than {MAX_NAMES} names")
+    return [r[0] for r in rows]
 
 
 def select_allowlist(df: DataFrame, names: Sequence[str], keep: Sequence[str] = ("case_id", "target")) -> DataFrame:

@@ -57,7 +57,8 @@ def run_incremental_f1(spark: SparkSession, source_dir: str, schema: str, thresh
 
     def publish(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(latest)
-        batch.withColumn("batch", F.lit(epoch)).write.mode("append").parquet(history)
+        # a folder per batch: a replayed batch overwrites its own rows
+        batch.write.mode("overwrite").parquet(f"{history}/batch={epoch}")
 
     q = (metrics.writeStream.outputMode("complete").foreachBatch(publish)
          .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())

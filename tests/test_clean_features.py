@@ -142,29 +142,45 @@ def test_exact_quantiles_match_spark_aggregates(spark):
     df = spark.createDataFrame(rows, "a double, b double, c int")
     cols = ["a", "b", "c"]
     ps = [0.01, 0.25, 0.5, 0.55, 0.99]
-    got = {r["column"]: [r[f"q{i}"] for i in range(len(ps))] for r in clean.exact_quantiles(df, cols, ps).collect()}
-    cont = {r["column"]: r["q0"] for r in clean.exact_quantiles(df, cols, [0.5], interpolate=True).collect()}
+    got = clean.quantile_values(df, cols, ps)
     df.createOrReplaceTempView("qt")
     for c in cols:
-        want = spark.sql("SELECT " + ", ".join(f"CAST(percentile_disc({p}) WITHIN GROUP (ORDER BY {c}) AS DOUBLE)"
-                                               for p in ps) + " FROM qt").first()
-        assert got[c] == [float(x) for x in want]
-        med = spark.sql(f"SELECT percentile({c}, 0.5) FROM qt").first()[0]
-        assert cont[c] == pytest.approx(med, rel=1e-12)
+        want = spark.sql("SELECT " + ", ".join(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {c})" for p in ps)
+                         + " FROM qt").first()
+        assert [float(x) for x in got[c]] == [float(x) for x in want]
 
 
-def test_quantile_paths_agree(spark):
+@pytest.mark.parametrize("bracket", [3, 10_000])
+def test_ranks_on_odd_columns(spark, monkeypatch, bracket):
+    """Infinities, NaN, integers beyond 2**53, one hot value, an empty column; also when brackets must be cut again."""
     import random
 
+    monkeypatch.setattr(clean, "BRACKET_VALUES", bracket)
+    monkeypatch.setattr(clean, "ACCURACY", 20)
     random.seed(4)
-    df = spark.createDataFrame([(float(random.randint(0, 300)), random.randint(0, 9)) for _ in range(500)],
-                               "a double, b int")
-    small = {r["column"]: (r["q_low"], r["q_high"]) for r in clean.quantile_bounds(df, ["a", "b"]).collect()}
-    old = clean.MAX_MAP_CELLS
-    clean.MAX_MAP_CELLS = 0
-    try:
-        big = {r["column"]: (r["q_low"], r["q_high"])
-               for r in clean.quantile_bounds(df, ["a", "b"]).collect()}
-    finally:
-        clean.MAX_MAP_CELLS = old
-    assert small == big
+    big = 2**60
+    rows = [(random.choice([float("inf"), float("-inf"), float("nan"), None, random.gauss(0, 1e9), 0.0]), big + i,
+             5 if random.random() < 0.9 else random.randint(0, 99), None) for i in range(600)]
+    random.shuffle(rows)
+    df = spark.createDataFrame(rows, "a double, b long, c int, d double").repartition(5)
+    ps = [0.0, 0.01, 0.3, 0.5, 0.77, 0.99, 1.0]
+    for method in ("disc", "nearest"):
+        got = clean.quantile_values(df, ["a", "b", "c", "d"], ps, method)
+        for k, c in enumerate("abc"):
+            values = sorted(r[k] for r in rows if r[k] is not None and r[k] == r[k])
+            assert got[c] == [values[clean.QUANTILE_RANKS[method](p)(len(values)) - 1] for p in ps], (c, method)
+        assert got["d"] == [None] * len(ps)
+
+
+def test_winsorize_keeps_integers(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(i, big + i) for i in range(400)], "case_id long, x long")
+    out = {r["case_id"]: r["x"] for r in clean.winsorize(df).collect()}
+    assert out[200] == big + 200 and out[0] == big + 3 and out[399] == big + 395
+
+
+def test_one_hot_keeps_null_and_text_none_apart(spark):
+    df = spark.createDataFrame([(1, None), (2, "None"), (3, "a")], "case_id int, x string")
+    rows = {r["case_id"]: r.asDict() for r in encode.fit_one_hot(df, ["x"]).apply(df).collect()}
+    assert rows[1] == {"case_id": 1, "x_null": 1, "x_None": 0, "x_a": 0}
+    assert rows[2] == {"case_id": 2, "x_null": 0, "x_None": 1, "x_a": 0}

@@ -153,3 +153,22 @@ def test_focal_loss_by_hand(spark):
     df = spark.createDataFrame([(0.5, 1)], "score double, actual_label int")
     r = me.focal_loss(df).first()
     assert r["focal_loss"] == pytest.approx(0.25 * 0.25 * np.log(2))
+
+
+def test_nan_scores_are_left_out_and_unknown_metrics_raise(spark):
+    rows = [(0.2, 0), (0.9, 1), (float("nan"), 1), (None, 0), (0.7, 1)]
+    df = spark.createDataFrame(rows, "score double, actual_label int")
+    clean = df.where("score is not null and not isnan(score)")
+    assert me.grid_threshold(df, "f1").collect() == me.grid_threshold(clean, "f1").collect()
+    assert me.curve_summary(df).collect() == me.curve_summary(clean).collect()
+    with pytest.raises(ValueError):
+        me.grid_threshold(df, "f2")
+
+
+def test_label_curve_equals_the_curve_over_two_scores(spark):
+    for rows in ([(1, 1), (1, 0), (0, 0), (0, 1), (0, 0)], [(1, 1), (0, 1)], [(0, 0), (0, 1)]):
+        df = spark.createDataFrame(rows, "predicted_label int, actual_label int")
+        got = me.label_curve(df).first()
+        curve = me.curve_summary(df, score="predicted_label").first()
+        assert got["label_auc"] == (None if curve["roc_auc"] is None else pytest.approx(curve["roc_auc"]))
+        assert got["ks"] == pytest.approx(me.ks_cumulative(df, score="predicted_label").first()["ks"])

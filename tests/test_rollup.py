@@ -94,14 +94,26 @@ def test_dedup_first_and_common_columns(spark):
 
 
 def test_prefilter_choice_does_not_change_result(spark):
-    base = rows(spark, [(1, 0), (2, 1)], "case_id long, target int")
-    d1 = rows(spark, [(1, 0, 2.0), (1, 1, 4.0), (3, 0, 1.0)], "case_id long, num_group1 int, x_1A double")
-    a = sorted(build_case_table(base, {"d1": d1}).collect())                       # broadcast pre-filter
-    b = sorted(build_case_table(base, {"d1": d1}, broadcast_rows=0).collect())     # no pre-filter
-    c = sorted(build_case_table(base, {"d1": d1}, restrict_to_base=True).collect())
-    assert a == b == c and len(a) == 2
+    base = spark.createDataFrame([(1,), (2,)], "case_id long")
+    d1 = spark.createDataFrame([(1, 0, 5.0), (1, 1, 7.0), (9, 0, 1.0)], "case_id long, num_group1 int, x_1A double")
+    a = sorted(build_case_table(base, {"d1": d1}).collect())
+    b = sorted(build_case_table(base, {"d1": d1}, restrict_to_base=False).collect())
+    assert a == b and len(a) == 2
 
 
+def test_tied_ordinals_do_not_depend_on_partitioning(spark):
+    rows = [(1, 0, c, float(v)) for v in range(6) for c in "abc"]
+    df = spark.createDataFrame(rows, "case_id long, num_group1 int, c_5M string, v_1A double")
+    found = {tuple(ru.rollup(df.repartition(n)).select("c_5M_first", "c_5M_last").first()) for n in (1, 2, 5, 9)}
+    assert found == {("a", "c")}
+
+
+def test_ordinals_sort_by_number_and_booleans_add_up(spark):
+    df = spark.createDataFrame([(1, 1, 2, "x", True), (1, 2, 1, "y", True), (1, 1, 1, "z", False)],
+                               "case_id long, num_group2 int, num_group10 int, c_1M string, b_2L boolean")
+    row = ru.rollup(df).first()
+    assert (row["c_1M_first"], row["c_1M_last"], row["b_2L_sum"]) == ("z", "y", 2)
+
 def test_approx_nunique_close_and_without_expand(spark):
     df = rows(spark, [(i % 4, i, float(i), None, str(i % 37), i, None, 0) for i in range(4000)], SCHEMA)
     exact = {r["case_id"]: r["cat_3M_nunique"] for r in ru.rollup(df).collect()}

@@ -75,3 +75,29 @@ def test_dense_codes_match_sorted_order(spark):
     got = {r["v"]: r["_code"] for r in dense_codes(df, "v", n_parts=7).collect()}
     want = {w: i for i, w in enumerate(sorted({w for w in words if w is not None}))}
     assert got == want
+
+
+def test_short_samples_raise(spark):
+    df = spark.createDataFrame([(i, int(i < 3)) for i in range(30)], "case_id long, target int")
+    for call in (lambda: sa.sample_n(df, 31), lambda: sa.holdout_split(df, 20, 10)):
+        try:
+            call()
+        except ValueError:
+            continue
+        raise AssertionError("a short sample passed")
+
+
+def test_null_labels_are_no_class(spark):
+    df = spark.createDataFrame([(0, None)] + [(i, int(i < 10)) for i in range(1, 30)], "case_id long, target int")
+    out = sa.undersample(df, 0.5)
+    counts = {r["target"]: r["count"] for r in out.groupBy("target").count().collect()}
+    assert counts == {None: 1, 1: 9, 0: 18}
+
+
+def test_permute_labels_with_text_keys(spark):
+    df = spark.createDataFrame([(f"c{i}", i % 3, i) for i in range(60)], "case_id string, target int, x int")
+    out = sa.permute_labels(df)
+    rows = out.collect()
+    assert sorted(r["case_id"] for r in rows) == sorted(f"c{i}" for i in range(60))
+    assert sorted(r["permuted_target"] for r in rows) == sorted(i % 3 for i in range(60))
+    assert all(r["x"] == int(r["case_id"][1:]) for r in rows) and any(r["permuted_target"] != r["target"] for r in rows)

@@ -13,7 +13,7 @@ def test_csv_lineage_ranks_files(spark):
     for name, rows in files.items():
         with open(f"{d}/{name}", "w") as fh:
             fh.write(rows)
-    df = sources.read_with_lineage(spark, d, fmt="csv")
+    df = sources.read_with_lineage(spark, d, fmt="csv", schema="x int, y int")
     got = sorted((r["x"], r["file_name"]) for r in df.collect())
     assert got == [(1, "file_2.csv"), (3, "file_2.csv"), (5, "file_1.csv"), (7, "file_3.csv")]
 
@@ -48,3 +48,27 @@ def test_allowlist_and_sinks(spark):
     sources.write_csv(out, f"{d}/c")
     assert spark.read.parquet(f"{d}/p").count() == 1
     assert spark.read.option("header", "true").csv(f"{d}/c").columns == ["case_id", "target", "b"]
+
+
+def test_lineage_keeps_equal_names_apart(spark):
+    d = tempfile.mkdtemp(prefix="riskroll-lineage-", dir="/tmp")
+    for i, folder in enumerate(("d1", "d2")):
+        spark.createDataFrame([(i,)], "k int").coalesce(1).write.option("header", "true").csv(f"{d}/{folder}")
+    out = sources.read_with_lineage(spark, [f"{d}/d1", f"{d}/d2"], schema="k int")
+    assert sorted((r["k"], r["file_name"]) for r in out.collect()) == [(0, "file_1.csv"), (1, "file_2.csv")]
+
+
+def test_common_types():
+    from pyspark.sql import types as T
+
+    dec = T.DecimalType
+    for given, want in [([dec(10, 2), T.DoubleType()], T.DoubleType()), ([dec(10, 2), dec(12, 3)], dec(12, 3)),
+                        ([dec(10, 2), T.LongType()], dec(22, 2)), ([T.BooleanType(), T.IntegerType()], T.IntegerType()),
+                        ([T.IntegerType(), T.FloatType()], T.DoubleType()), ([T.StringType(), T.LongType()], T.StringType())]:
+        assert sources.common_type(given) == want
+    for given in ([T.DateType(), T.LongType()], [T.ArrayType(T.LongType()), T.StringType()]):
+        try:
+            sources.common_type(given)
+        except TypeError:
+            continue
+        raise AssertionError(given)
