@@ -6,6 +6,7 @@ as Parquet and read again.  That cuts the lineage: a lost executor costs a re-re
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -38,6 +39,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished stages now (its cleaner follows garbage collection, which is due
+    every half hour at the latest); what was written to the shared folder stays."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def whole_rows(df: DataFrame, *columns: str) -> DataFrame:
     """``row`` (the untouched input row as a struct) beside the named columns: no internal name can clash with it."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *columns)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, table, utf8, whole_rows, written
+from .common import free_shuffles, pieces, table, utf8, whole_rows, written
 from .linking import Forest, components, links_within, small_side
 
 SHINGLE = 5
@@ -128,6 +128,7 @@ def candidate_clusters(classes: DataFrame) -> DataFrame:
     shared = written(buckets.groupBy("bucket").agg(F.min("key").alias("first"), F.count("*").alias("n")).filter("n > 1"),
                      "buckets")
     met = written(buckets.join(small_side(shared, shared.count()), "bucket").groupBy("key", "first").agg(F.sum("n").alias("n")), "met")
+    free_shuffles(classes.sparkSession)
     cluster = components(met.select(F.col("key").alias("a"), F.col("first").alias("b")))
     degree = met.groupBy("key").agg(F.sum("n").alias("degree"))
     return cluster.select(F.col("node").alias("key"), F.col("component").alias("cluster")).join(degree, "key")
@@ -183,6 +184,7 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = written(classes.drop("bands").join(clusters, "key"), "members")
     links = links_within(_with_sets(docs, members), set_links, BLOCK_WEIGHT)
     linked = components(links)
+    free_shuffles(docs.sparkSession)
     group = classes.select("node", "doc_id").join(linked, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
     first = group.groupBy("component").agg(F.min("doc_id").alias("first"))

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_collect, pieces, shared_path, table
+from .common import bounded_collect, free_shuffles, pieces, shared_path, table
 from .tokens import Encoder, default_path
 
 SCALE = 20
@@ -215,6 +215,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     between = shared_path(spark, "rans-ids")
     ids.write.option("compression", "zstd").parquet(between)
     ids = spark.read.schema(ids.schema).parquet(between)
+    free_shuffles(spark)
     symbols, counts = symbol_counts(ids)
     spark.createDataFrame([(symbols.tolist(), counts.tolist())], "symbols array<bigint>, counts array<bigint>").write.parquet(
         f"{path}/frequencies")

@@ -126,7 +126,7 @@ def line_brute_force(docs):
             if w:
                 places.setdefault(w, []).append((-1 if d is None else d, i))
     classes = sorted(places)
-    s1, s2 = line_dedup.simhashes([list(w) for w in classes])
+    _, _, s1, s2 = line_dedup.simhashes(b"\n".join(b" ".join(w) for w in classes))
     number = [(int(a) & (2**64 - 1)) << 32 | int(b) for a, b in zip(s1, s2)]
     linked = [(a, b) for i, a in enumerate(classes) for j, b in enumerate(classes)
               if i < j and (number[i] ^ number[j]).bit_count() <= line_dedup.MAX_BITS and line_dedup.similar(list(a), list(b))]
@@ -191,3 +191,16 @@ def test_block_pairs_cover_three_bits(spark):
         rows += [(i, signed(v >> 32), v & 0xFFFFFFFF) for v in (x, y)]
     keys = spark.createDataFrame(rows, "i long, s1 long, s2 long").select("i", F.explode(line_dedup.bucket_keys()).alias("k"))
     assert keys.groupBy("i", "k").count().filter("count > 1").select("i").distinct().count() == 300
+
+
+def test_simhash_bits_are_majorities():
+    rng = random.Random(8)
+    lines = [[rng.choice(WORDS).encode() for _ in range(n)] for n in (1, 2, 3, 7, 8, 200, 64, 0, 5)]
+    text = b"\n".join(b" ".join(w) for w in lines)
+    number, counts, s1, _ = line_dedup.simhashes(text)
+    assert number.tolist() == [0, 1, 2, 3, 4, 5, 6, 8] and counts.tolist() == [len(w) for w in lines if w]
+    alone = {w: int(line_dedup.word_hashes(b" x  " + w + b"\n")[0][1]) for words in lines for w in words}
+    for words, got in zip([w for w in lines if w], s1.tolist()):
+        for bit in range(64):
+            ones = sum(alone[w] >> bit & 1 for w in words)
+            assert (got >> bit & 1) == (2 * ones > len(words))
