@@ -187,6 +187,7 @@ def brute_force(documents: list[tuple], items: list[tuple], window: int = WINDOW
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9: benchmark windows found in every document."""
     return report(table(spark, sf_dir, "documents", "doc_id", "text"),
                   table(spark, sf_dir, "benchmark", "item_id", "text"))
 

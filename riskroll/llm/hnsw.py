@@ -278,5 +278,6 @@ def search(graphs: DataFrame, queries: DataFrame, k: int = K, width: int = SEARC
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6: the 20 nearest of every vector whose vec_id is divisible by 20, among all vectors."""
     vectors = usable(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
     return search(build(vectors), vectors.filter("vec_id % 20 = 0").dropDuplicates(["vec_id"]))

@@ -230,6 +230,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8: the near-duplicate component of every document."""
     return report(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 

@@ -170,4 +170,5 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op2: all documents packed into sequences of at most 1024 tokens, a row per piece."""
     return pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"))

@@ -257,6 +257,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3: all documents written as rANS blocks in ascending doc_id order, read back from the files."""
     path = shared_path(spark, "rans")
     write(table(spark, sf_dir, "documents", "doc_id", "text"), path)
     return read(spark, path).drop("ids")

@@ -239,6 +239,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7: a toxicity score of every document."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
     return score(docs, model).select(
