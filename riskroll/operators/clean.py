@@ -1,8 +1,8 @@
 """Cleaning of wide tables.
 
-Profiles (nulls, quantile bounds, min/max, medians) are computed for all
-columns in one aggregate per chunk of ~100 columns, so a 500-column table is a
-handful of jobs, never one job per column.  Fitted steps return a small
+Profiles (nulls, min/max) are one aggregate over all columns; quantiles and
+medians take three or four jobs of one aggregate per ~100 columns, never one job
+per column.  Fitted steps return a small
 dataclass of literals whose ``apply`` is a single ``select`` (no chain of
 ``withColumn``), keeping the plan flat and inside whole-stage codegen.
 """
@@ -75,18 +75,20 @@ def null_counts(df: DataFrame) -> dict[str, int]:
 
 
 def drop_sparse(df: DataFrame, threshold: float = SPARSE_THRESHOLD) -> DataFrame:
-    """Drop columns whose null share is strictly above ``threshold``."""
-    cols = df.columns
-    n = None
-    drop = []
-    for chunk in _chunks(cols):
-        row = df.agg(F.count(F.lit(1)).alias("_n"),
-                     *[F.count_if(F.col(c).isNull()).alias(f"_c{i}") for i, c in enumerate(chunk)]).first()
-        n = row["_n"]
-        drop += [c for i, c in enumerate(chunk) if n and row[f"_c{i}"] / n > threshold]
+    """Drop columns whose null share is strictly above ``threshold``; one pass over the input for all columns."""
+    row = df.agg(F.count(F.lit(1)), *[F.count(F.col(_q(c))) for c in df.columns]).first()
+    n = row[0]
+    drop = [c for c, known in zip(df.columns, row[1:]) if n and (n - known) / n > threshold]
     return df.drop(*drop) if drop else df
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN in float columns means missing, as in the original's frames: null from here on."""
+    return df.select(*[
+        F.when(~F.isnan(F.col(_q(f.name))), F.col(_q(f.name))).alias(f.name)
+        if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else F.col(_q(f.name)) for f in df.schema.fields])
+
+
 # --------------------------------------------------------------------------
 # P4 sentinel, P5 fill, P14 coerce, P15 casts
 # --------------------------------------------------------------------------

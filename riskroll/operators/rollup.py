@@ -12,18 +12,18 @@ always                ``record_count``
 ====================  =====================================================
 
 The ladder is checked in that order; the key is skipped and any other column
-is dropped.  The expressions are resolved against the schema on the driver
-(no data is read) and emitted as one ``groupBy(key).agg(...)``, so Catalyst
-plans a partial (map-side) and a final aggregate around a single shuffle on
-the key.  Positional first/last become ``min_by``/``max_by`` over the order
-columns, which are plain aggregates too, so a case with a huge history is
-combined map-side instead of landing in one task.
+is dropped.  The expressions are resolved against the schema on the driver (no
+data is read).  Numbers and dates are one partial (map-side) and one final hash
+aggregate around a shuffle on the key; category columns are reduced by distinct
+value first (see ``rollup``).  Nothing is sorted or gathered per case, so a case
+with a huge history is combined map-side instead of landing in one task.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,9 +80,12 @@ def rollup_exprs(schema: T.StructType, key: str = "case_id",
     """The aggregate list for one child table, in column order."""
     names = [f.name for f in schema.fields]
     order = list(order_cols) if order_cols is not None else default_order_columns(names)
-    # every other column breaks ties, so first / last never depend on the partitioning
-    order += [n for n in names if n != key and n not in order]
-    order_key = F.struct(*[F.col(c) for c in order])
+    if not order:
+        # no ordinal column: every other column orders the rows, so first / last never depend on the partitioning
+        order = [n for n in names if n != key]
+    def order_key(c: str) -> Column:  # ties in the order columns go by the value itself
+        return F.struct(*[F.col(x) for x in order], F.col(c))
+
     out: list[Column] = []
     for f in schema.fields:
         name, dtype = f.name, f.dataType
@@ -101,8 +104,8 @@ def rollup_exprs(schema: T.StructType, key: str = "case_id",
             d = c if isinstance(dtype, T.DateType) else F.to_date(c)
             out.append(date_mean(d).alias(f"{name}_mean"))
         elif kind == "category":
-            out += [F.min_by(c, order_key).alias(f"{name}_first"),
-                    F.max_by(c, order_key).alias(f"{name}_last"),
+            out += [F.min_by(c, order_key(name)).alias(f"{name}_first"),
+                    F.max_by(c, order_key(name)).alias(f"{name}_last"),
                     nunique_with_null(c, approx_nunique).alias(f"{name}_nunique")]
         elif kind == "count":
             if is_numeric_type(dtype):
@@ -123,11 +126,59 @@ def _sum_type(dtype: T.DataType) -> str:
     return "bigint"
 
 
-def rollup(df: DataFrame, key: str = "case_id", order_cols: Sequence[str] | None = None,
+def rollup(df: DataFrame, key: str | Sequence[str] = "case_id", order_cols: Sequence[str] | None = None,
            approx_nunique: bool = False) -> DataFrame:
-    """A1 / A4: roll-up of a child table to one row per ``key`` (exact unless ``approx_nunique``,
-    which swaps the distinct counts for HyperLogLog++ sketches on very large histories)."""
-    return df.groupBy(key).agg(*rollup_exprs(df.schema, key, order_cols, approx_nunique))
+    """A1 / A4: roll-up of a child table to one row per ``key``.
+
+    Numbers and dates are one hash aggregate over the whole row.  Category and ordinal columns take another way, so that
+    exact distinct counts never multiply wide rows: they are unpivoted to (key, column, value), each distinct value is
+    reduced map-side to its first and last place, and these few rows give first, last and the number of values.  Both
+    parts end up partitioned by the key and meet there.  Ties in the ordinal columns go to the smaller (first) or
+    larger (last) value; without ordinal columns every other column orders the rows.
+
+    ``approx_nunique`` swaps the distinct counts for HyperLogLog++ sketches on very large histories; one aggregate then
+    does everything.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    schema = T.StructType([f for f in df.schema.fields if f.name not in keys[1:]])
+    exprs = rollup_exprs(schema, keys[0], order_cols, approx_nunique)
+    names = df.groupBy(*keys).agg(*exprs).columns
+    counted = [f for f in schema.fields if f.name != keys[0] and classify(f.name) in ("category", "ordinal")]
+    order = list(order_cols) if order_cols is not None else default_order_columns(schema.names)
+    if approx_nunique or not counted or not order:
+        return df.groupBy(*keys).agg(*exprs)
+    made = {f"{f.name}_{x}" for f in counted for x in ("first", "last", "nunique")}
+    plain = [e for e, n in zip(exprs, names[len(keys):]) if n not in made]
+    numbers = df.groupBy(*keys).agg(*plain)
+    return numbers.join(_by_value(df, keys, counted, order), _same_keys(keys)).select(
+        *[F.col(f"`{k}`") for k in keys], *[F.col(f"`{n}`") for n in names[len(keys):]])
+
+
+def _same_keys(keys: list[str]) -> Column:
+    """Equality of the keys on both sides, null keys included."""
+    return reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"`_{k}`")) for k in keys])
+
+
+def _by_value(df: DataFrame, keys: list[str], columns: Sequence[T.StructField], order: Sequence[str]) -> DataFrame:
+    """First, last and number of distinct values (null is one) per key of the given columns; keys get a ``_`` prefix."""
+    def text(f: T.StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        return (c + 0.0 if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else c).cast("string")
+
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), text(f).alias("value")) for i, f in enumerate(columns)]))
+    place = F.col(f"`{order[0]}`") if len(order) == 1 else F.struct(*[F.col(f"`{c}`") for c in order])
+    by = [F.col(f"`{k}`").alias(f"_{k}") for k in keys]
+    values = (df.select(*by, place.alias("place"), pairs.alias("p"))
+              .groupBy(*[f"_{k}" for k in keys], F.col("p.i").alias("i"), F.col("p.value").alias("value"))
+              .agg(F.min(F.struct("place")).alias("lo"), F.max(F.struct("place")).alias("hi")))
+    aggs = []
+    for i, f in enumerate(columns):
+        own = F.col("i") == i
+        if classify(f.name) == "category":
+            aggs += [F.min_by(F.when(own, F.col("value")), F.when(own, F.struct("lo", "value"))).cast(f.dataType).alias(f"{f.name}_first"),
+                     F.max_by(F.when(own, F.col("value")), F.when(own, F.struct("hi", "value"))).cast(f.dataType).alias(f"{f.name}_last")]
+        aggs.append(F.count_if(own).cast("bigint").alias(f"{f.name}_nunique"))
+    return values.groupBy(*[f"_{k}" for k in keys]).agg(*aggs)
 
 
 def rollup_partials(df: DataFrame, shard_col: str, key: str = "case_id", batch_size: int = 5,
@@ -141,8 +192,7 @@ def rollup_partials(df: DataFrame, shard_col: str, key: str = "case_id", batch_s
     is the batch number (``shard // batch_size``).
     """
     cols = [c for c in df.columns if c != shard_col]
-    per_file = (df.groupBy(key, shard_col)
-                .agg(*rollup_exprs(df.select(*cols).schema, key, order_cols)))
+    per_file = rollup(df.select(*cols, shard_col), [key, shard_col], order_cols)
     per_file = per_file.withColumn("chunk", F.floor(F.col(shard_col) / batch_size).cast("bigint"))
     merged = []
     for f in per_file.schema.fields:

@@ -394,7 +394,7 @@ def q_econ_indices(spark, sf_dir):
 @query("minmax_norm")
 def q_minmax_norm(spark, sf_dir):
     """A10: min-max scaling of the raw loss / benefit indices (ELI, BI)."""
-    e = fe.econ_indices(fx.fx_econ(spark, sf_dir)).select("case_id", "ELI_raw", "BI_raw")
+    e = materialized(fe.econ_indices(fx.fx_econ(spark, sf_dir)).select("case_id", "ELI_raw", "BI_raw"))
     scaled = classes.fit_minmax(e, ["ELI_raw", "BI_raw"]).apply(e)
     return scaled.withColumnRenamed("ELI_raw", "ELI").withColumnRenamed("BI_raw", "BI")
 
@@ -402,7 +402,7 @@ def q_minmax_norm(spark, sf_dir):
 @query("econ_summary")
 def q_econ_summary(spark, sf_dir):
     """Mean ELI, mean BI and count per class."""
-    return classes.econ_summary(fe.econ_indices(fx.fx_econ(spark, sf_dir)))
+    return classes.econ_summary(materialized(fe.econ_indices(fx.fx_econ(spark, sf_dir))))
 
 
 STANDARDIZE_COLUMNS = ["maininc_215A", "currdebt_22A", "totalprice_3A_mean"]

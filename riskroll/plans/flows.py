@@ -40,8 +40,9 @@ def _checkpointed(df: DataFrame) -> DataFrame:
 
 
 def clean_stage(df: DataFrame, exclude: Sequence[str] = clean.NEVER_FEATURES) -> DataFrame:
-    """Sparse columns out, sentinel -> null, numeric nulls -> 0, winsorise (ids excluded)."""
-    cleaned = _checkpointed(clean.fill_zero(clean.sentinel_null(clean.drop_sparse(df))))
+    """NaN -> null, sparse columns out, sentinel -> null, numeric nulls -> 0, winsorise (ids excluded)."""
+    whole = _checkpointed(clean.nan_to_null(df))
+    cleaned = _checkpointed(clean.fill_zero(clean.sentinel_null(clean.drop_sparse(whole))))
     return clean.fit_winsor(cleaned, exclude=exclude).apply(cleaned)
 
 

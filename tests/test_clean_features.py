@@ -184,3 +184,8 @@ def test_one_hot_keeps_null_and_text_none_apart(spark):
     rows = {r["case_id"]: r.asDict() for r in encode.fit_one_hot(df, ["x"]).apply(df).collect()}
     assert rows[1] == {"case_id": 1, "x_null": 1, "x_None": 0, "x_a": 0}
     assert rows[2] == {"case_id": 2, "x_null": 0, "x_None": 1, "x_a": 0}
+
+
+def test_nan_means_missing(spark):
+    df = spark.createDataFrame([(1, float("nan"), 1), (2, 2.0, None)], "case_id long, x double, y int")
+    assert sorted(tuple(r) for r in clean.nan_to_null(df).collect()) == [(1, None, 1), (2, 2.0, None)]
