@@ -23,20 +23,34 @@ from riskroll.operators.ordered import bounded_collect, dense_codes
 NULL_CLASS = "None"
 
 
+# Fixed value: largest dictionary (in bytes of its values and codes) that is broadcast.
+MAX_BROADCAST_BYTES = 32 << 20
+_NULL_SPREAD = 1024
+
+
 @dataclass
 class LabelCodes:
     dictionaries: dict[str, DataFrame] = field(default_factory=dict)
     null_as: str | None = NULL_CLASS
+    sizes: dict[str, int] = field(default_factory=dict)
 
     def apply(self, df: DataFrame) -> DataFrame:
+        """Codes in place of the values.  A dictionary of counted size up to ``MAX_BROADCAST_BYTES`` is broadcast, so no
+        row moves; a larger one is joined by shuffle (AQE splits hot values), with nulls that have no code of their
+        own spread over made-up keys that match nothing."""
         out = df
         for c, d in self.dictionaries.items():
-            key = F.coalesce(F.col(c).cast("string"), F.lit(self.null_as)) if self.null_as is not None \
-                else F.col(c).cast("string")
-            staged = out.withColumn("_k", key)
-            joined = staged.join(d.withColumnRenamed("value", "_k"), "_k", "left").drop("_k")
+            small = self.sizes.get(c, MAX_BROADCAST_BYTES + 1) <= MAX_BROADCAST_BYTES
+            text = F.col(f"`{c}`").cast("string")
+            if self.null_as is not None:
+                text = F.coalesce(text, F.lit(self.null_as))
+            elif not small:
+                spread = F.pmod(F.xxhash64(*[F.col(f"`{x}`") for x in df.columns]), F.lit(_NULL_SPREAD))
+                text = F.coalesce(text, F.concat(F.lit("\0"), spread.cast("string")))
+            codes = d.withColumnRenamed("value", "_k")
+            joined = out.withColumn("_k", text).join(F.broadcast(codes) if small else codes, "_k", "left").drop("_k")
             code = F.col("_code") if self.null_as is not None else F.coalesce(F.col("_code"), F.lit(-1))
-            out = joined.select(*[code.cast("int").alias(x) if x == c else F.col(x) for x in df.columns])
+            out = joined.select(*[code.cast("int").alias(x) if x == c else F.col(f"`{x}`") for x in df.columns])
         return out
 
 
@@ -45,12 +59,13 @@ def fit_label_encoder(train: DataFrame, columns: Sequence[str], null_as: str | N
 
     Codes are 0 … k-1 in sorted order of the string form.
     """
-    dicts = {}
+    dicts, sizes = {}, {}
     for c in columns:
         v = F.col(c).cast("string")
         vals = train.select((F.coalesce(v, F.lit(null_as)) if null_as is not None else v).alias("value"))
         dicts[c] = dense_codes(vals, "value")
-    return LabelCodes(dicts, null_as)
+        sizes[c] = int(dicts[c].agg(F.coalesce(F.sum(F.octet_length("value") + 16), F.lit(0))).first()[0])
+    return LabelCodes(dicts, null_as, sizes)
 
 
 @dataclass

@@ -9,66 +9,88 @@ loss, and every sample has a SQL twin.  Exact counts come from global ranks
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskroll.functions.exprs import hash_uniform
-from riskroll.operators.ordered import bounded_collect, first_rows, global_rank
+from riskroll.operators.ordered import bounded_collect, global_rank
 
 # Fixed values
 SEED = 42
 U = "_u"
+MAX_CLASSES = 1000  # most classes a label may have for the per-class operators
 
 
 def _with_u(df: DataFrame, key: str, seed) -> DataFrame:
     return df.withColumn(U, hash_uniform(key, seed))
 
 
-# Fixed value: most classes a label may have for the per-class operators.
-MAX_CLASSES = 1000
-
-
 def class_counts(df: DataFrame, label: str = "target") -> dict:
     """Rows per class (one small aggregate, one row per class, at most ``MAX_CLASSES``); null is no class."""
     rows = bounded_collect(df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n")), MAX_CLASSES, f"classes of {label}")
     return {r[label]: r["n"] for r in rows}
 
 
+def _cuts(df: DataFrame, limits: dict, label: str | None, key: str, seed) -> dict:
+    """Per class, (u, key) of its ``limits[c]``-th row in (u, key) order: only these slim columns are ranked, and one
+    row per class reaches the driver."""
+    groups = [label] if label is not None else []
+    slim = _with_u(df.select(key, *groups), key, seed)
+    ranked = global_rank(slim, U, [key], group_cols=groups, name="_pos")
+    wanted = reduce(lambda a, b: a | b, [
+        ((F.col(label) == F.lit(c)) if groups else F.lit(True)) & (F.col("_pos") == F.lit(int(n)))
+        for c, n in limits.items() if n > 0], F.lit(False))
+    rows = bounded_collect(ranked.where(wanted), MAX_CLASSES, "classes")
+    return {(r[label] if groups else None): (r[U], r[key]) for r in rows}
+
+
+def _up_to(cut: tuple | None, key: str) -> Column:
+    """Rows not after ``cut`` in (u, key) order; none without one."""
+    if cut is None:
+        return F.lit(False)
+    return (F.col(U) < F.lit(cut[0])) | ((F.col(U) == F.lit(cut[0])) & (F.col(key) <= F.lit(cut[1])))
+
+
+def _chosen(cuts: dict, label: str, key: str) -> Column:
+    return reduce(lambda a, b: a | b, [(F.col(label) == F.lit(c)) & _up_to(cut, key) for c, cut in cuts.items()], F.lit(False))
+
+
 def sample_n(df: DataFrame, n: int, key: str = "case_id", seed=SEED) -> DataFrame:
     """Exactly ``n`` rows without replacement: the ``n`` smallest ``(u, key)``; raises if there are fewer."""
     have = df.count()
     if n > have:
         raise ValueError(f"a sample of {n} rows from {have}")
-    return first_rows(_with_u(df, key, seed), n, U, [key]).drop(U)
+    cut = _cuts(df, {None: n}, None, key, seed).get(None)
+    return _with_u(df, key, seed).where(_up_to(cut, key)).drop(U)
 
 
 def sample_per_class(df: DataFrame, counts: dict, label: str = "target", key: str = "case_id",
                      seed=SEED) -> DataFrame:
     """Exactly ``counts[c]`` rows of every class ``c`` (classes absent from ``counts`` keep none); raises if a class
-    has fewer."""
+    has fewer.  Rows are kept by comparison with the class's last (u, key): no window or shuffle of whole rows."""
     have = class_counts(df, label)
     for c, n in counts.items():
         if n > have.get(c, 0):
             raise ValueError(f"a sample of {n} rows from the {have.get(c, 0)} of class {c!r}")
-    staged = _with_u(df, key, seed)
-    ranked = global_rank(staged, U, [key], group_cols=[label], name="_pos")
-    limit = None
-    for c, n in counts.items():
-        cond = F.col(label) == F.lit(c)
-        limit = F.when(cond, F.lit(int(n))) if limit is None else limit.when(cond, F.lit(int(n)))
-    limit = limit.otherwise(F.lit(0)) if limit is not None else F.lit(0)
-    return ranked.where(F.col("_pos") <= limit).drop("_pos", U)
+    cuts = _cuts(df, counts, label, key, seed)
+    return _with_u(df, key, seed).where(_chosen(cuts, label, key)).drop(U)
 
 
 def holdout_split(df: DataFrame, n_test: int, n_pos: int, label: str = "target", key: str = "case_id",
                   seed=SEED) -> DataFrame:
     """R2 + J5 + U1: ``n_pos`` positives and ``n_test - n_pos`` negatives form the test set,
     every other row is train.  Returns the input with ``split`` in {'test', 'train'}."""
-    test = sample_per_class(df.select(key, label), {1: n_pos, 0: n_test - n_pos}, label, key, seed)
-    marked = test.select(key, F.lit("test").alias("split"))
-    return df.join(marked, key, "left").withColumn("split", F.coalesce(F.col("split"), F.lit("train")))
+    counts = {1: n_pos, 0: n_test - n_pos}
+    have = class_counts(df, label)
+    for c, n in counts.items():
+        if n > have.get(c, 0):
+            raise ValueError(f"a test set with {n} rows of class {c!r}, which has {have.get(c, 0)}")
+    cuts = _cuts(df, counts, label, key, seed)
+    is_test = F.coalesce(_chosen(cuts, label, key), F.lit(False))
+    return _with_u(df, key, seed).withColumn("split", F.when(is_test, "test").otherwise("train")).drop(U)
 
 
 def stratified_split(df: DataFrame, test_size: float = 0.2, label: str = "target", key: str = "case_id",
@@ -80,23 +102,18 @@ def stratified_split(df: DataFrame, test_size: float = 0.2, label: str = "target
     the original's "re-split with the next seed when validation has no
     positive" never triggers.
     """
-    counts = class_counts(df, label)
-    staged = _with_u(df, key, seed)
-    ranked = global_rank(staged, U, [key], group_cols=[label], name="_pos")
-    limit = None
-    for c, n in counts.items():
-        cond = F.col(label) == F.lit(c)
-        k = F.lit(int(math.ceil(test_size * n)))
-        limit = F.when(cond, k) if limit is None else limit.when(cond, k)
-    return ranked.withColumn("is_valid", (F.col("_pos") <= limit).cast("int")).drop("_pos", U)
+    limits = {c: math.ceil(test_size * n) for c, n in class_counts(df, label).items()}
+    cuts = _cuts(df, limits, label, key, seed)
+    return _with_u(df, key, seed).withColumn("is_valid", _chosen(cuts, label, key).cast("int")).drop(U)
 
 
 def stratified_kfold(df: DataFrame, k: int = 5, label: str = "target", key: str = "case_id",
                      seed=SEED) -> DataFrame:
     """``fold = (rank of u within the class - 1) mod k``: class shares equal in every fold."""
-    staged = _with_u(df, key, seed)
-    ranked = global_rank(staged, U, [key], group_cols=[label], name="_pos")
-    return ranked.withColumn("fold", ((F.col("_pos") - 1) % k).cast("int")).drop("_pos", U)
+    slim = _with_u(df.select(key, label), key, seed)
+    ranked = global_rank(slim, U, [key], group_cols=[label], name="_pos")
+    folds = ranked.select(key, ((F.col("_pos") - 1) % k).cast("int").alias("fold"))
+    return df.join(folds, key)
 
 
 def undersample(df: DataFrame, ratio: float, label: str = "target", key: str = "case_id",

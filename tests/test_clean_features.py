@@ -189,3 +189,13 @@ def test_one_hot_keeps_null_and_text_none_apart(spark):
 def test_nan_means_missing(spark):
     df = spark.createDataFrame([(1, float("nan"), 1), (2, 2.0, None)], "case_id long, x double, y int")
     assert sorted(tuple(r) for r in clean.nan_to_null(df).collect()) == [(1, None, 1), (2, 2.0, None)]
+
+
+def test_codes_by_broadcast_and_by_shuffle_agree(spark):
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else f"v{i % 7}") for i in range(200)], "case_id int, x string")
+    for null_as in (None, "None"):
+        codes = encode.fit_label_encoder(df, ["x"], null_as)
+        small = sorted(map(tuple, codes.apply(df).collect()))
+        codes.sizes["x"] = encode.MAX_BROADCAST_BYTES + 1
+        assert sorted(map(tuple, codes.apply(df).collect())) == small
+        assert all((x == -1) == (i % 3 == 0) for i, x in small) or null_as
