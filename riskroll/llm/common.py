@@ -51,6 +51,11 @@ def whole_rows(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *columns)
 
 
+def text_of(batch: pa.RecordBatch) -> pa.Array:
+    """The text column inside the ``row`` structs of a batch (sent once, not beside them)."""
+    return batch.column("row").field("text")
+
+
 def pieces(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that one piece holds about ``max_bytes`` (at least one row, however long it is)."""
     for batch in batches:
@@ -82,6 +87,37 @@ def segment_sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - lengths]
 
 
+#: An odd number, so it has an inverse modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+
+
+class _Powers:
+    """Powers of the base and of its inverse modulo 2**64, kept per worker and grown on demand."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            up, down = (np.full(n, x, dtype=np.uint64) for x in (BASE, pow(BASE, -1, 1 << 64)))
+            up[0] = down[0] = 1
+            self.up, self.down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+        return self.up[:n], self.down[:n]
+
+
+_POWERS = _Powers()
+
+
+def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of segments of a byte array: polynomials in the base, from one running sum over all bytes."""
+    up, down = _POWERS.of(len(data) + 1)
+    running = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=running[1:])
+    h = (running[ends] - running[starts]) * down[starts]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(29))
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors (as ``--py-files`` would), once per Spark application."""
     context = spark.sparkContext
