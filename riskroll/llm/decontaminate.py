@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, segment_sums, table, utf8, whole_rows, written
+from .common import pieces, segment_sums, table, text_of, utf8, whole_rows, written
 
 WINDOW = 13
 _WORD_BYTES = bytes(range(0x30, 0x3A)) + bytes(range(0x41, 0x5B)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
@@ -100,7 +100,7 @@ def _scan_block(df: DataFrame, items: list[tuple[str, bytes]], window: int) -> D
         for batch in pieces(batches):
             numbered, spans, owners = [], [], []
             before_spans, before_items = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
-            for text in utf8(batch.column("text")):
+            for text in utf8(text_of(batch)):
                 found = words(text)
                 numbered.append(np.fromiter(map(number, found, repeat(0)), dtype=np.int32, count=len(found)))
             lengths = np.array([len(x) for x in numbered], dtype=np.int64)
@@ -120,8 +120,8 @@ def _scan_block(df: DataFrame, items: list[tuple[str, bytes]], window: int) -> D
                 spans.append(_runs(own) if hits[d] or before_spans[d] else [])
                 owners.append(sorted({*before_items[d], *by_doc.get(d, ())}))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("row", "text")), pa.array(lengths, pa.int64()), pa.array(spans, _SPANS),
-                 pa.array(owners, pa.list_(pa.string()))], names=["row", "text", "n_words", "spans", "items"])
+                [batch.column("row"), pa.array(lengths, pa.int64()), pa.array(spans, _SPANS),
+                 pa.array(owners, pa.list_(pa.string()))], names=["row", "n_words", "spans", "items"])
 
     return df.mapInArrow(scan, df.schema)
 
@@ -130,7 +130,7 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                    block_bytes: int = 64 << 20) -> DataFrame:
     """Per row of ``docs`` (needs ``text``): ``row`` (the whole input row), n_words, spans (hit word ranges), items."""
     spans = "array<struct<start:int,end:int>>"
-    df = whole_rows(docs, "text").withColumns({
+    df = whole_rows(docs).withColumns({
         "n_words": F.lit(None).cast("long"), "spans": F.array().cast(spans), "items": F.array().cast("array<string>")})
     blocks = 1 + int(benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"),
@@ -140,7 +140,7 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         df = _scan_block(df, [(r.item, r.text.encode()) for r in part.collect()], window)
         if b + 1 < blocks:
             df = written(df, "decontaminate")
-    return df.drop("text")
+    return df
 
 
 def _n_hit():

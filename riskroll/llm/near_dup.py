@@ -27,11 +27,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, pieces, table, utf8, whole_rows, written
+from .common import free_shuffles, pieces, segment_hashes, table, utf8, whole_rows, written
 from .linking import Forest, components, links_within, small_side
 
 SHINGLE = 5
@@ -40,18 +39,8 @@ ROWS = 6
 BANDS = 2 * PERMUTATIONS // ROWS
 PERCENT = 85
 BLOCK_WEIGHT = 200_000
-_CACHE_WORDS = 1_000_000
 
 
-class _WordHashes(dict):
-    """64-bit hashes of words, kept per worker."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_HASHES = _WordHashes()
 _rng = np.random.default_rng(20_261)
 _PLACES = _rng.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTORS = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -63,14 +52,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(27))
 
 
-def shingles(text: bytes) -> np.ndarray:
-    """The ascending distinct shingle hashes of a text."""
-    words = text.lower().split()  # bytes: lower() changes A-Z only, split() cuts at x20 and x09-x0D
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    if len(_HASHES) > _CACHE_WORDS:
-        _HASHES.clear()
-    h = np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
+#: Bytes of words; the others, x20 and x09-x0D, part them.
+_WORD_BYTE = np.array([b != 0x20 and not 0x09 <= b <= 0x0D for b in range(256)])
+
+
+def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
+    """The ascending distinct shingle hashes of each text."""
+    blob = b"\n".join(texts).lower()  # bytes: changes A-Z only
+    data = np.frombuffer(blob, dtype=np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], _WORD_BYTE[data], [False]]).view(np.int8)))
+    starts = edges[::2]
+    h = segment_hashes(data, starts, edges[1::2])
+    cuts = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    return [_shingles(h[a:b]) for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
+
+
+def _shingles(h: np.ndarray) -> np.ndarray:
+    if not len(h):
+        return h
     size = min(SHINGLE, len(h))
     n = len(h) - size + 1
     total = np.full(n, size, dtype=np.uint64)
@@ -107,7 +106,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_shingles, node (digest of the set; null if empty) and band keys of every document."""
     def run(batches):
         for batch in pieces(batches, 1 << 20):
-            sets = [shingles(t) for t in utf8(batch.column("text"))]
+            sets = shingle_sets(utf8(batch.column("text")))
             full = [i for i, s in enumerate(sets) if len(s)]
             bands: list = [[]] * len(sets)
             if full:
@@ -199,8 +198,8 @@ def _with_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
         small_side(wanted, n), "hash").filter(F.col("id2").eqNullSafe(F.col("id")))
 
     def run(batches):
-        for batch in pieces(batches):
-            sets = [shingles(t) for t in utf8(batch.column("text"))]
+        for batch in pieces(batches, 2 << 20):
+            sets = shingle_sets(utf8(batch.column("text")))
             own = [i for i, (s, node) in enumerate(zip(sets, batch.column("node").to_pylist())) if digest(s) == node]
             rows = pa.RecordBatch.from_arrays([batch.column(c) for c in ("node", "cluster", "degree")],
                                               names=["node", "cluster", "degree"]).take(pa.array(own, pa.int64()))

@@ -16,7 +16,7 @@ import numpy as np
 
 #: White space other than space and line feed, and the cut mark itself.
 _OTHER_SPACE = re.compile("[\x00\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 300_000
 
 
 def _plain(text: str) -> bool:

@@ -28,7 +28,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_collect, pieces, table, whole_rows, written
+from .common import bounded_collect, pieces, table, text_of, whole_rows, written
 from .quality import held_out, labelled_sample, sampled_texts
 
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
@@ -222,12 +222,12 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> Mode
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``row`` (the whole input row) and its score."""
-    df = whole_rows(docs, "text")
+    df = whole_rows(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in pieces(batches):
-            scores = [shared.value.score(shared.value.lexicon.read(t or "")[1]) for t in batch.column("text").to_pylist()]
+            scores = [shared.value.score(shared.value.lexicon.read(t or "")[1]) for t in text_of(batch).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(scores, pa.float64())], names=["row", "score"])
 
     return df.mapInArrow(run, df.select("row", F.lit(0.0).alias("score")).schema)
