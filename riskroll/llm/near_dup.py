@@ -130,7 +130,8 @@ def candidate_clusters(classes: DataFrame) -> DataFrame:
     free_shuffles(classes.sparkSession)
     cluster = components(met.select(F.col("key").alias("a"), F.col("first").alias("b")))
     degree = met.groupBy("key").agg(F.sum("n").alias("degree"))
-    return cluster.select(F.col("node").alias("key"), F.col("component").alias("cluster")).join(degree, "key")
+    return written(cluster.select(F.col("node").alias("key"), F.col("component").alias("cluster")).join(degree, "key"),
+                   "clusters")
 
 
 def set_links(payload: dict[str, list], left: list[int], right: list[int], forest: Forest):
@@ -180,11 +181,11 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     classes = written(classes.withColumn("key", F.xxhash64("node")), "classes")
     clusters = candidate_clusters(classes)
-    members = written(classes.drop("bands").join(clusters, "key"), "members")
+    members = written(classes.drop("bands").join(small_side(clusters, clusters.count()), "key"), "members")
     links = links_within(_with_sets(docs, members), set_links, BLOCK_WEIGHT)
     linked = components(links)
     free_shuffles(docs.sparkSession)
-    group = classes.select("node", "doc_id").join(linked, "node", "left").withColumn(
+    group = classes.select("node", "doc_id").join(small_side(linked, linked.count()), "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
     first = group.groupBy("component").agg(F.min("doc_id").alias("first"))
     return signed, written(group.join(first, "component").select("node", "component", "first"), "groups")
