@@ -286,9 +286,8 @@ def q_cast_columns(spark, sf_dir):
 # joins (J1, J3, J4, J5) and splits
 # --------------------------------------------------------------------------
 
-@query("join_static")
-def q_join_static(spark, sf_dir):
-    """J1 + P9 + A5: base ⟕ (static ⟕ first bureau row per case), common columns removed."""
+def _static_inputs(spark, sf_dir):
+    """Base keys, a static table and bureau rows (several per case)."""
     b = fx.fx_base(spark, sf_dir)
     base = b.select("case_id", "WEEK_NUM", "date_decision", "MONTH", "target")
     static = b.select("case_id", "WEEK_NUM", "maininc_215A", "currdebt_22A", "segment_1M", "sparse_2A")
@@ -296,7 +295,24 @@ def q_join_static(spark, sf_dir):
         F.col("o_custkey").alias("case_id"), F.col("o_orderdate").cast("date").alias("opened_14D"),
         F.col("o_orderkey").alias("cb_orderkey"), F.col("o_orderstatus").alias("status_12M"),
         F.col("o_totalprice").alias("price_13A"))
-    return joins.join_static(base, static, cb, cb_order=["opened_14D", "cb_orderkey"])
+    return base, static, cb
+
+
+@query("join_static")
+def q_join_static(spark, sf_dir):
+    """J1 + P9 + A5: base ⟕ (static ⟕ first bureau row per case), common columns removed."""
+    return joins.join_static(*_static_inputs(spark, sf_dir), cb_order=["opened_14D", "cb_orderkey"])
+
+
+@query("merge_stage")
+def q_merge_stage(spark, sf_dir):
+    """Depth 0 (static and bureau tables) and the roll-ups of depths 1 and 2 merged onto the base."""
+    from riskroll.plans import flows
+
+    base, static, cb = _static_inputs(spark, sf_dir)
+    d1 = fx.fx_depth1(spark, sf_dir, keep_orderkey=True)
+    families = {"d1": d1.drop("o_orderkey"), "d2": fx.fx_depth2(spark, sf_dir, depth1=d1)}
+    return flows.merge_stage(base, families, static, cb, cb_order=["opened_14D", "cb_orderkey"])
 
 
 @query("sample_n")

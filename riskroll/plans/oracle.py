@@ -497,6 +497,9 @@ FROM fx_base b LEFT JOIN cbf c ON b.case_id = c.case_id""", "fx_base", extra=[
            row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE), o_orderkey,
                               o_orderstatus, o_totalprice) AS rn
     FROM orders) WHERE rn = 1""")])
+_CASE_COLS = ", ".join(f'"{c}"' for c, _ in BB_COLS[:9])
+ORACLE["merge_stage"] = (f"SELECT * FROM ({ORACLE['join_static']}) j JOIN (SELECT case_id, * EXCLUDE ({_CASE_COLS}) "
+                         f"FROM ({ORACLE['build_base']})) r USING (case_id)")
 _sample = [("sn", f"  SELECT case_id FROM (SELECT case_id, {rank_u(None, 'fx_base')} AS rn FROM fx_base) "
                   "WHERE rn <= (SELECT count(*) // 3 FROM fx_base)")]
 ORACLE["sample_n"] = with_fixtures("SELECT * FROM fx_base WHERE case_id IN (SELECT case_id FROM sn)", "fx_base",
