@@ -122,13 +122,7 @@ def _dictionary(texts) -> bytes:
     """A trained dictionary; the plain text where there is too little of it to train one."""
     import zstandard as zstd
 
-    chunks, held = [], 0
-    for text in texts:
-        data = text.encode()
-        if held + len(data) > DICTIONARY_BYTES and chunks:
-            continue
-        chunks += [data[i:i + CHUNK] for i in range(0, len(data), CHUNK)]
-        held += len(data)
+    chunks = [data[i:i + CHUNK] for data in (t.encode() for t in texts) for i in range(0, len(data), CHUNK)]
     try:
         return zstd.train_dictionary(DICTIONARY_SIZE, chunks, level=LEVEL).as_bytes()
     except zstd.ZstdError:
@@ -144,15 +138,19 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> Mode
     def make(batches):
         import pandas as pd
 
-        frames = list(batches)
-        rows = pd.concat(frames).sort_values(["label", "key"]) if frames else []
-        for label in (0, 1) if len(rows) else ():
-            own = rows[rows.label == label]
-            if len(own):
-                yield pd.DataFrame({"label": [label], "data": [_dictionary(own.text)]})
+        held, size = {0: [], 1: []}, {0: 0, 1: 0}
+        for frame in batches:  # by label and hash; a text beyond the bound on bytes is passed over
+            for label, text in zip(frame.label, frame.text):
+                n = len(text.encode())
+                if not held[label] or size[label] + n <= DICTIONARY_BYTES:
+                    held[label].append(text)
+                    size[label] += n
+        for label, own in held.items():
+            if own:
+                yield pd.DataFrame({"label": [label], "data": [_dictionary(own)]})
 
     keyed = first.withColumn("key", F.xxhash64("doc_id", "text"))
-    trained = {r.label: bytes(r.data) for r in keyed.repartition(1).mapInPandas(make, "label int, data binary").collect()}
+    trained = {r.label: bytes(r.data) for r in keyed.repartition(1).sortWithinPartitions("label", "key").mapInPandas(make, "label int, data binary").collect()}
     second = sampled_texts(docs, labelled_sample(labels, "quality", train & ~for_dictionary, CALIBRATION_ROWS // 2, 2))
     none = np.zeros(0)
     if len(trained) < 2:
