@@ -204,3 +204,29 @@ def test_simhash_bits_are_majorities():
         for bit in range(64):
             ones = sum(alone[w] >> bit & 1 for w in set(words))
             assert (got >> bit & 1) == (2 * ones > len(set(words)))
+
+
+def test_lines_of_edit_similarity_are_linked(spark):
+    """Lines of 10 to 50 words with as many edits as similarity 0.8 allows, against edit similarity alone."""
+    ship(spark)
+    rng = random.Random(31)
+    lines = [["same"] * 9 + ["x", "y"], ["same"] * 9 + ["u", "v"], "a b c d".split(), "a b c d e".split()]
+    for n in [*range(10, 30), 35, 40, 45, 50] * 3:
+        words = [rng.choice(WORDS) for _ in range(n)]
+        lines.append(words)
+        for typos in (False, True):
+            own = list(words)
+            for at in rng.sample(range(n), n // 5):
+                own[at] = f"typo{rng.randrange(10**9)}" if typos else rng.choice(WORDS)
+            lines.append(own)
+        own = list(words)
+        for _ in range(n // 10):
+            del own[rng.randrange(len(own))]
+            own.insert(rng.randrange(len(own)), rng.choice(WORDS))
+        lines.append(own)
+    expected = groups(range(len(lines)), [(i, j) for i in range(len(lines)) for j in range(i)
+                                          if line_dedup.similar(lines[i], lines[j])])
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id: r["first"].doc_id for r in line_dedup.decisions(df).collect()}
+    assert sum(i != f for i, f in expected.items()) > 200
+    assert got == expected
