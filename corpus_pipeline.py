@@ -2,7 +2,7 @@
 
 1. toxicity: documents scored toxic go (model trained on ``labels``' training rows).
 2. line_dedup: repeated lines go; every document stays.
-3. near_dup: one document, the smallest doc_id, of each group of near-duplicates stays.
+3. near_dup: one document, the smallest doc_id, of each group of near-duplicates (shingle similarity 0.80 or more) stays.
 4. decontaminate: documents contaminated by ``benchmark`` go.
 5. packing: the rest is packed into sequences of at most 1024 tokens (a row per piece).
 
@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from riskroll.llm import decontaminate, line_dedup, near_dup, packing, toxicity
 from riskroll.llm.common import ship, table, written
 
+#: Shingle similarity of near-duplicates in the pipeline, in percent (op8's contract says 85).
+NEAR_DUP_PERCENT = 80
+
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
@@ -29,7 +32,7 @@ def _line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return near_dup.keep_first(docs)
+    return near_dup.keep_first(docs, NEAR_DUP_PERCENT)
 
 
 def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

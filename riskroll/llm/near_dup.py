@@ -2,11 +2,11 @@
 
 Words: A-Z lower-cased, runs of non-space characters.  A document's set: its distinct 5-word shingles (64-bit hashes);
 a shorter text is one shingle; without words the set is empty.  Documents are linked if
-100 * |intersection| >= 85 * |union|.
+100 * |intersection| >= 85 * |union|; the 85 is op8's, callers may name another percentage.
 
 Every permutation gives two signature values, the minimum and the maximum, so ``PERMUTATIONS`` hash evaluations make
 twice as many values.  Bands of ``ROWS`` values (half minima, half maxima) are bucket keys: a linked pair (similarity
-0.85 or more) shares none of the 44 bands with a probability below 1e-9.
+0.85 or more) shares none of the 44 bands with a probability below 1e-9, one of 0.80 with about 2e-6.
 
 1. Documents with equal sets form a class (grouped by a 128-bit digest, combined map-side), so copies cost one row.
 2. Classes meet in buckets; each bucket links its members to its smallest one (never all pairs), and the connected
@@ -24,6 +24,7 @@ gives no rows; other columns are ignored or, in ``keep_first``, untouched.
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -134,16 +135,16 @@ def candidate_clusters(classes: DataFrame) -> DataFrame:
                    "clusters")
 
 
-def set_links(payload: dict[str, list], left: list[int], right: list[int], forest: Forest):
+def set_links(payload: dict[str, list], left: list[int], right: list[int], forest: Forest, percent: int = PERCENT):
     """Linked pairs of sets, by exact intersection sizes."""
     sets = [np.asarray(s, dtype=np.int64) for s in payload["shingles"]]
     sizes = np.array([len(s) for s in sets])
     if len(left) * len(right) <= 64:
         for i in left:
             for j in right:
-                if (i < j or left is not right and i != j and left != right) and 100 * min(sizes[i], sizes[j]) >= PERCENT * max(sizes[i], sizes[j]):
+                if (i < j or left is not right and i != j and left != right) and 100 * min(sizes[i], sizes[j]) >= percent * max(sizes[i], sizes[j]):
                     common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if 100 * common >= PERCENT * (sizes[i] + sizes[j] - common):
+                    if 100 * common >= percent * (sizes[i] + sizes[j] - common):
                         yield i, j
         return
     both = np.unique(np.array(left + right))
@@ -168,12 +169,12 @@ def set_links(payload: dict[str, list], left: list[int], right: list[int], fores
         y[at_right[r][at_right[r] >= 0], c[at_right[r] >= 0]] = 1
         common += x @ y.T
     union = sizes[left][:, None] + sizes[right][None, :] - common
-    for i, j in np.argwhere((100 * common >= PERCENT * union) & (union > 0)).tolist():
+    for i, j in np.argwhere((100 * common >= percent * union) & (union > 0)).tolist():
         if left[i] != right[j]:
             yield left[i], right[j]
 
 
-def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(signatures, groups): groups has node, component (a node) and first (smallest doc_id) of every class."""
     signed = written(signatures(docs), "signatures")
     classes = signed.filter("node is not null").groupBy("node").agg(
@@ -182,7 +183,7 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = written(classes.withColumn("key", F.xxhash64("node")), "classes")
     clusters = candidate_clusters(classes)
     members = written(classes.drop("bands").join(small_side(clusters, clusters.count()), "key"), "members")
-    links = links_within(_with_sets(docs, members), set_links, BLOCK_WEIGHT)
+    links = links_within(_with_sets(docs, members), partial(set_links, percent=percent), BLOCK_WEIGHT)
     linked = components(links)
     free_shuffles(docs.sparkSession)
     group = classes.select("node", "doc_id").join(small_side(linked, linked.count()), "node", "left").withColumn(
@@ -214,17 +215,17 @@ def _with_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     return written(found, "member-sets")
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
-    signed, groups = near_duplicates(docs)
+    signed, groups = near_duplicates(docs, percent)
     return signed.join(groups.select("node", "first"), "node", "left").select(
         "doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document (the smallest doc_id) of each group of near-duplicates."""
-    dropped = written(report(docs).filter(~F.col("kept")).select("doc_id").distinct(), "dropped")
+    dropped = written(report(docs, percent).filter(~F.col("kept")).select("doc_id").distinct(), "dropped")
     rows = whole_rows(docs, F.col("doc_id").cast("long").alias("doc_id"))
     return rows.join(small_side(dropped, dropped.count()), "doc_id", "left_anti").select("row.*")
 

@@ -3,7 +3,7 @@
 import shutil
 
 import corpus_pipeline
-from riskroll.llm import catalog
+from riskroll.llm import catalog, near_dup
 from riskroll.llm.common import ship
 
 SMALL = "/root/testdata/sf0.001"
@@ -41,3 +41,17 @@ def test_empty_documents(spark, tmp_path):
 
 def test_one_query_per_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES) == list(range(1, 11))
+
+
+def test_near_dup_stage_takes_similarity_of_80_percent(spark):
+    ship(spark)
+    words = [f"w{i}" for i in range(104)]  # 100 shingles
+    others = {1: words, 2: words[:40] + ["x"] + words[41:60] + ["y"] + words[61:],
+              3: words[:20] + ["u"] + words[21:70] + ["v"] + words[71:80] + ["t"] + words[81:]}
+    sets = {i: {tuple(w[k:k + 5]) for k in range(len(w) - 4)} for i, w in others.items()}
+    of = {i: len(sets[1] & sets[i]) / len(sets[1] | sets[i]) for i in (2, 3)}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in others.items()], "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["near_dup"]
+    assert 0.80 <= of[2] < 0.85 and of[3] < 0.80
+    assert sorted(r.doc_id for r in stage(spark, df, SMALL).collect()) == [1, 3]
+    assert near_dup.keep_first(df).count() == 3  # op8's 85
