@@ -2,7 +2,9 @@
 
 Nearness is the largest inner product.  Within a shard each vector gets one more coordinate that brings all of them to
 the same length; the nearest by distance is then the one with the largest inner product, so the graph is an ordinary
-one.  Points enter in batches: a batch is searched in the graph so far (from the nearest point of the upper layers),
+one.  That coordinate is taken less the length, so that it is small for short vectors and no rounding hides them beside
+a long one, and the vectors are scaled by their largest component.  Queries walk by the inner product itself, from the
+nearest of the upper layers and from the longest points.  Points enter in batches: a batch is searched in the graph so far (from the nearest point of the upper layers),
 compared within itself, linked to a diverse choice of what was found, and linked back.  Layers are arrays of shape
 points x links (-1: none).
 
@@ -47,9 +49,7 @@ class Graph:
     @classmethod
     def build(cls, vectors: np.ndarray) -> Graph:
         n = len(vectors)
-        lengths = np.einsum("ij,ij->i", vectors, vectors)
-        rest = np.sqrt(np.maximum(lengths.max() - lengths, 0))
-        points = np.concatenate([vectors, rest[:, None]], axis=1).astype(np.float32)
+        points = even(vectors)
         rng = np.random.default_rng(n)
         level = np.floor(-np.log(rng.random(n)) / math.log(LINKS)).astype(int)
         order = rng.permutation(n)
@@ -71,7 +71,10 @@ class Graph:
         return own
 
     def _distances(self, queries: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Squared distances from points; of queries (without the last coordinate) the inner products, negated."""
         near = self.points[np.maximum(ids, 0)]
+        if queries.shape[1] < near.shape[2]:
+            return np.where(ids < 0, np.inf, -np.einsum("qij,qj->qi", near[:, :, :-1], queries))
         return np.where(ids < 0, np.inf, np.einsum("qij,qij->qi", near - queries[:, None, :], near - queries[:, None, :]))
 
     def _walk(self, queries: np.ndarray, entry: np.ndarray, layer: int, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -191,8 +194,20 @@ class Graph:
 
     def search(self, queries: np.ndarray, width: int = SEARCH_WIDTH) -> np.ndarray:
         """Ids of the ``width`` nearest points found (-1: none) per query, nearest first."""
-        flat = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1).astype(np.float32)
-        return self._walk(flat, self._descend(flat, 0), 0, min(width, max(len(self.points), 1)))[0]
+        asked = queries / np.abs(queries).max(axis=1, keepdims=True)
+        width = min(width, max(len(self.points), 1))
+        longest = np.argsort(self.points[:, -1], kind="stable")[:width // 2]
+        first = self._descend(asked, 0)
+        entry = np.concatenate([first, np.where(longest == first, -1, longest)], axis=1)
+        return self._walk(asked, entry, 0, width)[0]
+
+
+def even(vectors: np.ndarray) -> np.ndarray:
+    """The vectors, scaled, with one more coordinate that brings them to the same length, less that length."""
+    scaled = vectors / np.abs(vectors).max()
+    squares = np.einsum("ij,ij->i", scaled, scaled)
+    length = np.sqrt(squares.max())
+    return np.concatenate([scaled, (-squares / (length + np.sqrt(np.maximum(squares.max() - squares, 0))))[:, None]], axis=1)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -238,13 +253,11 @@ def build(vectors: DataFrame, k: int = K, shard_points: int = SHARD_POINTS) -> D
 
 def _load(row: dict) -> tuple[Graph, np.ndarray]:
     vectors = np.frombuffer(row["vectors"], dtype=np.float64).reshape(-1, row["dimensions"])
-    lengths = np.einsum("ij,ij->i", vectors, vectors)
-    rest = np.sqrt(np.maximum(lengths.max() - lengths, 0))
     layers, at = [], 0
     for width in row["widths"]:
         layers.append(np.frombuffer(row["links"], dtype=np.int32, count=len(vectors) * width, offset=at).reshape(-1, width))
         at += 4 * len(vectors) * width
-    graph = Graph(np.concatenate([vectors, rest[:, None]], axis=1).astype(np.float32), layers, [])
+    graph = Graph(even(vectors), layers, [])
     graph.entry = row["entry"]
     return graph, vectors
 

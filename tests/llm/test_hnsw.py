@@ -52,3 +52,23 @@ def test_odd_vectors_and_ties(spark):
     assert [(r.query_id, r.vec_id, r.score) for r in hnsw.search(hnsw.build(few), few.filter("vec_id = 0")).collect()] == [(0, 20, 0.5)]
     none = hnsw.usable(df.limit(0))
     assert hnsw.search(hnsw.build(none), none).collect() == []
+
+
+@pytest.mark.parametrize("spread", ["one of 1e4", "one of 1e25", "six orders", "two lengths", "lognormal"])
+def test_recall_with_varied_norms(spread):
+    rng = np.random.default_rng(4)
+    n = 4000
+    vectors = rng.normal(size=(n, 32))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    if spread.startswith("one of "):
+        vectors[17] *= float(spread[7:])
+    else:
+        vectors *= {"six orders": 10 ** rng.uniform(-3, 3, n), "two lengths": np.where(np.arange(n) % 2, 1, 1000.0),
+                    "lognormal": np.exp(rng.normal(size=n))}[spread][:, None]
+    queries = rng.normal(size=(200, 32))
+    exact = np.argsort(-queries @ vectors.T, axis=1)[:, :20]
+    found = hnsw.Graph.build(vectors).search(queries)
+    scores = np.where(found >= 0, np.einsum("qj,qij->qi", queries, vectors[np.maximum(found, 0)]), -np.inf)
+    best = np.take_along_axis(found, np.argsort(-scores, axis=1)[:, :20], 1)
+    hits = sum(len(set(a) & set(b)) for a, b in zip(best.tolist(), exact.tolist()))
+    assert hits >= 0.95 * exact.size
