@@ -663,18 +663,16 @@ def q_topk_features(spark, sf_dir):
 
 @query("null_importance")
 def q_null_importance(spark, sf_dir):
-    """L1: real vs permuted-label importance (3 seeded permutations); keep ratio > 1.5.
-
-    Runs 5 trees of depth 3 for the library's 500 of depth 4, to keep the check short."""
+    """L1: real vs permuted-label importance (3 seeded permutations); keep ratio > 1.5."""
     df, feats = model_frame(spark, sf_dir)
-    return se.null_importance(df, feats, params=mo.GBTParams(max_iter=5, max_depth=3))
+    return se.null_importance(df, feats)
 
 
 @query("importance_topk")
 def q_importance_topk(spark, sf_dir):
-    """L3: top 10 features by boosted-tree importance (10 trees for the library's 1000, to keep the check short)."""
+    """L3: top 10 features by boosted-tree importance."""
     df, feats = model_frame(spark, sf_dir)
-    return se.importance_topk(df, feats, k=10, params=mo.GBTParams(max_iter=10, max_depth=4, step_size=0.1))
+    return se.importance_topk(df, feats, k=10)
 
 
 @query("lasso_select")
@@ -697,11 +695,9 @@ def q_lasso_score(spark, sf_dir):
 
 @query("svm_score")
 def q_svm_score(spark, sf_dir):
-    """Undersample -> scale -> lasso selection -> class-balanced linear SVM; margin scores (50 iterations for the
-    library's 1000, to keep the check short)."""
+    """Undersample -> scale -> lasso selection -> class-balanced linear SVM; margin scores."""
     df, feats = model_frame(spark, sf_dir)
-    scores, _ = mo.svm_pipeline(df.where(F.col("is_valid") == 0), df.where(F.col("is_valid") == 1), feats,
-                                max_iter=50)
+    scores, _ = mo.svm_pipeline(df.where(F.col("is_valid") == 0), df.where(F.col("is_valid") == 1), feats)
     return scores
 
 
@@ -723,43 +719,40 @@ def _gbt_scores(spark, sf_dir, params: mo.GBTParams) -> DataFrame:
 @query("gbt_score")
 def q_gbt_score(spark, sf_dir):
     """Class-weighted (n0/n1) boosted trees with indexed categoricals and validation-based
-    early stopping; F1-optimal threshold on validation.  20 trees for the library's 1000, to keep the check short."""
-    return _gbt_scores(spark, sf_dir, mo.GBTParams(max_iter=20, max_depth=6, step_size=0.05,
-                                                   weighting="weight_ratio"))
+    early stopping; F1-optimal threshold on validation."""
+    return _gbt_scores(spark, sf_dir, mo.GBTParams(weighting="weight_ratio"))
 
 
 @query("gbt_score_b")
 def q_gbt_score_b(spark, sf_dir):
-    """Second boosted-tree setting ((1-p)/p weights, learning rate 0.03); 20 trees for the original's 4000."""
-    return _gbt_scores(spark, sf_dir, mo.GBTParams(max_iter=20, max_depth=6, step_size=0.03,
+    """Second boosted-tree setting ((1-p)/p weights, learning rate 0.03, up to 4000 trees)."""
+    return _gbt_scores(spark, sf_dir, mo.GBTParams(max_iter=4000, max_depth=6, step_size=0.03,
                                                    weighting="weight_odds"))
 
 
 @query("importance_table")
 def q_importance_table(spark, sf_dir):
-    """Boosted-tree feature importances, descending (10 trees for the library's 1000)."""
+    """Boosted-tree feature importances, descending."""
     df, feats = model_frame(spark, sf_dir)
-    model = mo.fit_gbt(df.where(F.col("is_valid") == 0), feats, mo.GBTParams(max_iter=10, max_depth=4))
+    model = mo.fit_gbt(df.where(F.col("is_valid") == 0), feats, mo.GBTParams())
     return mo.gbt_importances(model, feats, spark)
 
 
 @query("mlp_score")
 def q_mlp_score(spark, sf_dir):
-    """T4: undersample (0.2) -> scale -> MLP [n, 64, 32, 2]; label = p > 0.518 (30 iterations for the library's 200)."""
+    """T4: undersample (0.2) -> scale -> MLP [n, 64, 32, 2]; label = p > 0.518."""
     df, feats = model_frame(spark, sf_dir)
-    return mo.mlp_pipeline(df.where(F.col("is_valid") == 0), df.where(F.col("is_valid") == 1), feats, max_iter=30)
+    return mo.mlp_pipeline(df.where(F.col("is_valid") == 0), df.where(F.col("is_valid") == 1), feats)
 
 
-# smaller bases than the library's defaults (1000 trees; hidden layers and 200 iterations; 5 folds), to keep the checks short
-STACK_BASES = {"gbt": mo.GBTParams(max_iter=5, max_depth=4, step_size=0.1, weighting="weight_ratio"),
-               "mlp": mo.MLPParams(hidden=(16, 8), max_iter=30)}
+STACK_BASES = {"gbt": mo.GBTParams(), "mlp": mo.MLPParams()}
 
 
 @query("stack_oof")
 def q_stack_oof(spark, sf_dir):
-    """T5 + T6: 3-fold out-of-fold probabilities of a boosted-tree base and an MLP base."""
+    """T5 + T6: 5-fold out-of-fold probabilities of a boosted-tree base and an MLP base."""
     df, feats = model_frame(spark, sf_dir)
-    return mo.stack_oof(df.where(F.col("is_valid") == 0), feats, STACK_BASES, k=3)
+    return mo.stack_oof(df.where(F.col("is_valid") == 0), feats, STACK_BASES)
 
 
 @query("stack_score")
@@ -767,15 +760,14 @@ def q_stack_score(spark, sf_dir):
     """Meta logistic regression over the bases' probabilities scores the validation rows."""
     df, feats = model_frame(spark, sf_dir)
     return mo.stack_score(df.where(F.col("is_valid") == 0), df.where(F.col("is_valid") == 1), feats,
-                          STACK_BASES, k=3)
+                          STACK_BASES)
 
 
 @query("random_search")
 def q_random_search(spark, sf_dir):
-    """Seeded random draws of tree settings scored by mean PR AUC over stratified folds (2 draws of few trees, 2 folds
-    for the library's 15 draws and 5 folds, to keep the check short)."""
+    """Seeded random draws of tree settings scored by mean PR AUC over stratified folds."""
     df, feats = model_frame(spark, sf_dir)
-    return mo.random_search(df.where(F.col("is_valid") == 0), feats, n_draws=2, k=2, iterations=(5, 10, 15))
+    return mo.random_search(df.where(F.col("is_valid") == 0), feats)
 
 
 @query("batch_score")
@@ -784,7 +776,7 @@ def q_batch_score(spark, sf_dir):
     import uuid
 
     df, feats = model_frame(spark, sf_dir)
-    model = mo.fit_gbt(df.where(F.col("is_valid") == 0), feats, mo.GBTParams(max_iter=5, max_depth=3))
+    model = mo.fit_gbt(df.where(F.col("is_valid") == 0), feats, mo.GBTParams())
     path = f"{ensure_checkpoint_dir(spark)}/models/gbt-{uuid.uuid4().hex}"
     mo.save_model(model, path)
     return mo.batch_score(mo.load_model(path), df.where(F.col("is_valid") == 1), 0.5)
@@ -814,5 +806,4 @@ def q_feature_table(spark, sf_dir):
     the whole merged table."""
     from riskroll.plans import flows
 
-    return flows.feature_stage(merged(spark, sf_dir), top_k=60, use_importance_topk=True,
-                               model_params=mo.GBTParams(max_iter=10, max_depth=4, step_size=0.1)).table
+    return flows.feature_stage(merged(spark, sf_dir), top_k=60, use_importance_topk=True).table
