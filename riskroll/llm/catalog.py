@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, hnsw, line_dedup, near_dup, packing, pii, quality, rans, sharding, toxicity
+from . import (decontaminate, hnsw, line_dedup, merkle, near_dup, packing, pii, quality, rans, sharding, toxicity)
 from .common import ship
 
 
@@ -26,6 +26,8 @@ QUERIES = {name: _shipped(query) for name, query in {
     "op8_min_max_near_dup": near_dup.query,
     "op9_decontamination": decontaminate.query,
     "op10_sharding": sharding.query,
+    "op11_merkle_manifest": merkle.query,
 }.items()}
 
-ORACLE = {"op8_min_max_near_dup": near_dup.SQL, "op9_decontamination": decontaminate.SQL}
+ORACLE = {"op8_min_max_near_dup": near_dup.SQL, "op9_decontamination": decontaminate.SQL,
+          "op11_merkle_manifest": merkle.SQL}
