@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import (decontaminate, hnsw, line_dedup, merkle, near_dup, packing, pii, quality, rans, sharding, toxicity)
+from . import (decontaminate, hnsw, line_dedup, merkle, near_dup, packing, pii, quality, rans, sharding, toxicity,
+               warc)
 from .common import ship
 
 
@@ -27,7 +28,8 @@ QUERIES = {name: _shipped(query) for name, query in {
     "op9_decontamination": decontaminate.query,
     "op10_sharding": sharding.query,
     "op11_merkle_manifest": merkle.query,
+    "op12_zip_warc": warc.query,
 }.items()}
 
 ORACLE = {"op8_min_max_near_dup": near_dup.SQL, "op9_decontamination": decontaminate.SQL,
-          "op11_merkle_manifest": merkle.SQL}
+          "op11_merkle_manifest": merkle.SQL, "op12_zip_warc": warc.SQL}
