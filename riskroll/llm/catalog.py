@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import (decontaminate, hnsw, line_dedup, merkle, near_dup, packing, pii, quality, rans, sharding, toxicity,
-               warc)
+               warc, whitening)
 from .common import ship
 
 
@@ -29,6 +29,7 @@ QUERIES = {name: _shipped(query) for name, query in {
     "op10_sharding": sharding.query,
     "op11_merkle_manifest": merkle.query,
     "op12_zip_warc": warc.query,
+    "op13_whitening": whitening.query,
 }.items()}
 
 ORACLE = {"op8_min_max_near_dup": near_dup.SQL, "op9_decontamination": decontaminate.SQL,
