@@ -26,13 +26,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import RDD, StorageLevel
-from pyspark.mllib.linalg import DenseMatrix
+from pyspark.mllib.common import callMLlibFunc
+from pyspark.mllib.linalg import DenseMatrix, MatrixUDT
 from pyspark.mllib.linalg.distributed import BlockMatrix
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import pieces, table, written
+from .common import pieces, shared_path, table, written
 
 SCALE, SHIFT = 64, 1_000_000
 COMPONENTS = 16
@@ -98,40 +99,71 @@ def blocks(rows: DataFrame, block_rows: int) -> DataFrame:
     return written(dealt.mapInArrow(run, "block long, vec_ids array<bigint>, x binary"), "whitening-blocks")
 
 
-def _matrix(values: np.ndarray) -> DenseMatrix:
-    return DenseMatrix(values.shape[0], values.shape[1], np.asfortranarray(values).ravel(order="F"))
+def stored_matrix(values: np.ndarray) -> dict:
+    """A dense matrix as MLlib stores one (column by column)."""
+    return {"type": 1, "numRows": values.shape[0], "numCols": values.shape[1], "colPtrs": None, "rowIndices": None,
+            "values": values.ravel(order="F"), "isTransposed": False}
 
 
-def _array(matrix) -> np.ndarray:
-    return matrix.toArray()
+def _block_matrix(dealt: DataFrame, make, name: str, sizes: tuple[int, int, int, int]) -> BlockMatrix:
+    """MLlib matrix of the blocks that ``make`` (row to block row, block column, array) makes of ``dealt``.
 
-
-def scatter(column: RDD, n_blocks: int, block_rows: int, width: int) -> np.ndarray:
-    """transpose(A) x A of the matrix whose blocks ((k, 0), matrix) stand in one column."""
-    a = BlockMatrix(column, block_rows, width, n_blocks * block_rows, width).persist(StorageLevel.MEMORY_AND_DISK)
-    flipped = a.transpose()
-    product = flipped._java_matrix_wrapper.call(
+    The blocks are written with MLlib's own storage type and read in the JVM by every pass, never through Python.
+    """
+    def run(batches):
+        for batch in pieces(batches, 1):
+            for row in batch.to_pylist():
+                i, j, values = make(row)
+                yield pa.RecordBatch.from_pylist(
+                    [{"blockIndex": {"_1": i, "_2": j}, "subMatrix": stored_matrix(values)}], schema=_ARROW_MATRIX)
+
+    path = shared_path(dealt.sparkSession, f"whitening-{name}")
+    dealt.mapInArrow(run, _MATRIX).write.parquet(path)
+    typed = StructType([StructField("blockIndex", StructType([StructField("_1", LongType()), StructField("_2", LongType())])),
+                        StructField("subMatrix", MatrixUDT())])
+    return BlockMatrix(callMLlibFunc("createBlockMatrix", dealt.sparkSession.read.schema(typed).parquet(path), *sizes), *sizes[:2])
+
+
+_MATRIX = ("blockIndex struct<_1:bigint,_2:bigint>, subMatrix struct<type:tinyint,numRows:int,numCols:int,colPtrs:array<int>,"
+           "rowIndices:array<int>,values:array<double>,isTransposed:boolean>")
+_ARROW_MATRIX = pa.schema([
+    ("blockIndex", pa.struct([("_1", pa.int64()), ("_2", pa.int64())])),
+    ("subMatrix", pa.struct([("type", pa.int8()), ("numRows", pa.int32()), ("numCols", pa.int32()), ("colPtrs", pa.list_(pa.int32())),
+                             ("rowIndices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64())), ("isTransposed", pa.bool_())]))])
+
+
+def scatter(dealt: DataFrame, make, n_blocks: int, block_rows: int, width: int) -> np.ndarray:
+    """transpose(A) x A of the matrix whose blocks (``make``: row to array) stand in one column."""
+    a = _block_matrix(dealt, lambda r: (r["block"], 0, make(r)), "column", (block_rows, width, n_blocks * block_rows, width))
+    product = a.transpose()._java_matrix_wrapper.call(
         "multiply", a._java_matrix_wrapper._java_model, max(1, math.ceil(n_blocks / BLOCKS_A_TASK)))
-    found = BlockMatrix(product, width, width).toLocalMatrix().toArray()
-    a._java_matrix_wrapper.call("blocks").unpersist(False)
-    return found
+    return BlockMatrix(product, width, width).toLocalMatrix().toArray()
 
 
-def product(column: RDD, n_blocks: int, block_rows: int, right: np.ndarray) -> DataFrame:
+def product(dealt: DataFrame, make, n_blocks: int, block_rows: int, right: np.ndarray) -> DataFrame:
     """A x ``right``, A as in ``scatter``: block, y (its rows, doubles, one after the other), written."""
     side = max(1, math.isqrt(max(n_blocks - 1, 0)) + 1)
     width, out = right.shape
-    grid = column.map(lambda b: ((b[0][0] // side, b[0][0] % side), b[1]))
-    a = BlockMatrix(grid, block_rows, width, side * block_rows, side * width)
-    spark = SparkSession.getActiveSession()
-    slices = max(1, min(n_blocks, MAX_BLOCKS))
-    shared = _matrix(right)
-    diagonal = spark.sparkContext.parallelize(range(side), min(slices, side)).map(lambda i: ((i, i), shared))
-    if slices > side:  # the number of partitions is what MLlib deals the grid by
-        diagonal = diagonal.repartition(slices)
+    spark = dealt.sparkSession
+    a = _block_matrix(dealt, lambda r: (r["block"] // side, r["block"] % side, make(r)), "grid",
+                      (block_rows, width, side * block_rows, side * width))
+    # MLlib deals the grid to about as many tasks as either factor has partitions
+    shared = DenseMatrix(width, out, right.ravel(order="F"))
+    diagonal = spark.sparkContext.parallelize(range(side), side).map(lambda i: ((i, i), shared)).repartition(max(side, n_blocks))
     w = BlockMatrix(diagonal, width, out, side * width, side * out)
-    y = a.multiply(w).blocks.map(lambda b: (b[0][0] * side + b[0][1], bytearray(_array(b[1]).astype("<f8").tobytes())))
-    return written(spark.createDataFrame(y, "block long, y binary"), "whitening-product")
+    path = shared_path(spark, "whitening-product")
+    callMLlibFunc("getMatrixBlocks", a.multiply(w)._java_matrix_wrapper._java_model).toDF("blockIndex", "subMatrix").write.parquet(path)
+
+    def run(batches):
+        for batch in pieces(batches, 1):
+            for row in batch.to_pylist():
+                m = row["subMatrix"]
+                values = np.array(m["values"]).reshape(m["numRows"], m["numCols"], order="C" if m["isTransposed"] else "F")
+                yield pa.RecordBatch.from_pydict({
+                    "block": pa.array([row["blockIndex"]["_1"] * side + row["blockIndex"]["_2"]], pa.int64()),
+                    "y": pa.array([values.astype("<f8").tobytes()], pa.binary())})
+
+    return spark.read.schema(_MATRIX).parquet(path).mapInArrow(run, "block long, y binary")
 
 
 @dataclass
@@ -167,15 +199,9 @@ def _sums(dealt: DataFrame, column: str, dtype: str, width: int) -> np.ndarray:
     return out
 
 
-def _centred(dealt: DataFrame, n: int, sums: np.ndarray) -> RDD:
-    """Blocks ((k, 0), matrix) of the centred rows."""
-    width = len(sums)
-
-    def one(row):
-        x = np.frombuffer(bytes(row.x), dtype="<i8").reshape(-1, width)
-        return (row.block, 0), _matrix((n * x - sums) / n)
-
-    return dealt.select("block", "x").rdd.map(one)
+def _centred(n: int, sums: np.ndarray):
+    """A block's centred rows."""
+    return lambda row: (n * np.frombuffer(row["x"], dtype="<i8").reshape(-1, len(sums)) - sums) / n
 
 
 def block_rows_of(n: int) -> int:
@@ -194,17 +220,17 @@ def fit(rows: DataFrame, components: int = COMPONENTS) -> Whitening | None:
     n_blocks = math.ceil(n / block_rows)
     dealt = blocks(distinct, block_rows)
     sums = _sums(dealt, "x", "<i8", width)
-    covariance = scatter(_centred(dealt, n, sums), n_blocks, block_rows, width) / n
+    covariance = scatter(dealt, _centred(n, sums), n_blocks, block_rows, width) / n
     values, vectors = np.linalg.eigh((covariance + covariance.T) / 2)
     values, vectors = values[::-1], vectors[:, ::-1].T
     kept = min(components, int((values > ZERO * max(values[0], 0.0)).sum()))
     vectors = vectors[:kept] * np.sign(vectors[np.arange(kept), np.abs(vectors[:kept]).argmax(axis=1)])[:, None]
     model = Whitening(n, sums, vectors, values[:kept], float(np.trace(covariance)))
     if kept:
-        y = product(_centred(dealt, n, sums), n_blocks, block_rows, model.matrix())
+        y = product(dealt, _centred(n, sums), n_blocks, block_rows, model.matrix())
         mean = _sums(y, "y", "<f8", kept) / n
-        column = y.rdd.map(lambda r: ((r.block, 0), _matrix(np.frombuffer(bytes(r.y), dtype="<f8").reshape(-1, kept) - mean)))
-        model.identity_error = float(np.abs(scatter(column, n_blocks, block_rows, kept) / n - np.eye(kept)).max())
+        white = scatter(y, lambda r: np.frombuffer(r["y"], dtype="<f8").reshape(-1, kept) - mean, n_blocks, block_rows, kept)
+        model.identity_error = float(np.abs(white / n - np.eye(kept)).max())
     return model
 
 
@@ -213,7 +239,7 @@ def transform(rows: DataFrame, model: Whitening) -> DataFrame:
     count = rows.count()
     block_rows, width, kept = block_rows_of(count), len(model.sums), len(model.components)
     dealt = blocks(rows, block_rows)
-    y = product(_centred(dealt, model.n, model.sums), math.ceil(count / block_rows), block_rows, model.matrix())
+    y = product(dealt, _centred(model.n, model.sums), math.ceil(count / block_rows), block_rows, model.matrix())
     n, sums = model.n, model.sums
 
     def deviations(batches):
