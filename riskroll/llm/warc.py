@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import io
 import json
+import math
 import re
 import struct
 import uuid
@@ -52,6 +53,7 @@ PACKAGE_RECORDS = 1 << 17
 #: Bytes of one range read, and of the part of an archive whose records are read by one task at a time.
 RANGE_BYTES = 4 << 20
 CHUNK_BYTES = 16 << 20
+MAX_TASKS = 100_000
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 DATE = "1970-01-01T00:00:00Z"
 
@@ -243,6 +245,11 @@ def _widened(extra: bytes, *values: int) -> list[int]:
     return list(values)
 
 
+def _spread(df: DataFrame, tasks: int, *keys) -> DataFrame:
+    """``df`` dealt by ``keys`` to a set number of tasks: its rows are small, what they stand for isn't."""
+    return df.repartition(max(1, min(tasks, MAX_TASKS)), *keys)
+
+
 def members(spark: SparkSession, path: str) -> DataFrame:
     """package, member, method, crc, stored, size, start of every member of the listed packages."""
 
@@ -255,7 +262,7 @@ def members(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema=_MEMBERS)
 
     listed = spark.read.parquet(f"{path}/packages").select("package")
-    return listed.repartition("package").mapInArrow(
+    return _spread(listed, listed.count(), "package").mapInArrow(
         run, "package string, member string, method int, crc long, stored long, size long, start long")
 
 
@@ -307,7 +314,7 @@ def index(spark: SparkSession, path: str) -> DataFrame:
                     if rows:
                         yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*rows))), schema=_INDEX)
 
-    return lists.mapInArrow(run, "package string, url string, digest string, start long, length long")
+    return _spread(lists, lists.count(), "package").mapInArrow(run, "package string, url string, digest string, start long, length long")
 
 
 _INDEX = pa.schema([("package", pa.string()), ("url", pa.string()), ("digest", pa.string()), ("start", pa.int64()),
@@ -368,8 +375,9 @@ def records(entries: DataFrame, path: str, payload: bool = True) -> DataFrame:
     page_id, record_type, url, payload (null for revisits; left out if not wanted), payload_bytes, payload_digest, refers_to.
     """
     fields = {k: v for k, v in _FIELDS.items() if payload or k != "payload"}
-    chunk = F.floor(F.col("start") / CHUNK_BYTES)
-    placed = entries.select("package", "start", "length").repartition("package", chunk).sortWithinPartitions("package", "start")
+    size = entries.agg(F.sum("length")).first()[0] or 0
+    placed = _spread(entries.select("package", "start", "length"), math.ceil(size / CHUNK_BYTES), "package",
+                     F.floor(F.col("start") / CHUNK_BYTES)).sortWithinPartitions("package", "start")
 
     def run(batches):
         store, folder = _store(path)
