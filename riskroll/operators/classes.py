@@ -16,6 +16,7 @@ from riskroll.operators.ordered import bounded_collect
 
 # Fixed values
 IMBALANCE_RATIO = 0.2
+MAX_CLASSES = 1000  # most classes a label may have
 MINMAX_EPS = 1e-6
 
 
@@ -44,9 +45,11 @@ def class_weights(df: DataFrame, label: str = "target") -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, label: str = "target", kind: str = "weight_balanced",
-                      name: str = "weight") -> DataFrame:
-    """Attach a per-row weight column from ``class_weights`` (the class table is tiny: one row per class)."""
-    w = {r["class"]: r[kind] for r in bounded_collect(class_weights(df, label), 1000, f"classes of {label}")}
+                      name: str = "weight", fit_on: DataFrame | None = None) -> DataFrame:
+    """Attach a per-row weight column from ``class_weights`` of ``fit_on`` (``df`` if none is given); the class table
+    is tiny: one row per class."""
+    counted = class_weights(df if fit_on is None else fit_on, label)
+    w = {r["class"]: r[kind] for r in bounded_collect(counted, MAX_CLASSES, f"classes of {label}")}
     expr = None
     for c, v in w.items():
         cond = F.col(label) == F.lit(c)

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from riskroll import sources
 from riskroll.functions import features as fe
-from riskroll.functions.exprs import hash_unit, round_doubles
-from riskroll.operators import classes, clean, encode, joins, metrics as me, models as mo, rollup as ru
-from riskroll.operators import sampling as sa, selection as se
+from riskroll.functions.exprs import hash_unit, round_doubles, snap
+from riskroll.operators import boosting, classes, clean, encode, joins, metrics as me, models as mo
+from riskroll.operators import neighbours as nb, rollup as ru, sampling as sa, selection as se
 from riskroll.plans import fixtures as fx
 from riskroll.session import ensure_checkpoint_dir
 
@@ -670,79 +670,99 @@ def q_null_importance(spark, sf_dir):
 
 @query("importance_topk")
 def q_importance_topk(spark, sf_dir):
-    """L3: top 10 features by boosted-tree importance."""
+    """L3: the 60 features with the most splits."""
     df, feats = model_frame(spark, sf_dir)
-    return se.importance_topk(df, feats, k=10)
+    return se.importance_topk(df, feats)
+
+
+def train_valid(spark, sf_dir) -> tuple[DataFrame, DataFrame, list[str]]:
+    df, feats = model_frame(spark, sf_dir)
+    df = materialized(df)
+    return df.where(F.col("is_valid") == 0), df.where(F.col("is_valid") == 1), feats
 
 
 @query("lasso_select")
 def q_lasso_select(spark, sf_dir):
     """L4: lasso (alpha 0.005) coefficients on standardised features and the kept set."""
-    df, feats = model_frame(spark, sf_dir)
-    return mo.lasso_table(mo.fit_lasso(df.where(F.col("is_valid") == 0), feats), spark)
+    train, _, feats = train_valid(spark, sf_dir)
+    return mo.lasso_table(mo.fit_lasso(train, feats), spark)
 
 
 @query("lasso_score")
 def q_lasso_score(spark, sf_dir):
     """The lasso as a scorer on the validation rows (score = prediction)."""
-    df, feats = model_frame(spark, sf_dir)
-    train, valid = df.where(F.col("is_valid") == 0), df.where(F.col("is_valid") == 1)
-    res = mo.fit_lasso(train, feats)
-    st = classes.fit_standardizer(train, feats)
-    pred = res.model.transform(mo.assemble(st.apply(valid), feats))
-    return mo.score_table(pred, F.col("prediction"), 0.5)
+    train, valid, feats = train_valid(spark, sf_dir)
+    return mo.lasso_scores(train, valid, feats)
 
 
 @query("svm_score")
 def q_svm_score(spark, sf_dir):
     """Undersample -> scale -> lasso selection -> class-balanced linear SVM; margin scores."""
-    df, feats = model_frame(spark, sf_dir)
-    scores, _ = mo.svm_pipeline(df.where(F.col("is_valid") == 0), df.where(F.col("is_valid") == 1), feats)
-    return scores
+    train, valid, feats = train_valid(spark, sf_dir)
+    return mo.svm_pipeline(train, valid, feats)[0]
 
 
-def _gbt_scores(spark, sf_dir, params: mo.GBTParams) -> DataFrame:
-    """Fit on train + validation rows (validation rows only stop the boosting early), pick the
-    F1-optimal threshold on validation, return the validation score table."""
-    cb = clean_base(spark, sf_dir)
+def tree_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame, list[str], list[str]]:
+    """Train and test rows of the hold-out split (R2) with their numeric and categorical features, nulls kept."""
+    cb = clean.sentinel_null(clean.drop_sparse(merged(spark, sf_dir)))
     feats = clean.numeric_features(cb)
     cats = [f.name for f in cb.schema.fields if f.dataType.simpleString() == "string"]
-    df = sa.stratified_split(cb.select("case_id", "target", *feats, *cats)).withColumn(
-        "is_valid_flag", F.col("is_valid") == 1)
-    model = mo.fit_gbt(df, feats, params, valid_col="is_valid_flag", categorical=cats)
-    val = model.transform(df.where(F.col("is_valid") == 1)).select(
-        "case_id", "target", mo.positive_probability().alias("score"))
-    best = me.best_f1_threshold(val.withColumnRenamed("target", "actual_label")).first()["threshold"]
-    return mo.score_table(val, F.col("score"), best if best is not None else 0.5)
+    df = cb.select("case_id", "target", *feats, *cats)
+    split = materialized(sa.holdout_split(df, *holdout_params(df)))
+    return split.where("split = 'train'").drop("split"), split.where("split = 'test'").drop("split"), feats, cats
 
 
 @query("gbt_score")
 def q_gbt_score(spark, sf_dir):
-    """Class-weighted (n0/n1) boosted trees with indexed categoricals and validation-based
-    early stopping; F1-optimal threshold on validation."""
-    return _gbt_scores(spark, sf_dir, mo.GBTParams(weighting="weight_ratio"))
+    """Medians and modes of the train rows fill both tables (P12); class-weighted (n0/n1) boosted trees with indexed
+    categoricals, grown until 100 rounds bring no gain of AUC on 20 % of the train rows; F1-optimal threshold on those;
+    the test rows scored."""
+    train, test, feats, cats = tree_tables(spark, sf_dir)
+    fills = clean.fit_imputer(train)
+    return mo.boosted_scores(fills.apply(train), fills.apply(test), feats, cats, mo.GBTParams())
 
 
 @query("gbt_score_b")
 def q_gbt_score_b(spark, sf_dir):
-    """Second boosted-tree setting ((1-p)/p weights, learning rate 0.03, up to 4000 trees)."""
-    return _gbt_scores(spark, sf_dir, mo.GBTParams(max_iter=4000, max_depth=6, step_size=0.03,
-                                                   weighting="weight_odds"))
+    """Second boosted-tree setting ((1-p)/p weights, learning rate 0.03, up to 4000 trees, patience 300; nulls are
+    left to the trees)."""
+    train, test, feats, cats = tree_tables(spark, sf_dir)
+    return mo.boosted_scores(train, test, feats, cats, GBT_B)
+
+
+GBT_B = mo.GBTParams(max_iter=4000, max_depth=6, step_size=0.03, weighting="weight_odds", patience=300)
 
 
 @query("importance_table")
 def q_importance_table(spark, sf_dir):
-    """Boosted-tree feature importances, descending."""
+    """Splits per feature of the boosted trees of T2, descending."""
     df, feats = model_frame(spark, sf_dir)
-    model = mo.fit_gbt(df.where(F.col("is_valid") == 0), feats, mo.GBTParams())
-    return mo.gbt_importances(model, feats, spark)
+    return mo.gbt_importances(boosting.fit_boosted(df, feats, mo.GBTParams()).pipeline(), feats, spark)
 
 
 @query("mlp_score")
 def q_mlp_score(spark, sf_dir):
-    """T4: undersample (0.2) -> scale -> MLP [n, 64, 32, 2]; label = p > 0.518."""
-    df, feats = model_frame(spark, sf_dir)
-    return mo.mlp_pipeline(df.where(F.col("is_valid") == 0), df.where(F.col("is_valid") == 1), feats)
+    """T4: undersample (0.2) -> ADASYN (0.5) -> scale -> MLP [n, 64, 32, 2]; label = p > 0.518."""
+    return mo.mlp_pipeline(*train_valid(spark, sf_dir))
+
+
+def snapped_features(spark, sf_dir) -> tuple[DataFrame, list[str]]:
+    """The cleaned table's numeric features, rounded so that another engine measures the same distances."""
+    cb = clean_base(spark, sf_dir)
+    feats = clean.numeric_features(cb)
+    return materialized(cb.select("case_id", "target", *[snap(F.col(f)).alias(f) for f in feats])), feats
+
+
+@query("adasyn_density")
+def q_adasyn_density(spark, sf_dir):
+    """Majority rows among the 5 nearest neighbours of every minority row, and the synthetic rows due to it."""
+    return nb.adasyn_density(*snapped_features(spark, sf_dir))
+
+
+@query("adasyn")
+def q_adasyn(spark, sf_dir):
+    """The synthetic minority rows."""
+    return nb.adasyn_rows(*snapped_features(spark, sf_dir))
 
 
 STACK_BASES = {"gbt": mo.GBTParams(), "mlp": mo.MLPParams()}
@@ -751,32 +771,38 @@ STACK_BASES = {"gbt": mo.GBTParams(), "mlp": mo.MLPParams()}
 @query("stack_oof")
 def q_stack_oof(spark, sf_dir):
     """T5 + T6: 5-fold out-of-fold probabilities of a boosted-tree base and an MLP base."""
-    df, feats = model_frame(spark, sf_dir)
-    return mo.stack_oof(df.where(F.col("is_valid") == 0), feats, STACK_BASES)
+    train, _, feats = train_valid(spark, sf_dir)
+    return mo.stack_oof(train, feats, STACK_BASES)
 
 
 @query("stack_score")
 def q_stack_score(spark, sf_dir):
     """Meta logistic regression over the bases' probabilities scores the validation rows."""
-    df, feats = model_frame(spark, sf_dir)
-    return mo.stack_score(df.where(F.col("is_valid") == 0), df.where(F.col("is_valid") == 1), feats,
-                          STACK_BASES)
+    return mo.stack_score(*train_valid(spark, sf_dir), STACK_BASES)
 
 
 @query("random_search")
 def q_random_search(spark, sf_dir):
-    """Seeded random draws of tree settings scored by mean PR AUC over stratified folds."""
-    df, feats = model_frame(spark, sf_dir)
-    return mo.random_search(df.where(F.col("is_valid") == 0), feats)
+    """15 seeded random draws of tree settings scored by mean PR AUC over 5 stratified folds."""
+    train, _, feats = train_valid(spark, sf_dir)
+    return mo.random_search(train, feats)
+
+
+@query("mlp_search")
+def q_mlp_search(spark, sf_dir):
+    """20 seeded random draws of hidden layers and iterations of the network, mean PR AUC over 3 folds."""
+    train, _, feats = train_valid(spark, sf_dir)
+    return mo.mlp_search(train, feats)
 
 
 @query("batch_score")
 def q_batch_score(spark, sf_dir):
-    """S8 + T8: fit, save the pipeline to the shared checkpoint folder, load it back, score."""
+    """S8 + T8: grow, save the pipeline to the shared checkpoint folder, load it back, score."""
     import uuid
 
     df, feats = model_frame(spark, sf_dir)
-    model = mo.fit_gbt(df.where(F.col("is_valid") == 0), feats, mo.GBTParams())
+    df = materialized(df)
+    model = boosting.fit_boosted(df, feats, mo.GBTParams()).pipeline()
     path = f"{ensure_checkpoint_dir(spark)}/models/gbt-{uuid.uuid4().hex}"
     mo.save_model(model, path)
     return mo.batch_score(mo.load_model(path), df.where(F.col("is_valid") == 1), 0.5)
@@ -801,9 +827,9 @@ def q_incremental_f1(spark, sf_dir):
 
 @query("feature_table")
 def q_feature_table(spark, sf_dir):
-    """E2 end to end: clean, derive (days-diff, ratios, RFM), clean again, numeric filter,
-    adversarial selection, top-k by boosted-tree importance, projection and hold-out split over
-    the whole merged table."""
+    """E2 end to end: hold-out split, clean, derive (days-diff, ratios, RFM), clean again, numeric filter, the three
+    selectors in turn (null importance, adversarial validation, top 60 by splits) and projection of the whole merged
+    table."""
     from riskroll.plans import flows
 
-    return flows.feature_stage(merged(spark, sf_dir), top_k=60, use_importance_topk=True).table
+    return flows.feature_stage(merged(spark, sf_dir)).table

@@ -1,8 +1,8 @@
 """Stage-level entry points: the operators chained the way the original scripts ran them.
 
 * ``merge_stage``: base ⟕ static ⟕ roll-ups of every child family (E1).
-* ``feature_stage``: clean -> derive -> clean again -> type filter -> selectors
-  -> projection -> hold-out split (E2).
+* ``feature_stage``: hold-out split -> clean -> derive -> clean again -> type
+  filter -> the three selectors -> projection (E2).
 * ``evaluation_stage``: score tables of several models -> comparison table (E3).
 
 Each stage is lazy apart from the small profile / fit jobs its steps need;
@@ -15,11 +15,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskroll.functions import features as fe
-from riskroll.operators import clean, joins, metrics, models, sampling, selection
+from riskroll.operators import clean, joins, metrics, sampling, selection
 from riskroll.session import ensure_checkpoint_dir
 
 # Fixed values of the original feature stage
@@ -39,11 +39,15 @@ def _checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def clean_stage(df: DataFrame, exclude: Sequence[str] = clean.NEVER_FEATURES) -> DataFrame:
-    """NaN -> null, sparse columns out, sentinel -> null, numeric nulls -> 0, winsorise (ids excluded)."""
+def clean_stage(df: DataFrame, exclude: Sequence[str] = clean.NEVER_FEATURES, fit_on: Column | None = None) -> DataFrame:
+    """NaN -> null, sparse columns out, sentinel -> null, numeric nulls -> 0, winsorise (ids excluded).
+
+    Sparse columns and outlier bounds are those of the rows with ``fit_on`` (all rows if none is given)."""
     whole = _checkpointed(clean.nan_to_null(df))
-    cleaned = _checkpointed(clean.fill_zero(clean.sentinel_null(clean.drop_sparse(whole))))
-    return clean.fit_winsor(cleaned, exclude=exclude).apply(cleaned)
+    fit = whole if fit_on is None else whole.where(fit_on)
+    kept = clean.drop_sparse(fit).columns
+    cleaned = _checkpointed(clean.fill_zero(clean.sentinel_null(whole.select(*kept))))
+    return clean.fit_winsor(cleaned if fit_on is None else cleaned.where(fit_on), exclude=exclude).apply(cleaned)
 
 
 @dataclass
@@ -55,41 +59,35 @@ class FeatureResult:
 
 
 def feature_stage(merged: DataFrame, top_k: int = 60, n_test: int | None = None, n_pos: int | None = None,
-                  use_null_importance: bool = False, use_importance_topk: bool = False,
-                  model_params: models.GBTParams | None = None) -> FeatureResult:
+                  trees: tuple[int, int] = (500, 1000)) -> FeatureResult:
     """The feature table with a ``split`` column (test / train).
 
-    The adversarial filter (L2) always runs; the two model-based selectors
-    (L1, L3) run when asked.  Without L3 the ``top_k`` most stable features
-    (lowest adversarial AUC) are kept.  Test size defaults to a tenth of the
-    rows with a tenth of those positive.
+    The test rows are drawn first; sparse columns, bounds and all three selectors are fitted on the train rows.  The
+    selectors run in turn: null importance (L1), adversarial validation (L2), the ``top_k`` features by splits (L3);
+    ``trees`` are those of L1 and L3.  A selector that would leave nothing keeps what it was given.  Test size
+    defaults to a tenth of the rows with a tenth of those positive.
     """
-    first = clean_stage(merged)
+    if n_test is None:
+        n_test = merged.count() // 10
+        n_pos = n_test // 10 if n_pos is None else n_pos
+    split = _checkpointed(sampling.holdout_split(merged, n_test, n_pos if n_pos is not None else n_test // 10))
+    is_train, never = F.col("split") == "train", (*clean.NEVER_FEATURES, "split")
+    first = clean_stage(split, never, is_train)
     derived = fe.rfm_features(fe.ratio_features(fe.days_diff(first)))
-    second = _checkpointed(clean_stage(derived))
+    second = _checkpointed(clean_stage(derived, never, is_train))
     candidates = clean.numeric_features(second)
+    train = second.where(is_train)
     reports: dict[str, DataFrame] = {}
-    keep = list(candidates)
-    if use_null_importance:
-        ni = selection.null_importance(second, keep, params=model_params)
-        reports["null_importance"] = ni
-        keep = [r["feature"] for r in ni.where(F.col("keep") == 1).collect()] or keep
-    adv = selection.adversarial_auc(second, keep)
+    ni = selection.null_importance(train, candidates, trees=trees[0])
+    reports["null_importance"] = ni
+    keep = [r["feature"] for r in ni.where(F.col("keep") == 1).collect()] or candidates
+    adv = selection.adversarial_auc(train, keep)
     reports["adversarial_auc"] = adv
-    # most stable first (lowest separation of the late period), ties by name
-    keep = [r["feature"] for r in adv.where(F.col("keep") == 1).orderBy("auc", "feature").collect()]
-    if use_importance_topk and keep:
-        top = selection.importance_topk(second, keep, k=top_k, params=model_params)
-        reports["importance_topk"] = top
-        keep = [r["feature"] for r in top.collect()]
-    else:
-        keep = keep[:top_k]
-    final = second.select(*[c for c in KEEP_COLUMNS if c in second.columns], *keep)
-    if n_test is None:
-        n = final.count()
-        n_test = n // 10
-        n_pos = n_test // 10 if n_pos is None else n_pos
-    table = sampling.holdout_split(final, n_test, n_pos if n_pos is not None else n_test // 10)
+    keep = [r["feature"] for r in adv.where(F.col("keep") == 1).orderBy("auc", "feature").collect()] or keep
+    top = selection.importance_topk(train, keep, k=top_k, trees=trees[1])
+    reports["importance_topk"] = top
+    keep = [r["feature"] for r in top.collect()]
+    table = second.select(*[c for c in KEEP_COLUMNS if c in second.columns], *keep, "split")
     return FeatureResult(table, candidates, keep, reports)
 
 

@@ -9,13 +9,14 @@ from conftest import SMALL
 
 def test_feature_stage_split_and_ids(spark):
     merged = fx.build_base(spark, SMALL)
-    res = flows.feature_stage(merged, n_test=20, n_pos=2)
+    res = flows.feature_stage(merged, n_test=20, n_pos=2, trees=(20, 20))
     t = res.table
     assert t.count() == merged.count()
     assert t.where(F.col("split") == "test").count() == 20
     assert t.where("split = 'test' AND target = 1").count() == 2
     assert {"case_id", "target", "date_decision"} <= set(t.columns)
-    assert set(res.selected) <= set(res.candidates)
+    assert res.selected and set(res.selected) <= set(res.candidates)
+    assert set(res.reports) == {"null_importance", "adversarial_auc", "importance_topk"}
     # ids never winsorised: keys stay unique
     assert t.select("case_id").distinct().count() == t.count()
 
