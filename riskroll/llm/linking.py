@@ -20,11 +20,14 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-BROADCAST_ROWS = 2_000_000
+#: Most rows of a side that is sent to all executors: under 100 bytes each (keys, digests and one struct of them), so
+#: 10 MB at most, and as much on the driver.
+BROADCAST_ROWS = 100_000
 
 
 def small_side(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast hint for a slim side whose counted ``rows`` are few; beyond that Spark joins by shuffle."""
+    """Broadcast hint for a side of slim rows (under 100 bytes) whose counted ``rows`` are few; beyond that Spark joins
+    by shuffle."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
