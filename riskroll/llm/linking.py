@@ -20,15 +20,14 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Most rows of a side that is sent to all executors: under 100 bytes each (keys, digests and one struct of them), so
-#: 10 MB at most, and as much on the driver.
-BROADCAST_ROWS = 100_000
+#: Most bytes of a side that is sent to all executors (and built on the driver).
+BROADCAST_BYTES = 48 << 20
 
 
-def small_side(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast hint for a side of slim rows (under 100 bytes) whose counted ``rows`` are few; beyond that Spark joins
+def small_side(df: DataFrame, rows: int, width: int = 64) -> DataFrame:
+    """Broadcast hint for a side whose counted ``rows`` of at most ``width`` bytes each are few; beyond that Spark joins
     by shuffle."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
 
 
 def components(edges: DataFrame) -> DataFrame:

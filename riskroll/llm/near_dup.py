@@ -178,7 +178,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     """(signatures, groups): groups has node, component (a node) and first (smallest doc_id) of every class."""
     signed = written(signatures(docs), "signatures")
     classes = signed.filter("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "text_hash"))["text_hash"].alias("text_hash"),
+        F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "text_hash")).alias("own"),
         F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     classes = written(classes.withColumn("key", F.xxhash64("node")), "classes")
     clusters = candidate_clusters(classes)
@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
 def _with_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     """The members with the shingles of their whole texts (a row for each repeat of the document)."""
     n = members.count()
-    wanted = members.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "node", "cluster", "degree")
+    wanted = members.select(F.col("own.doc_id").alias("id"), F.col("own.text_hash").alias("hash"), "node", "cluster", "degree")
     texts = docs.select(F.col("doc_id").cast("long").alias("id2"), F.xxhash64("text").alias("hash"), "text").join(
         small_side(wanted, n), "hash").filter(F.col("id2").eqNullSafe(F.col("id")))
 
@@ -224,10 +224,14 @@ def report(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document (the smallest doc_id) of each group of near-duplicates."""
-    dropped = written(report(docs, percent).filter(~F.col("kept")).select("doc_id").distinct(), "dropped")
-    rows = whole_rows(docs, F.col("doc_id").cast("long").alias("doc_id"))
-    return rows.join(small_side(dropped, dropped.count()), "doc_id", "left_anti").select("row.*")
+    """``docs`` with one document (the smallest doc_id) of each group of near-duplicates.
+
+    What goes is a doc_id with its text: other texts of a repeated doc_id stay."""
+    signed, groups = near_duplicates(docs, percent)
+    gone = signed.join(groups.select("node", "first"), "node").filter(F.col("doc_id") != F.col("first"))
+    dropped = written(gone.select("doc_id", "text_hash").distinct(), "dropped")
+    rows = whole_rows(docs, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    return rows.join(small_side(dropped, dropped.count(), 24), ["doc_id", "text_hash"], "left_anti").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
