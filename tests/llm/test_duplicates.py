@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,6 +178,9 @@ def test_edit_distance(seed):
                 row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
         assert line_dedup.edit_distance(a, b, 20) == row[-1]
         assert (line_dedup.edit_distance(a, b, 2) <= 2) == (row[-1] <= 2)
+        if a and b and abs(len(a) - len(b)) <= 4:
+            x, y = (np.array([ord(w) for w in words]) for words in (a, b))
+            assert line_dedup._banded(x, y, 4) == min(row[-1], 5)
 
 
 def test_block_pairs_cover_three_bits(spark):
