@@ -310,10 +310,22 @@ def shrink_plan(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
     return long.select("column", "min_value", "max_value", choice.otherwise(F.lit("bigint")).alias("shrunk_type"))
 
 
+def lossless_floats(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
+    """The double columns whose values are all single-precision numbers (NaN and null are); one pass for all columns."""
+    cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType) and f.name not in exclude]
+    out: list[str] = []
+    for chunk in _chunks(cols):
+        row = df.agg(*[F.count_if(~F.col(_q(c)).cast("float").cast("double").eqNullSafe(F.col(_q(c)))).alias(f"_c{i}")
+                       for i, c in enumerate(chunk)]).first()
+        out += [c for i, c in enumerate(chunk) if not row[i]]
+    return out
+
+
 def shrink_types(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
-    """Cast each integer column to the narrowest integer type holding its values."""
+    """Cast each integer column to the narrowest integer type holding its values, and each double column without
+    loss to float."""
     plan = {r["column"]: r["shrunk_type"] for r in shrink_plan(df, exclude).collect()}
-    return cast_columns(df, plan)
+    return cast_columns(df, {**plan, **{c: "float" for c in lossless_floats(df, exclude)}})
 
 
 # --------------------------------------------------------------------------

@@ -75,7 +75,7 @@ def build_case_table(base: DataFrame, families: Mapping[str, DataFrame], key: st
     """
     keys = base.select(key)
     rolled = {name: rollup(semi_join_keys(child, keys, key) if restrict_to_base else child, key,
-                           approx_nunique=approx_nunique) for name, child in families.items()}
+                           approx_nunique=approx_nunique, null_keys=not restrict_to_base) for name, child in families.items()}
     counts: dict[str, int] = {}
     for df in [base, *rolled.values()]:
         for c in df.columns:

@@ -22,7 +22,7 @@ with a huge history is combined map-side instead of landing in one task.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -127,13 +127,14 @@ def _sum_type(dtype: T.DataType) -> str:
 
 
 def rollup(df: DataFrame, key: str | Sequence[str] = "case_id", order_cols: Sequence[str] | None = None,
-           approx_nunique: bool = False) -> DataFrame:
+           approx_nunique: bool = False, null_keys: bool = True) -> DataFrame:
     """A1 / A4: roll-up of a child table to one row per ``key``.
 
     Numbers and dates are one hash aggregate over the whole row.  Category and ordinal columns take another way, so that
     exact distinct counts never multiply wide rows: they are unpivoted to (key, column, value), each distinct value is
     reduced map-side to its first and last place, and these few rows give first, last and the number of values.  Both
-    parts end up partitioned by the key and meet there.  Ties in the ordinal columns go to the smaller (first) or
+    parts end up partitioned by the key and meet there by plain equality, without another exchange; rows with a null key
+    are rolled up apart (``null_keys=False``: there are none, as behind a semi-join).  Ties in the ordinal columns go to the smaller (first) or
     larger (last) value; without ordinal columns every other column orders the rows.
 
     ``approx_nunique`` swaps the distinct counts for HyperLogLog++ sketches on very large histories; one aggregate then
@@ -149,14 +150,15 @@ def rollup(df: DataFrame, key: str | Sequence[str] = "case_id", order_cols: Sequ
         return df.groupBy(*keys).agg(*exprs)
     made = {f"{f.name}_{x}" for f in counted for x in ("first", "last", "nunique")}
     plain = [e for e, n in zip(exprs, names[len(keys):]) if n not in made]
-    numbers = df.groupBy(*keys).agg(*plain)
-    return numbers.join(_by_value(df, keys, counted, order), _same_keys(keys)).select(
-        *[F.col(f"`{k}`") for k in keys], *[F.col(f"`{n}`") for n in names[len(keys):]])
 
+    def both(part: DataFrame, same: Callable[[Column, Column], Column]) -> DataFrame:
+        met = reduce(lambda a, b: a & b, [same(F.col(f"`{k}`"), F.col(f"`_{k}`")) for k in keys])
+        return part.groupBy(*keys).agg(*plain).join(_by_value(part, keys, counted, order), met).select(
+            *[F.col(f"`{k}`") for k in keys], *[F.col(f"`{n}`") for n in names[len(keys):]])
 
-def _same_keys(keys: list[str]) -> Column:
-    """Equality of the keys on both sides, null keys included."""
-    return reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"`_{k}`")) for k in keys])
+    known = reduce(lambda a, b: a & b, [F.col(f"`{k}`").isNotNull() for k in keys])
+    whole = both(df.where(known), lambda a, b: a == b)
+    return whole.unionByName(both(df.where(~known), lambda a, b: a.eqNullSafe(b))) if null_keys else whole
 
 
 def _by_value(df: DataFrame, keys: list[str], columns: Sequence[T.StructField], order: Sequence[str]) -> DataFrame:

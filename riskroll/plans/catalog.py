@@ -171,8 +171,22 @@ ALLOWLIST = ["case_id", "target", "maininc_215A", "totalprice_3A_mean", "no_such
 
 @query("select_allowlist")
 def q_select_allowlist(spark, sf_dir):
-    """Keep the allow-listed features that exist (unknown names skipped)."""
-    return sources.select_allowlist(fx.build_base(spark, sf_dir), ALLOWLIST)
+    """Keep the features that exist of a name table (a sheet read from CSV; unknown names skipped)."""
+    path = boosting.shared_folder(spark, "allowlist")
+    sources.write_csv(spark.createDataFrame([(n,) for n in ALLOWLIST], "Feature_Name string").coalesce(1), path)
+    names = sources.allowlist_names(spark.read.schema("Feature_Name string").csv(path, header=True))
+    return sources.select_allowlist(fx.build_base(spark, sf_dir), names)
+
+
+@query("sink_round_trip")
+def q_sink_round_trip(spark, sf_dir):
+    """S5 + S6 + R8: the shuffled case table written as parquet and a part of it as CSV, both read back: every row with
+    its place in the parquet sink."""
+    base, path = fx.fx_base(spark, sf_dir), boosting.shared_folder(spark, "sink")
+    sources.write_parquet(sa.shuffle_rows(base.select("case_id", "target", "maininc_215A")), f"{path}/parquet")
+    sources.write_csv(base.select("case_id", "segment_1M", "date_decision"), f"{path}/csv")
+    rows = sources.read_in_order(spark, f"{path}/parquet")
+    return rows.join(spark.read.schema("case_id long, segment_1M string, date_decision date").csv(f"{path}/csv", header=True), "case_id")
 
 
 @query("project_features")
@@ -236,6 +250,18 @@ def q_shrink_types(spark, sf_dir):
     return clean.shrink_plan(clean_base(spark, sf_dir))
 
 
+@query("shrink_table")
+def q_shrink_table(spark, sf_dir):
+    """The shrunk table itself: every numeric column's type in it, its sum and its number of values."""
+    small = clean.shrink_types(clean_base(spark, sf_dir))
+    cols = clean.numeric_columns(small, ())
+    one = small.agg(*[F.sum(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)],
+                    *[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)])
+    types = dict(small.dtypes)
+    return one.selectExpr("stack({}, {}) as (`column`, type, total, n)".format(
+        len(cols), ", ".join(f"'{c}', '{types[c]}', s{i}, n{i}" for i, c in enumerate(cols))))
+
+
 @query("numeric_features")
 def q_numeric_features(spark, sf_dir):
     """The id plus every numeric column that may be a feature."""

@@ -426,6 +426,12 @@ _shrink = ("CASE WHEN min_value >= -128 AND max_value <= 127 THEN 'tinyint' "
 ORACLE["shrink_types"] = bb_sql(f"SELECT \"column\", min_value, max_value, {_shrink} AS shrunk_type FROM (\n" + _union([
     f"SELECT '{c}' AS \"column\", CAST(min({c}) AS BIGINT) AS min_value, CAST(max({c}) AS BIGINT) AS max_value FROM cb"
     for c in INT_COLS]) + "\n) t", extra=[CB_CTE])
+_int_type = _shrink.replace("min_value", "CAST(min({c}) AS BIGINT)").replace("max_value", "CAST(max({c}) AS BIGINT)")
+ORACLE["shrink_table"] = bb_sql(snapped(_union([
+    f"SELECT '{c}' AS \"column\", " + (_int_type.replace("{c}", c) if c in INT_COLS else
+    f"CASE WHEN count_if(CAST(CAST({c} AS FLOAT) AS DOUBLE) IS DISTINCT FROM {c}) = 0 THEN 'float' ELSE 'double' END")
+    + f" AS type, CAST(sum({c}) AS DOUBLE) AS total, count({c}) AS n FROM cb" for c in dict.fromkeys([*INT_COLS, *WINSOR_COLS])]),
+    ["total"]), extra=[CB_CTE])
 ORACLE["numeric_features"] = bb_sql(snapped("SELECT case_id, " + ", ".join(WINSOR_COLS) + " FROM cb",
                                             [c for c in BB_DOUBLES]), extra=[CB_CTE])
 
@@ -873,6 +879,72 @@ ORACLE["topk_features"] = bb_sql(snapped(
     "SELECT feature, auc, CAST(coalesce(auc, 0.5) < 0.65 AS INTEGER) AS keep FROM adv "
     "ORDER BY auc DESC NULLS LAST, feature LIMIT 20", ["auc"]), extra=_ADV)
 
+ORACLE["sink_round_trip"] = with_fixtures("SELECT case_id, target, maininc_215A, segment_1M, date_decision, "
+                                          + rank_u(None, "fx_base") + " AS position FROM fx_base", "fx_base")
+
+# ------------------------------------------------------------------ neighbours (all pairs here)
+_features = [c for c in WINSOR_COLS]
+_points = ("pts", "  SELECT case_id, target, " + ", ".join(f"{snap(c)} AS {c}" for c in _features) + " FROM cb")
+_distance = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in _features)
+
+
+def _near(name: str, where: str) -> tuple[str, str]:
+    return (name, f"  SELECT a.case_id, b.case_id AS neighbour, b.target, row_number() OVER (PARTITION BY a.case_id ORDER BY "
+                  f"{_distance}, b.case_id) AS rank FROM pts a JOIN pts b ON a.case_id <> b.case_id WHERE a.target = 1 {where} QUALIFY rank <= 5")
+
+
+_density = [CB_CTE, _points, _near("near_all", ""),
+            ("own", "  SELECT case_id, CAST(count_if(target = 0) AS BIGINT) AS majority, count(*) AS k FROM near_all GROUP BY case_id"),
+            ("due", "  SELECT CAST(greatest(0, trunc(count_if(target = 0) * CAST(0.5 AS DOUBLE) - count_if(target = 1))) AS DOUBLE) AS wanted, "
+                    "(SELECT sum(majority) FROM own) AS total FROM pts"),
+            ("density", "  SELECT case_id, majority, CAST(majority AS DOUBLE) / k AS share, "
+                        "CAST(coalesce(round_even(majority * wanted / nullif(CAST(total AS DOUBLE), 0), 0), 0) AS INTEGER) AS copies FROM own, due")]
+ORACLE["adasyn_density"] = bb_sql(snapped("SELECT case_id, majority, share, copies FROM density", ["share"]), extra=_density)
+_made = _density + [
+    _near("near_own", "AND b.target = 1"),
+    ("made", "  SELECT case_id, copy, CAST(case_id AS VARCHAR) || '-' || CAST(copy AS VARCHAR) AS name FROM "
+             "(SELECT case_id, unnest(range(1, copies + 1)) AS copy FROM density)"),
+    ("chosen", f"  SELECT m.case_id, m.copy, {u('m.name', '42-step')} / CAST(4294967296 AS DOUBLE) AS step, n.neighbour FROM made m "
+               "JOIN (SELECT case_id, max(rank) AS k FROM near_own GROUP BY case_id) c USING (case_id) "
+               f"JOIN near_own n ON n.case_id = m.case_id AND n.rank = {u('m.name', '42-near')} % c.k + 1")]
+ORACLE["adasyn"] = bb_sql(snapped("SELECT c.case_id, CAST(c.copy AS INTEGER) AS copy, c.neighbour, " + ", ".join(
+    f"a.{f} + c.step * (b.{f} - a.{f}) AS {f}" for f in _features) + " FROM chosen c JOIN pts a ON a.case_id = c.case_id "
+    "JOIN pts b ON b.case_id = c.neighbour", _features), extra=_made)
+
+# ------------------------------------------------------------------ lasso: coordinate descent on the Gram matrix
+_p = len(WINSOR_COLS)
+_list = lambda items: "[" + ", ".join(items) + "]"
+_LASSO = [CB_CTE, *_class_rank,
+          ("tr", "  SELECT cb.* FROM cb JOIN cr USING (case_id) WHERE rn > ceil(0.2 * nc)"),
+          ("va", "  SELECT cb.* FROM cb JOIN cr USING (case_id) WHERE rn <= ceil(0.2 * nc)"),
+          ("stat", "  SELECT avg(CAST(target AS DOUBLE)) AS my, " + ", ".join(
+              f"avg(CAST({c} AS DOUBLE)) AS m{i}, stddev_pop(CAST({c} AS DOUBLE)) AS s{i}" for i, c in enumerate(WINSOR_COLS)) + " FROM tr"),
+          ("z", "  SELECT CAST(target AS DOUBLE) AS y, " + ", ".join(
+              f"(CAST({c} AS DOUBLE) - m{i}) / CASE WHEN s{i} = 0 THEN 1 ELSE s{i} END AS z{i}" for i, c in enumerate(WINSOR_COLS)) + " FROM tr, stat"),
+          ("gram", "  SELECT " + _list(_list(f"avg(z{i} * z{j})" for j in range(_p)) for i in range(_p)) + " AS g, "
+           + _list(f"avg(z{i} * (y - my))" for i in range(_p)) + " AS b FROM z, (SELECT my FROM stat)"),
+          ("descent", f"""
+  WITH RECURSIVE d(step, w) AS (
+    SELECT 0, list_transform(range(0, {_p}), lambda i: CAST(0 AS DOUBLE))
+    UNION ALL
+    SELECT step + 1, list_concat(w[1:step % {_p}], [
+        CASE WHEN g[step % {_p} + 1][step % {_p} + 1] <= 0 THEN 0.0 ELSE
+          sign(b[step % {_p} + 1] - list_dot_product(g[step % {_p} + 1], w) + g[step % {_p} + 1][step % {_p} + 1] * w[step % {_p} + 1])
+          * greatest(abs(b[step % {_p} + 1] - list_dot_product(g[step % {_p} + 1], w)
+                         + g[step % {_p} + 1][step % {_p} + 1] * w[step % {_p} + 1]) - 0.005, 0.0) / g[step % {_p} + 1][step % {_p} + 1] END],
+        w[step % {_p} + 2:])
+    FROM d, gram WHERE step < {400 * _p})
+  SELECT w FROM d WHERE step = {400 * _p}""")]
+ORACLE["lasso_select"] = bb_sql(snapped(
+    "SELECT feature, coefficient, CAST(abs(coefficient) >= 1e-5 OR top < 1e-5 AS INTEGER) AS selected FROM (SELECT unnest("
+    + _list(f"'{c}'" for c in WINSOR_COLS) + ") AS feature, unnest(w) AS coefficient, list_max(list_transform(w, lambda x: abs(x))) AS top "
+    "FROM descent)", ["coefficient"]), extra=_LASSO)
+_lasso_score = "my + " + " + ".join(
+    f"w[{i + 1}] * (CAST({c} AS DOUBLE) - m{i}) / CASE WHEN s{i} = 0 THEN 1 ELSE s{i} END" for i, c in enumerate(WINSOR_COLS))
+ORACLE["lasso_score"] = bb_sql(snapped(
+    f"SELECT case_id, score, CAST(score >= 0.5 AS INTEGER) AS predicted_label, CAST(target AS INTEGER) AS actual_label FROM "
+    f"(SELECT case_id, target, {_lasso_score} AS score FROM va, stat, descent)", ["score"]), extra=_LASSO)
+
 # ------------------------------------------------------------------ streaming
 ORACLE["incremental_f1"] = with_fixtures(snapped("""
 SELECT tp, fp, fn, tn, pe AS precision_eps, re AS recall_eps, 2 * pe * re / (pe + re + 1e-8) AS f1_incremental

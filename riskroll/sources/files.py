@@ -137,6 +137,16 @@ def read_with_lineage(spark: SparkSession, paths: str | Sequence[str], fmt: str
     return with_src.join(ranks, "_src", "left").drop("_src")
 
 
+def read_in_order(spark: SparkSession, path: str, name: str = "position") -> DataFrame:
+    """A parquet sink's rows with their place in it (from 1): files by name, rows by their index in the file.
+
+    Sums over the files have one row per file; the rows are neither sorted nor shuffled."""
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    files = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    before = files.select("_file", (F.sum("_n").over(Window.orderBy("_file")) - F.col("_n")).alias("_before"))
+    return rows.join(before, "_file").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_file", "_at", "_before")
+
+
 # Fixed value: most names an allow-list sheet may hold.
 MAX_NAMES = 100_000
 

@@ -2,8 +2,11 @@
 
 import re
 
+import pytest
+
 from riskroll.operators import metrics as me, rollup as ru
 from riskroll.plans import fixtures as fx
+from riskroll.plans.catalog import QUERIES
 
 from conftest import SMALL
 
@@ -44,3 +47,18 @@ def test_ranking_and_metric_queries_only_partitioned_windows(spark):
             partition = spec.group(1) if spec else ""
             # the only unpartitioned window runs over the threshold grid (at most 1,001 rows)
             assert partition.strip() or "k#" in line, (name, line[:200])
+
+
+@pytest.mark.parametrize("name,most", [("build_base", 13), ("merge_stage", 19)])
+def test_roll_ups_meet_without_further_exchanges(spark, name, most):
+    """The two parts of a roll-up and the left joins use the partitioning by case that the aggregates made."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert "coalesce(case_id" not in plan
+    assert plan.count("Exchange hashpartitioning") <= most
