@@ -56,7 +56,7 @@ def text_of(batch: pa.RecordBatch) -> pa.Array:
     return batch.column("row").field("text")
 
 
-def pieces(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that one piece holds about ``max_bytes`` (at least one row, however long it is)."""
     for batch in batches:
         n = batch.num_rows

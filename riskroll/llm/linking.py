@@ -112,14 +112,13 @@ def links_within(members: DataFrame, compare: Compare, block_weight: int) -> Dat
     """
     totals = members.groupBy("cluster").agg(
         F.ceil(F.sum("weight") / block_weight).cast("int").alias("blocks"),
-        F.max(F.struct("degree", "node"))["node"].alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    totals = written(totals, "clusters")
-    n_clusters = totals.count()
-    placed = members.join(small_side(totals, n_clusters), "cluster").withColumn(
-        "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        F.max(F.struct("degree", "node"))["node"].alias("hub")).filter("blocks > 1")
+    totals = written(totals, "clusters")  # a row per block weight at most: all other clusters are one block
+    placed = members.join(small_side(totals, totals.count()), "cluster", "left").withColumn(
+        "blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     hubs = placed.filter(F.col("node") == F.col("hub")).withColumn("own", F.col("block")).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("block != own").drop("own")
-    names = [c for c in placed.columns if c not in ("cluster", "block", "blocks", "hub", "node", "weight", "degree", "n")]
+    names = [c for c in placed.columns if c not in ("cluster", "block", "blocks", "hub", "node", "weight", "degree")]
     node_type = members.schema["node"].dataType.simpleString()
     out = f"cluster {members.schema['cluster'].dataType.simpleString()}, block int, node {node_type}, inside boolean, a {node_type}, b {node_type}"
     arrow = members.select("cluster", F.lit(0).alias("block"), "node", F.lit(True).alias("inside"),
