@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from riskroll.functions.exprs import hash_uniform
 from riskroll.operators import sampling
-from riskroll.session import ensure_checkpoint_dir
+from riskroll.session import ensure_checkpoint_dir, ship_package
 
 # Fixed values
 ADASYN_NEIGHBOURS = 5
@@ -73,6 +73,7 @@ def nearest(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The ``k`` nearest ``points`` (id long, x array<double>) of every query (same columns), a point of its own id
     left out: ``query, rank, neighbour, distance2``; fewer where there are fewer points."""
     spark = points.sparkSession
+    ship_package(spark)
     of_vector = Window.partitionBy("x").orderBy("id")
     points = _kept(points.withColumn("_n", F.row_number().over(of_vector)).where(F.col("_n") <= k + 1).drop("_n"))
     n = points.count()
