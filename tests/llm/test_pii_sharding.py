@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 import pytest
@@ -101,3 +102,29 @@ def test_hypergeometric_inversion(spark):
     edge = spark.range(1).select(*[sharding.hypergeometric(*(F.lit(x).cast("long") for x in t), F.lit(0.5)).alias(f"c{i}")
                                    for i, t in enumerate([(0, 0, 0), (5, 0, 3), (5, 5, 3), (5, 2, 0), (5, 2, 5)])]).first()
     assert list(edge) == [0, 0, 3, 0, 2]
+
+
+def test_sharding_query_columns(spark, tmp_path):
+    """Every column of the query against Python; all rows once, slots gapless, counts at most one apart."""
+    texts = [None, "", "a", "é\U0001F600", "x" * 50_000, *["copy"] * 70, *[f"text {i}" for i in range(25)]]
+    df = spark.createDataFrame([(i if i % 10 else None, t, 7) for i, t in enumerate(texts)],
+                               "doc_id long, text string, slot int").repartition(5)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = sharding.query(spark, str(tmp_path)).collect()
+    want = Counter((i if i % 10 else None, len((t or "").encode()) + 8, zlib.crc32((t or "").encode()))
+                   for i, t in enumerate(texts))
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == want
+    assert {(r.law, r.grown_shard) for r in rows} == {("rows", None)}
+    slots = {s: sorted(r.slot for r in rows if r.shard == s) for s in range(24)}
+    assert all(v == list(range(len(v))) for v in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
+def test_scan_and_bisection(spark):
+    """Running sums over several runs of the array, and the first end beyond a place."""
+    row = spark.range(1).select(sharding._scan(F.sequence(F.lit(1), F.lit(200)), F.lit(0).cast("long"), lambda a, n: F.struct(
+        (a + n).cast("long").alias("state"), (a + n).cast("long").alias("out"))).alias("sums")).first()
+    assert row.sums == [i * (i + 1) // 2 for i in range(1, 201)]
+    ends = [0, 3, 3, 7, 8]
+    got = spark.range(8).select(sharding._covering(F.array(*map(F.lit, ends)), F.col("id"), len(ends)).alias("c")).collect()
+    assert [r.c for r in got] == [sum(e <= i for e in ends) for i in range(8)]
