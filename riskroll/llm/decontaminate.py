@@ -5,8 +5,8 @@ belong to words).  A window is 13 consecutive words of an item; an item of fewer
 A document word inside any occurrence of a window is hit.
 
 How it scales: documents are read once and never shuffled; a task holds a few MB of text.  The benchmark is broadcast
-only in blocks of at most ``block_bytes`` of text (its size is counted first), one scan per block, so its size is not
-bounded by memory.  Candidate windows are found by a 64-bit rolling hash over runs of benchmark words and verified
+only in blocks of at most ``block_bytes`` of text of distinct items (counted first; one item alone may be larger), one
+scan per block, so its size is not bounded by memory.  Candidate windows are found by a 64-bit rolling hash over runs of benchmark words and verified
 word by word.
 
 Defined results: null text has no words; an empty benchmark or table gives no hits; repeated items count once per
@@ -20,7 +20,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import pieces, segment_sums, table, text_of, utf8, whole_rows, written
@@ -126,19 +126,48 @@ def _scan_block(df: DataFrame, items: list[tuple[str, bytes]], window: int) -> D
     return df.mapInArrow(scan, df.schema)
 
 
+def _blocks(items: DataFrame, block_bytes: int) -> list[Column]:
+    """Conditions that cut distinct ``items`` (item, text) into blocks of at most ``block_bytes`` of text each.
+
+    Hash classes are counted first and put together up to the bound; a class beyond it is cut finer until it holds one
+    item alone.  The driver sees class sizes only, a few per block."""
+    key = F.xxhash64("item", "text")
+    size = F.octet_length("text").cast("long")
+    total = items.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    if total <= block_bytes:
+        return [F.lit(True)]
+    classes, blocks = 4 * (total // block_bytes + 1), []
+    open_classes = [(classes, r[0], r[1], r[2]) for r in items.groupBy(F.pmod(key, F.lit(classes))).agg(
+        F.sum(size), F.count("*")).collect()]
+    condition, held = None, 0
+    while open_classes:
+        modulus, remainder, weight, n = open_classes.pop()
+        own = F.pmod(key, F.lit(modulus)) == remainder
+        if weight > block_bytes and n > 1:
+            open_classes += [(8 * modulus, r[0], r[1], r[2]) for r in items.filter(own).groupBy(
+                F.pmod(key, F.lit(8 * modulus))).agg(F.sum(size), F.count("*")).collect()]
+            continue
+        if condition is not None and held + weight > block_bytes:
+            blocks.append(condition)
+            condition, held = None, 0
+        condition, held = own if condition is None else condition | own, held + weight
+    return blocks + [condition]
+
+
 def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
-                   block_bytes: int = 64 << 20) -> DataFrame:
-    """Per row of ``docs`` (needs ``text``): ``row`` (the whole input row), n_words, spans (hit word ranges), items."""
+                   block_bytes: int = 8 << 20) -> DataFrame:
+    """Per row of ``docs`` (needs ``text``): ``row`` (the whole input row), n_words, spans (hit word ranges), items.
+
+    An index takes some 50 bytes a byte of benchmark text in every worker: about 400 MB for a block of 8 MB."""
     spans = "array<struct<start:int,end:int>>"
     df = whole_rows(docs).withColumns({
         "n_words": F.lit(None).cast("long"), "spans": F.array().cast(spans), "items": F.array().cast("array<string>")})
-    blocks = 1 + int(benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"),
-                             F.coalesce("text", F.lit("")).alias("text"))
-    for b in range(blocks):  # one block but for a benchmark beyond block_bytes
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
-        df = _scan_block(df, [(r.item, r.text.encode()) for r in part.collect()], window)
-        if b + 1 < blocks:
+                             F.coalesce("text", F.lit("")).alias("text")).distinct()
+    blocks = _blocks(items, block_bytes)
+    for b, condition in enumerate(blocks):  # one block but for a benchmark beyond block_bytes
+        df = _scan_block(df, [(r.item, r.text.encode()) for r in items.filter(condition).collect()], window)
+        if b + 1 < len(blocks):
             df = written(df, "decontaminate")
     return df
 

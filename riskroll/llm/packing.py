@@ -121,10 +121,13 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``items`` (a written table with a ``length`` of 1 to capacity) with sequence_id and offset added."""
+    """``items`` (with a ``length`` of 1 to capacity; written here once) with sequence_id and offset added.
+
+    The order within a length, and so its split over tasks, is a hash of a row's place in its partition, not of its
+    content: repeated rows spread like any others."""
     salts = max(1, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    salted = items.select(F.struct("*").alias("row"), F.col("length").cast("int").alias("size"),
-                          F.xxhash64(*[c for c in ("doc_id", "piece", "length") if c in items.columns]).alias("tie"))
+    salted = written(items.select(F.struct("*").alias("row"), F.col("length").cast("int").alias("size"),
+                                  F.xxhash64(F.monotonically_increasing_id()).alias("tie")), "pieces")
     salted = salted.withColumn("salt", F.pmod("tie", F.lit(salts)).cast("int"))
     by_salt = salted.groupBy("size", "salt").count()
     histogram = {r[0]: r[1] for r in bounded_collect(by_salt.groupBy("size").agg(F.sum("count").alias("n")), capacity,
@@ -133,8 +136,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         raise ValueError(f"lengths must be 1 to {capacity}")
     ahead = by_salt.select("size", "salt", (F.sum("count").over(Window.partitionBy("size").orderBy("salt"))
                                             - F.col("count")).alias("ahead"))
-    order = [F.col("tie"), *[F.col(f"row.`{c}`") for c in ("doc_id", "piece", "start") if c in items.columns]]
-    ranked = (salted.withColumn("place", F.row_number().over(Window.partitionBy("size", "salt").orderBy(*order)) - 1)
+    ranked = (salted.withColumn("place", F.row_number().over(Window.partitionBy("size", "salt").orderBy("tie")) - 1)
               .join(ahead, ["size", "salt"]).select("row", "size", (F.col("ahead") + F.col("place")).alias("rank")))
     shared = items.sparkSession.sparkContext.broadcast(run_table(plan_bins(histogram, capacity)))
 
@@ -159,7 +161,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID,
                    keep_ids: bool = False) -> DataFrame:
     """Tokenize, cut and pack whole documents; with ``keep_ids`` each piece carries its ids."""
-    return pack(written(token_pieces(docs, tokenizer, capacity, end_id, keep_ids), "pieces"), capacity)
+    return pack(token_pieces(docs, tokenizer, capacity, end_id, keep_ids), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -47,10 +47,17 @@ def labelled_sample(labels: DataFrame, label: str, train: Column, rows: int, see
         known.filter("label = 0").orderBy(key, "doc_id").limit(rows))
 
 
-def sampled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """label and text of the sampled rows, written once; ``sample`` has its bound by construction."""
+def sampled_texts(docs: DataFrame, sample: DataFrame, rows: int) -> DataFrame:
+    """label and text of at most ``rows`` documents of each label whose doc_id is in ``sample``, by hash order; written
+    once.  The bound holds for documents too: a doc_id that many rows carry doesn't widen the sample."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return written(texts.join(F.broadcast(sample), "doc_id"), "labelled")
+    found = texts.join(F.broadcast(sample), "doc_id")
+    # a look at the doubled ids only, so that texts are sorted where there are any
+    if docs.select("doc_id").join(F.broadcast(sample), "doc_id").count() > sample.count():
+        key = F.xxhash64("doc_id", "text")
+        found = found.filter("label = 1").orderBy(key, "text").limit(rows).union(
+            found.filter("label = 0").orderBy(key, "text").limit(rows)).repartition(16)
+    return written(found, "labelled")
 
 
 class Compressors:
@@ -133,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> Mode
     spark = docs.sparkSession
     train = ~held_out(F.col("doc_id")) if train is None else train
     for_dictionary = F.xxhash64(F.lit(11), "doc_id") % 2 == 0
-    first = sampled_texts(docs, labelled_sample(labels, "quality", train & for_dictionary, DICTIONARY_ROWS, 1))
+    first = sampled_texts(docs, labelled_sample(labels, "quality", train & for_dictionary, DICTIONARY_ROWS, 1), DICTIONARY_ROWS)
 
     def make(batches):
         import pandas as pd
@@ -151,7 +158,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> Mode
 
     keyed = first.withColumn("key", F.xxhash64("doc_id", "text"))
     trained = {r.label: bytes(r.data) for r in keyed.repartition(1).sortWithinPartitions("label", "key").mapInPandas(make, "label int, data binary").collect()}
-    second = sampled_texts(docs, labelled_sample(labels, "quality", train & ~for_dictionary, CALIBRATION_ROWS // 2, 2))
+    second = sampled_texts(docs, labelled_sample(labels, "quality", train & ~for_dictionary, CALIBRATION_ROWS // 2, 2),
+                           CALIBRATION_ROWS // 2)
     none = np.zeros(0)
     if len(trained) < 2:
         count, share = second.agg(F.count("*"), F.avg("label")).first()

@@ -201,7 +201,7 @@ def _votes(docs: DataFrame, lexicon) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> Model:
     spark = docs.sparkSession
     train = ~held_out(F.col("doc_id"), FOLDS, HELD_OUT) if train is None else train
-    lexicon = Lexicon.learn(sampled_texts(docs, labelled_sample(labels, "toxic", train, SAMPLE_ROWS, 3)))
+    lexicon = Lexicon.learn(sampled_texts(docs, labelled_sample(labels, "toxic", train, SAMPLE_ROWS, 3), SAMPLE_ROWS))
     votes = written(_votes(docs, spark.sparkContext.broadcast(lexicon)), "votes")
     patterns = bounded_collect(votes.groupBy("votes").agg(F.sum("n").alias("n")), 1 << VOTERS, "vote patterns")
     none = Model(lexicon, np.array([0.0] * FEATURES + [-30.0]))

@@ -57,3 +57,13 @@ def test_label_model_recovers_accuracies():
     model = toxicity.LabelModel(masks.astype(np.int64), counts.astype(float))
     assert np.abs(model.rate[1][:4] - 0.6).max() < 0.08 and model.rate[0][:4].max() < 0.06
     assert model.weight[4] < 0.75 and model.weight[0] < 0.75  # copies share their weight
+
+
+def test_a_doubled_id_does_not_widen_the_sample(spark):
+    docs = spark.range(3000).select(F.when(F.col("id") < 1000, 7).otherwise(F.col("id")).alias("doc_id"),
+                                    F.concat(F.lit("text "), F.col("id")).alias("text"))
+    sample = spark.createDataFrame([(7, 1), (1500, 1), (1501, 0), (99_999, 0)], "doc_id long, label int")
+    got = quality.sampled_texts(docs, sample, 20).collect()
+    assert sum(r.label for r in got) == 20 and [r.text for r in got if not r.label] == ["text 1501"]
+    plain = quality.sampled_texts(docs.filter("doc_id != 7"), sample, 20).collect()
+    assert sorted(r.doc_id for r in plain) == [1500, 1501]

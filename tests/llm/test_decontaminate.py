@@ -48,3 +48,13 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [tuple(r)[:4] for r in d.report(docs, none).collect()] == [(1, 3, 0, 0)]
     assert d.report(docs.limit(0), none).collect() == []
+
+
+def test_blocks_hold_distinct_items_up_to_their_bound(spark):
+    """Every distinct item is in one block; none is over the bound but for a single item larger than it."""
+    texts = [f"{'w' * (i % 40)} item {i}" for i in range(200)] + ["same text"] * 500 + ["long " * 100]
+    items = spark.createDataFrame([(str(i % 50), t) for i, t in enumerate(texts)], "item string, text string").distinct()
+    blocks = [items.filter(c).collect() for c in d._blocks(items, 300)]
+    assert sorted(map(tuple, items.collect())) == sorted(tuple(r) for b in blocks for r in b)
+    assert all(len(b) == 1 or sum(len(r.text) for r in b) <= 300 for b in blocks)
+    assert len(d._blocks(items, 1 << 20)) == 1

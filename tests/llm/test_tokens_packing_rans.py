@@ -6,6 +6,8 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from riskroll.llm import packing, rans
 from riskroll.llm.common import ship, shared_path
 from riskroll.llm.tokens import Encoder, default_path
@@ -140,3 +142,14 @@ def test_empty_tables(spark):
     path = shared_path(spark, "test-rans-empty")
     rans.write(none, path)
     assert rans.read(spark, path).collect() == []
+
+
+def test_repeated_rows_are_dealt_over_the_salts(spark):
+    """Equal rows (and null ids) of one length don't meet in one task, and each gets a place of its own."""
+    items = spark.range(0, 4000, 1, 4).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"),
+                                              F.lit(100).alias("length"))
+    ties = spark.range(0, 4000, 1, 4).select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(8)).alias("salt"))
+    assert ties.groupBy("salt").count().agg(F.max("count")).first()[0] < 700
+    rows = packing.pack(items).collect()
+    assert len({(r.sequence_id, r.offset) for r in rows}) == 4000
+    assert len({r.sequence_id for r in rows}) == 400
