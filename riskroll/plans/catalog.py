@@ -160,9 +160,10 @@ def q_union_relaxed(spark, sf_dir):
 
 @query("csv_lineage")
 def q_csv_lineage(spark, sf_dir):
-    """Several files read as one frame with ``file_name = file_{rank}`` lineage."""
-    return sources.read_with_lineage(spark, [f"{sf_dir}/orders.parquet", f"{sf_dir}/customer.parquet"],
-                                     fmt="parquet")
+    """A folder of CSV files (customers, a file per nation) read as one frame with ``file_name = file_{rank}``."""
+    customer, path = spark.read.parquet(f"{sf_dir}/customer.parquet"), boosting.shared_folder(spark, "csv-lineage")
+    customer.withColumn("nation", F.col("c_nationkey")).repartition("nation").write.partitionBy("nation").csv(path, header=True)
+    return sources.read_with_lineage(spark, path, schema=customer.schema, recursiveFileLookup="true")
 
 
 ALLOWLIST = ["case_id", "target", "maininc_215A", "totalprice_3A_mean", "no_such_feature",

@@ -387,9 +387,9 @@ UNION ALL BY NAME
 SELECT case_id, num_group1, totalprice_3A, priority_5M, CAST(items_6L AS INTEGER) AS items_6L, shard
 FROM fx_depth1 WHERE shard = 2""", ["totalprice_3A"]), "fx_depth1")
 ORACLE["csv_lineage"] = """
-SELECT *, 'file_2.parquet' AS file_name FROM orders
-UNION ALL BY NAME
-SELECT *, 'file_1.parquet' AS file_name FROM customer"""
+SELECT c.*, 'file_' || f.rank || '.csv' AS file_name FROM customer c JOIN (
+  SELECT c_nationkey, row_number() OVER (ORDER BY 'nation=' || c_nationkey || '/') AS rank
+  FROM (SELECT DISTINCT c_nationkey FROM customer)) f USING (c_nationkey)"""
 ORACLE["select_allowlist"] = bb_sql(snapped(
     "SELECT case_id, target, maininc_215A, totalprice_3A_mean, amount_7A_std, d1_record_count FROM bb",
     ["totalprice_3A_mean", "amount_7A_std"]))
