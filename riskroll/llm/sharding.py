@@ -26,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import shared_path, table, written
 
 BLOCK_ROWS = 1 << 16
 _LOCAL = (1 << 33) - 1
@@ -153,7 +153,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int, seed: int = 20261, block_r
     local = (number.withColumn("key", F.xxhash64(F.lit(seed), "id")).sortWithinPartitions("key", "id")
              .withColumn("place", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL)))
              .select("row", "id", F.shiftright("id", 33).alias("part"), "place"))
-    local = written(local, "shards-local")
+    local = written(local, "shards-local", compression="zstd")  # whole rows: the copy on disk is kept small
     counts = local.groupBy("part").agg(F.count("*").alias("n"))
     total, partitions = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     if not total:
@@ -175,10 +175,19 @@ def shuffle_into_shards(docs: DataFrame, shards: int, seed: int = 20261, block_r
         "row", "shard", (F.col("before") + F.col("n")).cast("long").alias("slot"))
 
 
+def write_shards(docs: DataFrame, shards: int, seed: int = 20261, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The shuffle as files, a folder per shard in the shared folder: ``row`` (whole), slot and shard as read back."""
+    dealt = shuffle_into_shards(docs, shards, seed, block_rows).select("row", "slot", "shard")
+    path = shared_path(docs.sparkSession, "shards")
+    dealt.write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(dealt.schema).parquet(path)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op10: all documents shuffled uniformly into 24 shards whose counts differ by at most one."""
-    docs = table(spark, sf_dir, "documents", "doc_id", "text").select(
-        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
-        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
-    return shuffle_into_shards(docs, 24).select("row.*", F.lit("rows").alias("law"), "shard", "slot",
-                                                F.lit(None).cast("int").alias("grown_shard"))
+    """op10: all documents, whole, shuffled uniformly into 24 shards whose counts differ by at most one; sizes and
+    checksums are those of the texts in the shards' files."""
+    text = F.col("row.text")
+    return write_shards(table(spark, sf_dir, "documents"), 24).select(
+        "row.doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
+        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))

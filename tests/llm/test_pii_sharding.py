@@ -152,6 +152,26 @@ def test_sharding_query_columns(spark, tmp_path):
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
 
 
+def test_shards_hold_whole_documents(spark, tmp_path, monkeypatch):
+    """The query shuffles every column of the documents and reads its digests from the shards' files."""
+    df = spark.createDataFrame([(i, f"text {i % 7}" if i % 5 else None, "en", i * 2) for i in range(100)],
+                               "doc_id long, text string, lang string, slot int").repartition(3)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    shuffled, shuffle = [], sharding.shuffle_into_shards
+
+    def seen(docs, *args, **options):
+        shuffled.append(docs.columns)
+        return shuffle(docs, *args, **options)
+
+    monkeypatch.setattr(sharding, "shuffle_into_shards", seen)
+    assert sharding.query(spark, str(tmp_path)).count() == 100
+    assert shuffled == [df.columns]
+    shards = sharding.write_shards(df, 3)
+    assert Counter(r.row for r in shards.collect()) == Counter(df.collect())
+    assert {f.rsplit("/", 2)[1] for f in shards.inputFiles()} == {"shard=0", "shard=1", "shard=2"}
+    assert sharding.write_shards(df.limit(0), 3).count() == 0
+
+
 def test_scan_and_bisection(spark):
     """Running sums over several runs of the array, and the first end beyond a place."""
     row = spark.range(1).select(sharding._scan(F.sequence(F.lit(1), F.lit(200)), F.lit(0).cast("long"), lambda a, n: F.struct(
