@@ -235,3 +235,15 @@ def test_lines_of_edit_similarity_are_linked(spark):
     got = {r.doc_id: r["first"].doc_id for r in line_dedup.decisions(df).collect()}
     assert sum(i != f for i, f in expected.items()) > 200
     assert got == expected
+
+
+def test_common_words_count_every_document(spark, monkeypatch):
+    """The order of words follows the lines of all documents, however many there are."""
+    monkeypatch.setattr(line_dedup, "SAMPLE_DOCS", 10, raising=False)
+    monkeypatch.setattr(line_dedup, "COUNTED_AT_ONCE", 5, raising=False)
+    texts = [f"all all\nhalf{i % 2} n{i}" for i in range(60)] + [None, ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    assert len(line_dedup.common_words(docs)) == 3
+    first = line_dedup.common_words(docs)[0]
+    h, _ = line_dedup.word_hashes(b"all")
+    assert first == h[0] >> np.uint64(64 - line_dedup._WORD_BITS)
