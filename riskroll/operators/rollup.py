@@ -153,7 +153,8 @@ def rollup(df: DataFrame, key: str | Sequence[str] = "case_id", order_cols: Sequ
 
     def both(part: DataFrame, same: Callable[[Column, Column], Column]) -> DataFrame:
         met = reduce(lambda a, b: a & b, [same(F.col(f"`{k}`"), F.col(f"`_{k}`")) for k in keys])
-        return part.groupBy(*keys).agg(*plain).join(_by_value(part, keys, counted, order), met).select(
+        # both sides hold every key: as a left join the optimiser leaves it out where only numbers and dates are wanted
+        return part.groupBy(*keys).agg(*plain).join(_by_value(part, keys, counted, order), met, "left").select(
             *[F.col(f"`{k}`") for k in keys], *[F.col(f"`{n}`") for n in names[len(keys):]])
 
     known = reduce(lambda a, b: a & b, [F.col(f"`{k}`").isNotNull() for k in keys])

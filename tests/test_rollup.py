@@ -122,3 +122,14 @@ def test_approx_nunique_close_and_without_expand(spark):
     for k in exact:
         assert abs(approx[k] - exact[k]) <= max(1, 0.05 * exact[k])
     assert "Expand" not in approx_df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_distinct_values_only_where_wanted(spark):
+    """Aggregates of numbers alone don't wait for the distinct values of the categories and ordinals."""
+    df = rows(spark, [(i % 4, i, float(i), None, str(i % 37), i, None, 0) for i in range(400)], SCHEMA)
+
+    def plan(*columns):
+        return ru.rollup(df, null_keys=False).select("case_id", *columns)._jdf.queryExecution().executedPlan().toString()
+
+    assert "Join" not in plan("amt_1A_mean", "cnt_4L_sum")
+    assert "Join" in plan("amt_1A_mean", "cat_3M_first")
