@@ -217,7 +217,7 @@ def q_null_profile(spark, sf_dir):
 @query("drop_sparse")
 def q_drop_sparse(spark, sf_dir):
     """Drop columns more than 80% null."""
-    return clean.drop_sparse(fx.build_base(spark, sf_dir))
+    return clean.drop_sparse(merged(spark, sf_dir))  # merged once: the null counts and the result both read it
 
 
 @query("sentinel_null")
