@@ -2,7 +2,8 @@
 
 Byte-level BPE works on pre-tokens, and a single space or line feed between two non-space characters always starts a
 new pre-token.  So a text without other white space is cut there, and each distinct chunk is tokenized once per worker
-and then taken from a bounded cache; any other text is tokenized whole.  The ids are those of
+and then taken from a bounded cache of two generations (a full one becomes the old one, whose chunks move on when they
+are met again, so frequent chunks are never tokenized again); any other text is tokenized whole.  The ids are those of
 ``Tokenizer.encode(text, add_special_tokens=False)`` (tests compare them), at several times its speed.
 """
 
@@ -16,7 +17,9 @@ import numpy as np
 
 #: White space other than space and line feed, and the cut mark itself.
 _OTHER_SPACE = re.compile("[\x00\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-CACHE_CHUNKS = 300_000
+#: Chunks of one generation of the cache and their characters: both together take about 200 MB.
+CACHE_CHUNKS = 600_000
+CACHE_CHARACTERS = 10_000_000
 
 
 def _plain(text: str) -> bool:
@@ -50,6 +53,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
         self.newline = self._whole(["\n"])[0]
         vocabulary = self.tokenizer.get_vocab()
         self.token_bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
@@ -61,6 +66,13 @@ class Encoder:
         return [np.array(e.ids, dtype="<u4").tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _recall(self, chunks: set[str]) -> set[str]:
+        """Take chunks of the old generation over; those in neither."""
+        old = self.old
+        found = [c for c in chunks if c in old]
+        self.cache.update(zip(found, map(old.__getitem__, found)))
+        return chunks.difference(found)
+
     def _learn(self, chunks: set[str]) -> None:
         """Cache unseen chunks.  A mark after a letter is a pre-token of its own, so such chunks share their stem.
 
@@ -69,7 +81,7 @@ class Encoder:
         """
         known, marks = self.cache, self.marks
         ended = [c for c in chunks if c[-1] in marks and c[-2:-1].isalpha()]
-        rest = {c[:-1] for c in ended}.union(chunks.difference(ended)).difference(known)
+        rest = self._recall({c[:-1] for c in ended}.union(chunks.difference(ended)).difference(known))
         spaced = [c for c in rest if c[0] == " " and c[1:].isalpha()]
         for part in (spaced[i:i + 4000] for i in range(0, len(spaced), 4000)):
             ids = self._whole(["".join(part)])[0]
@@ -95,13 +107,14 @@ class Encoder:
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, as bytes of unsigned 32-bit integers."""
         cut = [t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if _plain(t) else None for t in texts]
+        if len(self.cache) > CACHE_CHUNKS or self.held > CACHE_CHARACTERS:
+            self.old, self.cache, self.held = self.cache, {}, 0
         known = self.cache
-        if len(known) > CACHE_CHUNKS:
-            known.clear()
-            known["\n"], known[""] = self.newline, b""
         known.setdefault("\n", self.newline)
         known.setdefault("", b"")
         new = set().union(*(c for c in cut if c is not None)).difference(known)
+        self.held += sum(map(len, new))
+        new = self._recall(new)
         if new:
             self._learn(new)
         get = known.__getitem__

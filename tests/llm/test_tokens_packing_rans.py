@@ -8,7 +8,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from riskroll.llm import packing, rans
+from riskroll.llm import packing, rans, tokens
 from riskroll.llm.common import ship, shared_path
 from riskroll.llm.tokens import Encoder, default_path
 
@@ -44,6 +44,27 @@ def test_encoder_equals_tokenizer():
     assert got == [t._whole([x])[0] for x in texts]
 
 
+def test_full_cache_keeps_what_is_met_again(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_CHUNKS", 40)
+    encoder, learned, whole = Encoder(default_path()), [], Encoder._whole
+    monkeypatch.setattr(encoder, "_whole", lambda texts: learned.extend(texts) or whole(encoder, texts))
+    for i in range(60):
+        text = "the frequent words, again.\nand " + " ".join(f"w{i}x{j}" for j in range(15))
+        learned.clear()
+        assert list(encoder.encode([text])) == whole(encoder, [text])
+        assert not i or not any("frequent" in x or "again" in x for x in learned)
+        assert len(encoder.cache) + len(encoder.old) < 150
+
+
+def test_cache_of_long_chunks_is_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_CHARACTERS", 1000)
+    encoder = Encoder(default_path())
+    for i in range(40):
+        text = f"{i}" + "ab" * 300 + " end"
+        assert list(encoder.encode([text])) == encoder._whole([text])
+        assert sum(map(len, [*encoder.cache, *encoder.old])) < 5000
+
+
 def test_pieces_and_packing(spark, docs):
     rows = packing.pack_documents(docs, keep_ids=True).collect()
     by_doc = {}
