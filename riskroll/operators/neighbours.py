@@ -8,6 +8,7 @@ exclude: for a point s in the cell of pivot p with query q and bound U,
 * |d(q, p) - d(s, p)| <= U, compared with the block's smallest and largest distance to p, and
 * (d(q, p) - d(q, own pivot)) / 2 <= U.
 
+Inside a block a matrix product leaves out the points that are surely farther than the k-th; only the rest is measured.
 Bounds are widened by a relative 1e-9; distances themselves are squared differences summed in the order of the
 features, so that another engine gets the same numbers.  Ties go to the smaller id.
 
@@ -40,6 +41,8 @@ BLOCK = 4096
 QUERIES_A_TASK = 65_536
 _SHIFT = BLOCK.bit_length() - 1
 SLACK = 1e-9
+#: Squared length up to which no product overflows.
+LONGEST = 1e300
 
 
 def _kept(df: DataFrame) -> DataFrame:
@@ -174,16 +177,37 @@ def _searched(wanted: DataFrame, placed: DataFrame, k: int, schema: str) -> Data
     return met.mapInArrow(run, schema)
 
 
+def _candidates(queries: np.ndarray, points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of query and point of all pairs that can be among a query's k nearest, one point more left aside.
+
+    A matrix product gives every squared distance within ``error``; only pairs within it of the (k + 1)-th smallest
+    are kept (one may be the query itself)."""
+    lengths = [np.einsum("ij,ij->i", v, v) for v in (queries, points)]
+    if len(points) <= k + 1 or not all((n < LONGEST).all() for n in lengths):
+        row, col = np.indices((len(queries), len(points)))
+        return row.ravel(), col.ravel()
+    rough = queries @ points.T  # less the query's squared length, which is the same for all points
+    rough *= -2.0
+    rough += lengths[1]
+    error = 4 * (points.shape[1] + 8) * np.finfo(float).eps * (lengths[0] + lengths[1].max()) + np.finfo(float).tiny
+    bound = np.partition(rough, k, axis=1)[:, k] + 4 * error
+    return np.nonzero(rough <= bound[:, None])
+
+
 def _top(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, points: np.ndarray, k: int) -> pa.RecordBatch:
-    d2 = squared(queries, points)
-    d2[query_ids[:, None] == ids[None, :]] = np.inf
-    kth = np.partition(d2, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
-    row, col = np.nonzero((d2 <= kth[:, None]) & np.isfinite(d2))
-    order = np.lexsort((ids[col], d2[row, col], row))
-    row, col = row[order], col[order]
+    row, col = _candidates(queries, points, k)
+    other = query_ids[row] != ids[col]
+    row, col = row[other], col[other]
+    d2 = np.zeros(len(row))
+    for j in range(points.shape[1]):  # the same sums as in ``squared``
+        diff = queries[row, j] - points[col, j]
+        d2 += diff * diff
+    order = np.lexsort((ids[col], d2, row))
+    order = order[np.isfinite(d2[order])]
+    row, col, d2 = row[order], col[order], d2[order]
     place = np.arange(len(row)) - np.searchsorted(row, row)
-    row, col = row[place < k], col[place < k]
-    return pa.RecordBatch.from_arrays([pa.array(query_ids[row], pa.int64()), pa.array(ids[col], pa.int64()), pa.array(d2[row, col])],
+    row, col, d2 = row[place < k], col[place < k], d2[place < k]
+    return pa.RecordBatch.from_arrays([pa.array(query_ids[row], pa.int64()), pa.array(ids[col], pa.int64()), pa.array(d2)],
                                       names=["query", "neighbour", "distance2"])
 
 

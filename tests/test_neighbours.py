@@ -44,6 +44,22 @@ def test_nearest_equals_all_pairs(spark, monkeypatch, kind):
     check(spark, ids, xs, [10_000 + i for i in range(20)], rng.random((20, d)) * xs.max())  # queries that aren't points
 
 
+@pytest.mark.parametrize("kind", ["uniform", "far", "copies", "huge", "infinite"])
+def test_block_measures_only_what_can_be_near(kind):
+    rng = np.random.default_rng(5)
+    points = {"uniform": rng.random((500, 7)) * 1e5, "far": 1e9 + rng.random((500, 7)), "copies": rng.integers(0, 2, (500, 7)) * 1.5,
+              "huge": rng.random((500, 7)) * 1e160, "infinite": np.where(rng.random((500, 7)) < 0.01, np.inf, rng.random((500, 7)))}[kind]
+    ids = rng.permutation(500)
+    with np.errstate(all="ignore"):
+        got = nb._top(ids[:60], points[:60], ids, points, 5).to_pydict()
+        d2 = nb.squared(points[:60], points)
+        row, _ = nb._candidates(points[:60], points, 5)
+    want = [(int(ids[q]), int(i), d) for q in range(60) for d, i in sorted(
+        (d, i) for d, i in zip(d2[q], ids) if i != ids[q] and np.isfinite(d))[:5]]
+    assert list(zip(got["query"], got["neighbour"], got["distance2"])) == want
+    assert kind != "uniform" or len(row) < 60 * 8
+
+
 def test_few_points(spark):
     xs = np.array([[0.0], [1.0], [1.0], [5.0]])
     check(spark, range(4), xs, range(4), xs)
