@@ -1,6 +1,7 @@
 """Near-duplicate documents and lines against direct comparison of all pairs."""
 
 import random
+import time
 
 import numpy as np
 
@@ -183,6 +184,29 @@ def test_edit_distance(seed):
             assert line_dedup._banded(x, y, 4) == min(row[-1], 5)
 
 
+def test_edit_distance_of_whole_rows():
+    """Lines of more words than a machine word has bits are aligned exactly, and a row costs less than a pass of numpy."""
+    rng = random.Random(9)
+    for n in (61, 64, 130, 257):
+        a = [rng.choice("abcde") for _ in range(n)]
+        b = [w if rng.random() < 0.8 else rng.choice("abcde") for w in a if rng.random() < 0.9]
+        far = len(a) + len(b)
+        x, y = (np.array([ord(w) for w in words]) for words in (a, b))
+        d = line_dedup._banded(x, y, far)
+        assert line_dedup.edit_distance(a, b, far) == d
+        assert line_dedup.edit_distance(a, b, d) == d and line_dedup.edit_distance(a, b, d - 1) > d - 1
+    a, b = ([f"{side}{i}" if i % 6 == 0 else f"w{i}" for i in range(150)] for side in "xy")
+    start = time.process_time()
+    for _ in range(200):
+        assert line_dedup.edit_distance(a, b, 30) == 25
+    bits = time.process_time() - start
+    x, y = np.arange(150), np.array([-i if i % 6 == 0 else i for i in range(150)])
+    start = time.process_time()
+    for _ in range(20):
+        line_dedup._banded(x, y, 30)
+    assert bits < 5 * (time.process_time() - start)  # ten times the pairs
+
+
 def test_block_pairs_cover_three_bits(spark):
     """Any two SimHashes at most 3 bits apart share a bucket key."""
     rng = random.Random(5)
