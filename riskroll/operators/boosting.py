@@ -9,8 +9,8 @@ its best prefix.
 * ``tree_nodes`` reads the node table of a saved forest or boosted model as a DataFrame.
 * ``staged_scores`` has Spark write each row's leaf per tree (``leafCol``), looks the leaves' values up and sums them
   round by round; metrics of all rounds come from one grouped pass (``metrics.curve_summary``).
-* ``split_counts`` counts the splits per feature.  Where only importance is wanted, ``forest_split_counts`` fits one
-  random forest: its trees grow together, level by level, in a few passes over the data.
+* ``split_counts`` counts the splits per feature.  Where only importance is wanted, ``forest_split_counts`` fits
+  random forests: a forest's trees grow together, level by level, in a few passes over the data.
 * ``matrix`` assembles the features once into one vector column and writes it to the shared folder; folds, rounds and
   draws all read that table.
 
@@ -43,6 +43,8 @@ from riskroll.session import ensure_checkpoint_dir
 MAX_CATEGORIES = 100_000
 NUMERIC_BINS = 64
 MAX_LEAVES = 4_000_000
+#: Most trees of one forest.
+FOREST_TREES = 100
 #: Stands for a missing number in a matrix.
 MISSING = "-1E300"
 
@@ -147,11 +149,24 @@ def split_counts(model, names: Sequence[str], spark) -> DataFrame:
 
 
 def forest_split_counts(rows: DataFrame, names: Sequence[str], label: str, trees: int, depth: int, max_bins: int,
-                        seed: int = 42) -> dict[str, int]:
-    """Splits per feature in a random forest fitted on ``rows`` (``label``, ``features``)."""
-    forest = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, maxBins=max_bins, seed=seed)
-    model = forest.fit(rows.select(F.col(label).cast("double").alias(label), "features"))
-    return {r["feature"]: r["importance"] for r in split_counts(model, names, rows.sparkSession).collect()}
+                        seed: int = 42, threads: int = 2) -> dict[str, int]:
+    """Splits per feature in ``trees`` random trees fitted on ``rows`` (``label``, ``features``).
+
+    A forest's cached rows hold a number per tree, and every task a histogram per open node of all trees.  So the trees
+    are grown as forests of at most ``FOREST_TREES``, each with a seed of its own, ``threads`` at a time: memory is
+    that of a few small forests, however many trees are wanted.
+    """
+    slim = rows.select(F.col(label).cast("double").alias(label), "features")
+
+    def fit(first: int):
+        def run() -> dict[str, int]:
+            forest = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=min(FOREST_TREES, trees - first),
+                                            maxDepth=depth, maxBins=max_bins, seed=seed + first)
+            return {r["feature"]: r["importance"] for r in split_counts(forest.fit(slim), names, rows.sparkSession).collect()}
+        return run
+
+    counts = in_parallel(rows.sparkSession, [fit(first) for first in range(0, trees, FOREST_TREES)], threads)
+    return {f: sum(c[f] for c in counts) for f in names}
 
 
 # --------------------------------------------------------------------------

@@ -28,13 +28,13 @@ ADVERSARIAL_BINS = 255
 
 
 def null_importance(df: DataFrame, features: Sequence[str], label: str = "target", rounds: int = 3, trees: int = 500,
-                    depth: int = 5, key: str = "case_id", threads: int = 4) -> DataFrame:
+                    depth: int = 5, key: str = "case_id", threads: int = 2) -> DataFrame:
     """L1: ``feature, real_importance, null_importance, score, keep`` with
     ``score = real / (mean null + 1e-5)`` and ``keep = score > 1.5``.
 
-    Importance is the number of splits on a feature.  Only importance is wanted, so one forest of ``trees`` trees of
-    about 31 leaves, which grow together, takes the place of serial boosting.  The real and the permuted labels stand
-    side by side in one matrix, and the forests are fitted at once.
+    Importance is the number of splits on a feature.  Only importance is wanted, so ``trees`` random trees of about
+    31 leaves take the place of serial boosting.  The real and the permuted labels stand side by side in one matrix;
+    ``threads`` labels are fitted at a time, each by one small forest after the other.
     """
     slim = df.select(key, label)
     labels = slim.withColumnRenamed(label, "_y0")
@@ -44,7 +44,8 @@ def null_importance(df: DataFrame, features: Sequence[str], label: str = "target
     ys = [f"_y{r}" for r in range(rounds + 1)]
     made = boosting.matrix(df.select(key, *features).join(labels, key), features, ys)
     counts = boosting.in_parallel(df.sparkSession, [
-        (lambda y: lambda: boosting.forest_split_counts(made.rows, features, y, trees, depth, made.max_bins))(y) for y in ys], threads)
+        (lambda y: lambda: boosting.forest_split_counts(made.rows, features, y, trees, depth, made.max_bins, threads=1))(y)
+        for y in ys], threads)
     rows = []
     for f in features:
         real, null = float(counts[0][f]), sum(c[f] for c in counts[1:]) / rounds
@@ -56,7 +57,7 @@ def null_importance(df: DataFrame, features: Sequence[str], label: str = "target
 
 def importance_topk(df: DataFrame, features: Sequence[str], k: int = 60, label: str = "target", trees: int = 1000,
                     depth: int = 5) -> DataFrame:
-    """L3: the ``k`` features with the most splits in a forest of ``trees`` trees (ties by name)."""
+    """L3: the ``k`` features with the most splits in ``trees`` random trees (ties by name)."""
     made = boosting.matrix(df, features, [label])
     counts = boosting.forest_split_counts(made.rows, features, label, trees, depth, made.max_bins)
     table = df.sparkSession.createDataFrame([(f, int(counts[f])) for f in features], "feature string, importance long")

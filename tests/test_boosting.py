@@ -97,3 +97,17 @@ def test_draws_that_differ_in_rounds_share_a_fit(made, monkeypatch):
     found = bo.search(rows, [base, bo.replace(base, max_iter=12), bo.replace(base, max_depth=3)], 2)
     assert len(fits) == 4 and found[1]["score"] >= found[0]["score"] > 0.4
     assert len(set(bo.draw(15))) == 15 and bo.draw(15) == bo.draw(15)
+
+
+def test_many_trees_are_grown_as_small_forests(made, spark, monkeypatch):
+    _, m, _, _ = made
+    forest, asked = bo.RandomForestClassifier, []
+    monkeypatch.setattr(bo, "RandomForestClassifier", lambda **kw: asked.append((kw["numTrees"], kw["seed"])) or forest(**kw))
+    monkeypatch.setattr(bo, "FOREST_TREES", 4)
+    counts = bo.forest_split_counts(m.rows, m.names, "target", 10, 3, m.max_bins)
+    assert sorted(n for n, _ in asked) == [2, 4, 4] and len({s for _, s in asked}) == 3
+    alone = {f: 0 for f in m.names}
+    for n, seed in list(asked):
+        for f, c in bo.forest_split_counts(m.rows, m.names, "target", n, 3, m.max_bins, seed).items():
+            alone[f] += c
+    assert counts == alone and counts["x1"] > 0
