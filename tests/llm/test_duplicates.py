@@ -271,3 +271,71 @@ def test_common_words_count_every_document(spark, monkeypatch):
     first = line_dedup.common_words(docs)[0]
     h, _ = line_dedup.word_hashes(b"all")
     assert first == h[0] >> np.uint64(64 - line_dedup._WORD_BITS)
+
+
+def test_parities_bound_the_edit_distance():
+    """No pair of similar lines is left out, and pairs that share a few words by chance are."""
+    rng = random.Random(3)
+    lines = []
+    for n in (1, 4, 9, 31, 33, 64, 65, 130, 400, 1500):
+        words = [rng.choice(WORDS) for _ in range(n)]
+        for edits in (0, 1, n // 5, n // 4, n):
+            own = list(words)
+            for _ in range(edits):
+                at = rng.randrange(len(own))
+                own[at:at + 1] = rng.choice([[], [own[at], "new"], [f"typo{rng.randrange(99)}"]]) if len(own) > 1 else ["new"]
+            lines.append(own)
+    lines += [["a"] * 40, ["b"] * 40, ["a"] * 30 + ["b"] * 10, ["a"] * 33 + ["b"] * 7]
+    h, of = line_dedup.word_hashes(" \n".join(" ".join(words) for words in lines).encode())
+    counts = np.array([len(words) for words in lines])
+    parity = line_dedup.parities(h, of, counts).to_pylist()
+    left, right = (x.ravel() for x in np.meshgrid(np.arange(len(lines)), np.arange(len(lines))))
+    may = line_dedup.may_be_similar(counts, parity, left, right)
+    similar = np.array([line_dedup.similar(lines[i], lines[j]) for i, j in zip(left, right)])
+    assert (may | ~similar).all() and similar.sum() > len(lines) and may.sum() < 2 * similar.sum()
+
+
+def test_classes_of_parts_meet(monkeypatch):
+    """Packed entries of several tasks give every bucket's set of classes once."""
+    rng = random.Random(4)
+    entries = sorted({(rng.randrange(200) << 33 | rng.randrange(5), rng.randrange(150)) for _ in range(600)})
+    own = {}
+    for key, bucket in entries:
+        own.setdefault(bucket, set()).add(key)
+    cut = [entries[:200], [], entries[200:] + entries[200:210]]
+    packed = [[line_dedup._packed(x) for x in (np.diff(np.array([k for k, _ in c], dtype=np.int64), prepend=0),
+                                                np.array([b for _, b in c], dtype=np.uint64))] for c in cut if c]
+    got = line_dedup.shared_buckets(*zip(*packed))
+    assert sorted(map(sorted, got.column("keys").to_pylist())) == sorted(map(list, {tuple(sorted(s)) for s in own.values() if len(s) > 1}))
+    assert got.column("n").to_pylist() == [len(k) for k in got.column("keys").to_pylist()]
+
+
+def test_clusters_are_cut_where_no_pair_may_be_similar():
+    """Two pairs and a chain in one cluster, and nothing of one with chance members."""
+    rng = random.Random(5)
+    base = [[rng.choice(WORDS) for _ in range(20)] for _ in range(6)]
+    chain = [base[2], [*base[2][3:], "c1", "c2", "c3"], [*base[2][6:], "c1", "c2", "c3", "d1", "d2", "d3"]]
+    lines = [base[0], base[1], chain[2], [*base[0], "x"], [*base[1][1:], "y"], chain[0], chain[1], base[3], base[4], base[5]]
+    h, of = line_dedup.word_hashes("\n".join(map(" ".join, lines)).encode())
+    counts = np.array([len(words) for words in lines])
+    parity = line_dedup.parities(h, of, counts).to_pylist()
+    keys = np.arange(10) * 7
+    found = line_dedup.near_members(np.array([1] * 8 + [2] * 2), keys, counts, parity).column("keys").to_pylist()
+    assert sorted(map(sorted, found)) == [[0, 21], [7, 28], [14, 35, 42]]
+    label = line_dedup._joined(np.arange(60), np.arange(0, 50, 2), np.arange(2, 52, 2))
+    assert label.tolist() == [0 if i % 2 == 0 and i <= 50 else i for i in range(60)]
+
+
+def test_words_of_chance_meetings_are_not_fetched(spark, monkeypatch):
+    """Lines that share their two rarest words and nothing else cost no words on disk; similar ones do."""
+    ship(spark)
+    rng = random.Random(6)
+    texts = [f"rare{i % 40} odd{i % 40} " + " ".join(rng.choice(WORDS) for _ in range(18)) for i in range(400)]
+    texts += [texts[0] + " more"]
+    tables = {}
+    plain = line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda df, name, **o: tables.setdefault(name, plain(df, name, **o)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r["first"].doc_id for r in line_dedup.decisions(df).collect()}
+    assert got == {i: 0 if i == 400 else i for i in range(401)}
+    assert {r.words for r in tables["member-lines"].collect()} == {texts[0], texts[400]}
